@@ -79,7 +79,9 @@ def parse_batch(records: list[str], sep: str, layout: str) -> tuple[list[str | N
     quoted = _well_quoted(sep)
     kept = []
     for i, r in enumerate(records):
-        if quoted.fullmatch(r):
+        if not r:  # one empty value; the CSV reader takes an empty line for a row of nulls
+            reason[i] = "column_count"
+        elif quoted.fullmatch(r):
             kept.append(i)
         else:
             reason[i] = "broken_quote"
