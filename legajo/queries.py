@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from legajo.plans import graphs, search, sqlsurface, texts  # noqa: F401 - they register their queries
+from legajo.plans.registry import QUERIES, SQL
 from legajo.session import read
 from legajo.sources import deliveries
 
@@ -26,7 +28,7 @@ _ALL = (p2_found, p2_tickets, p2_equipment)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _ALL}
+    return {f.__name__: f for f in _ALL} | QUERIES
 
 
 def _p2_sql() -> str:
@@ -53,4 +55,4 @@ def _p2_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _p2_sql()}
+    return {"p2_found": _p2_sql()} | SQL
