@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +49,20 @@ def skeleton(word: str) -> str:
     return word.translate(_SKELETON)
 
 
+def sql_skeleton(c: Column) -> Column:
+    """skeleton() inside the JVM."""
+    one = {k: v for k, v in ((chr(k), v) for k, v in _SKELETON.items()) if len(v) == 1}
+    many: dict[str, str] = {}
+    for k, v in _SKELETON.items():
+        if len(v) > 1:
+            many[v] = many.get(v, "") + chr(k)
+    signs = dict(zip(many, "\ue010\ue011\ue012\ue013\ue014"))  # stand-ins, so that a replacement is not replaced again
+    c = F.translate(c, "".join(one) + "".join(many.values()), "".join(one.values()) + "".join(signs[v] * len(ks) for v, ks in many.items()))
+    for v, sign in signs.items():
+        c = F.replace(c, F.lit(sign), F.lit(v))
+    return c
+
+
 @lru_cache(maxsize=100_000)
 def changes(printed: str, read: str) -> tuple[int, ...] | None:
     """Places in `read` that differ when `printed` was misread as it, by at most MAX_CHANGES confusions; None where it can't be."""
@@ -77,13 +92,13 @@ def changes(printed: str, read: str) -> tuple[int, ...] | None:
 _TWO = tuple((a, b) for a, b in CONFUSED if a[0] == b[0])
 
 
-def _line(regex: str) -> str:
-    return rf"(?Um)^[ \t]*(?:{regex})[ \t\r]*$"
+_PAGE = regex.compile(PAGE)
+_HEADER = regex.compile(HEADER)
+_FILE_CODE = re.compile(r"\b[A-Z]{2,4}-\d{2,4}-\d{2,6}\b")
 
 
-def maybe_scanned(text: Column) -> Column:
-    """Texts with a line that could be page furniture; all others are clean text."""
-    return F.coalesce(text.rlike(_line(f"{PAGE}|{BARE}|{HEADER}")), F.lit(False))
+def is_header(t: str) -> bool:
+    return len(t) < 130 and t[:1].isupper() and t[-1] not in ",;:" and (any(c in t for c in "—–·|/") or "-" in t) and _HEADER.fullmatch(t) is not None
 
 
 def _core(token: str) -> str:
@@ -98,9 +113,12 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             out: Counter = Counter()
+            texts: dict[bool, list[str]] = {False: [], True: []}
+            for t in p["text"]:
+                texts[mark(t) is not None].append(t)
             for scan in (False, True):
                 raw: Counter = Counter()
-                for t in p["text"][p["scan"] == scan]:
+                for t in texts[scan]:
                     raw.update(runs(t))
                 for token, n in raw.items():
                     if _CODE.match(token):
@@ -115,10 +133,27 @@ def vocabulary(docs: DataFrame) -> DataFrame:
                             out["c", x.lower()] += n
             yield pd.DataFrame([(k, w, n) for (k, w), n in out.items()], columns=["kind", "word", "n"])
 
-    counted = docs.filter("text is not null").select("text", maybe_scanned(F.col("text")).alias("scan")).mapInPandas(run, "kind string, word string, n long")
+    counted = docs.filter("text is not null").select("text").mapInPandas(run, "kind string, word string, n long")
     return counted.groupBy("kind", "word").agg(F.sum("n").alias("n"))
 
 
+def mark(text: str) -> tuple[list[str], list[bool], list[bool]] | None:
+    """(lines, furniture, repeated headers) of a text by itself; None where it carries no page furniture."""
+    lines = text.split("\n")
+    ts = [x.strip(" \t\r") for x in lines]
+    page = [len(t) < 70 and any(c.isdigit() for c in t) and _PAGE.fullmatch(t) is not None for t in ts]
+    if not any(page):
+        bare = [(i, int(t)) for i, t in enumerate(ts) if len(t) < 5 and t.isascii() and t.isdigit() and not (i and ts[i - 1].endswith(":"))]
+        for (i, v), (j, w) in zip(bare, bare[1:]):
+            if w == v + 1:
+                page[i] = page[j] = True
+    seen = Counter(t for t in ts if is_header(t))
+    header = [seen[t] > 1 for t in ts]
+    if not any(page) and not any(header):
+        return None
+    return lines, [a or b for a, b in zip(page, header)], header
+
+
 def marked_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, furniture) of all lines of scanned texts. Lines are cut at LF and counted from 1.
 
@@ -127,27 +162,22 @@ def marked_lines(docs: DataFrame) -> DataFrame:
     repeated word for word in the text, or that have the form (codes masked, glyph skeleton) of one that is
     repeated in two texts.
     """
-    lines = docs.filter(maybe_scanned(F.col("text"))).select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line")).select(
-        "doc_id", (F.col("k") + 1).alias("line_no"), "line", F.trim(F.col("line"), F.lit(" \t\r")).alias("t"))
-    doc = Window.partitionBy("doc_id")
-    row = doc.orderBy("line_no")
-    page = F.col("t").rlike(f"(?U)^(?:{PAGE})$")
-    bare = F.col("t").rlike(f"^{BARE}$") & ~F.coalesce(F.lag("t").over(row).endswith(":"), F.lit(False))
-    lines = lines.withColumn("page", page).withColumn("bare", bare).withColumn("pages", F.max("page").over(doc))
-    value = F.when(F.col("bare"), F.col("t").cast("int"))
-    lines = lines.withColumn("v", value).withColumn("before", F.last("v", True).over(row.rowsBetween(Window.unboundedPreceding, -1))).withColumn(
-        "after", F.first("v", True).over(row.rowsBetween(1, Window.unboundedFollowing)))
-    steps = F.coalesce((F.col("v") - F.col("before") == 1) | (F.col("after") - F.col("v") == 1), F.lit(False))
-    lines = lines.withColumn("count_up", F.col("bare") & ~F.col("pages") & steps)
-    bones = F.udf(skeleton, "string")  # so that a header with a misread letter is still that header
-    shape = F.col("t").rlike(f"(?U)^(?:{HEADER})$") & ~F.col("t").rlike(r"[.,;:]$")
-    repeated = F.col("t").rlike(f"(?U)^(?:{HEADER})$") & (F.count(F.lit(1)).over(Window.partitionBy("doc_id", "t")) > 1) & ~F.col("t").rlike(r"[,;:]$")
-    lines = lines.withColumn("repeated", repeated).withColumn(
-        "mask", F.when(shape, bones(F.lower(F.regexp_replace("t", r"\b[A-Z]{2,4}-\d{2,4}-\d{2,6}\b", "code")))))
-    lines = lines.withColumn("scan", F.max(F.col("page") | F.col("count_up") | F.col("repeated")).over(doc)).filter("scan")
+    text_batches(docs.sparkSession, 512)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            rows = []
+            for d, t in zip(p["doc_id"], p["text"]):
+                m = mark(t)
+                if m:
+                    rows += [(d, i + 1, x, f, h, skeleton(_FILE_CODE.sub("code", x.strip(" \t\r")).lower()) if is_header(x.strip(" \t\r")) else None) for i, (x, f, h) in enumerate(zip(*m))]
+            yield pd.DataFrame(rows, columns=["doc_id", "line_no", "line", "own", "repeated", "mask"])
+
+    lines = docs.filter("text is not null").select("doc_id", "text").mapInPandas(run, "doc_id string, line_no int, line string, own boolean, repeated boolean, mask string")
+    lines = materialize(lines, "lines")
     known = lines.filter("repeated").select("mask", "doc_id").distinct().groupBy("mask").agg(F.count(F.lit(1)).alias("texts")).filter("texts >= 2")
-    lines = lines.join(known, "mask", "left")
-    return lines.select("doc_id", "line_no", "line", (F.col("page") | F.col("count_up") | F.col("repeated") | F.col("texts").isNotNull()).alias("furniture"))
+    more = lines.filter("mask is not null and not own").join(known, "mask", "left_semi").select("doc_id", "line_no", F.lit(True).alias("more"))
+    return lines.join(more, ["doc_id", "line_no"], "left").select("doc_id", "line_no", "line", (F.col("own") | F.coalesce("more", F.lit(False))).alias("furniture"))
 
 
 def cut_words(lines: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -214,7 +244,7 @@ def line_words(cut: DataFrame) -> DataFrame:
 def misread_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """(word, printed, at): distinct words that no clean text holds, with the frequent form of the same skeleton that a scanner may have misread; at: the places."""
     clean = vocab.filter("kind = 'w'")
-    shape = F.udf(skeleton, "string")
+    shape = lambda w: sql_skeleton(F.col(w))
     suspects = words.groupBy("word").agg(F.count(F.lit(1)).alias("own")).join(clean.select("word"), "word", "left_anti").withColumn("bones", shape("word"))
     both = vocab.filter("kind in ('w', 's') and char_length(word) > 1 and word rlike '(?U)^\\\\p{Ll}+$'").groupBy("word").agg(F.sum("n").alias("n"))
     forms = both.filter("n > 1").select(F.col("word").alias("printed"), "n", shape("word").alias("bones"))
@@ -242,10 +272,9 @@ def noise_lines(docs: DataFrame) -> DataFrame:
     """
     docs = docs.filter("doc_id is not null and text is not null")
     vocab = materialize(vocabulary(docs), "vocabulary")
-    lines = marked_lines(docs)
-    lines = materialize(lines, "lines")
+    lines = materialize(marked_lines(docs), "marked")
     cut = materialize(cut_words(lines, vocab), "cut")
-    words = line_words(cut)
+    words = materialize(line_words(cut), "words")
     bad = misread_words(words, vocab)
     hit = words.join(bad, "word").select(
         "doc_id", F.explode(F.transform("at", lambda i: F.when(F.col("left").isNotNull() & (i >= F.col("left")), F.col("next_no")).otherwise(F.col("line_no")))).alias("line_no"))
@@ -261,7 +290,7 @@ def repair_texts(docs: DataFrame) -> DataFrame:
     """
     docs = docs.filter("doc_id is not null and text is not null")
     vocab = materialize(vocabulary(docs), "vocabulary")
-    lines = materialize(marked_lines(docs), "lines")
+    lines = materialize(marked_lines(docs), "marked")
     cut = materialize(cut_words(lines, vocab), "cut")
     bad = misread_words(line_words(cut), vocab)
     row = Window.partitionBy("doc_id").orderBy("line_no")
