@@ -153,13 +153,14 @@ def bad_tokens(tokens: DataFrame) -> DataFrame:
     """
     vocab = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     vocab = materialize(vocab, "vocabulary")  # distinct words: small beside the texts, read twice
-    table = garbled_table(vocab)
+    # A word has some forty forms: the table is far larger than its source's size tells, so it is never broadcast.
+    table = garbled_table(vocab.repartition(vocab.sparkSession.sparkContext.defaultParallelism, "token"))
     best = Window.partitionBy("garbled").orderBy(F.desc("n"), "word")
     table = table.withColumn("k", F.row_number().over(best)).filter("k = 1").drop("k")
     clean = F.udf(_is_clean, "boolean")
     sequences = F.udf(restore_by_sequences, "string")
     v = vocab.select("token", F.col("n").alias("own"), clean("token").alias("looks_clean"))
-    hit = v.join(table, v.token == table.garbled, "left")
+    hit = v.join(table.hint("merge"), v.token == table.garbled, "left")
     proven = F.col("word").isNotNull() & (~F.col("looks_clean") | (F.col("n") >= RATIO * F.col("own")))
     hit = hit.withColumn("proven", proven).withColumn("by_sequence", F.when(F.col("proven"), None).otherwise(sequences("token")))
     return hit.filter(F.col("proven") | F.col("by_sequence").isNotNull() | F.contains("token", F.lit("�"))).select(
