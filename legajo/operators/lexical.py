@@ -15,9 +15,12 @@ def postings(df: DataFrame, id_col: str, terms: Column) -> DataFrame:
 
 
 def query_terms(post: DataFrame, n: int = 3) -> DataFrame:
-    """(query, term): the queries are all rows whose id is divisible by 50; each asks for its n most specific terms (those of most occurrences in it, then by term)."""
-    q = post.filter("id % 50 = 0 and char_length(term) >= 4")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("tf"), "term"))
+    """(query, term): the queries are all rows whose id is divisible by 50; each asks for its n most telling terms of four letters or more (tf ln(N / df), ties by term)."""
+    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    total = post.agg(F.countDistinct("id").alias("n"))  # one row
+    q = post.filter("id % 50 = 0 and char_length(term) >= 4").join(df, "term").crossJoin(F.broadcast(total))
+    weight = F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 6)
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(weight), "term"))
     return q.withColumn("rk", rank).filter(f"rk <= {n}").select(F.col("id").alias("query"), "term")
 
 

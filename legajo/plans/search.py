@@ -17,7 +17,8 @@ K = 10
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 _POST = f"""a as (select doc_id as id, list_filter(regexp_extract_all({sql_fold('text')}, '\\w+(?:\\.?\\w+)*'), lambda t: len(t) > 1 and not list_contains({_STOP}, t)) as ts from documents),
     p as (select id, term, count(*) as tf, any_value(l) as l from (select id, len(ts) as l, unnest(ts) as term from a) group by id, term)"""
-_QUERIES = "q as (select query, term from (select id as query, term, row_number() over (partition by id order by tf desc, term) as rk from p where id % 50 = 0 and len(term) >= 4) where rk <= 3)"
+_QUERIES = """nq as (select count(distinct id) as nq from p), dq as (select term, count(*) as dq from p group by term),
+    q as (select query, term from (select id as query, term, row_number() over (partition by id order by round(tf * ln(nq / dq), 6) desc, term) as rk from p join dq using (term), nq where id % 50 = 0 and len(term) >= 4) where rk <= 3)"""
 _BM25 = """st as (select count(*) as n, avg(l) as m from (select id, any_value(l) as l from p group by id)),
     df as (select term, count(*) as df from p group by term),
     s as (select query, id, count(*) as matched, sum((ln(n / (df + 1)) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m))) as score from q join p using (term) join df using (term), st group by query, id)"""
@@ -31,7 +32,7 @@ def document_postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lexical_hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(scored hits, queries): every document whose id is divisible by 50 asks with its three most specific terms, against all documents."""
+    """(scored hits, queries): every document whose id is divisible by 50 asks with its three most telling terms, against all documents."""
     post = document_postings(spark, d)
     q = lexical.query_terms(post)
     return lexical.bm25(post, q), q
