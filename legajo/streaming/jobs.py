@@ -11,6 +11,7 @@ from legajo.sources.files import parse_files
 
 def hourly(events: DataFrame, lateness: str | None = None) -> DataFrame:
     """(window_start, event_type, n, total) in windows of an hour; with lateness, a watermark on ts bounds the state of a stream."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     if lateness:
         events = events.withWatermark("ts", lateness)
     by = events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
