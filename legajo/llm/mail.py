@@ -44,6 +44,10 @@ KIND = {k: i for i, k in enumerate(KINDS)}
 #: Additive smoothing of the model's counts; e-mails that the model learns from at most.
 SMOOTHING = 0.1
 MAX_EMAILS = 20_000
+#: Weight of the steps from label to label beside a line's own features, and of the kinds whose label is known beforehand.
+STEP_WEIGHT = 0.5
+PSEUDO = 5
+_KNOWN = (("post", 5, 0), ("greeting", 0, 0), ("text", 0, 0), ("quote", 6, 1), ("forward", 3, 1), ("wrote", 6, 1), ("closing", 1, 2), ("name", 1, 2), ("contact", 1, 2), ("device", 1, 2), ("notice", 2, 3), ("field", 4, 4))
 
 
 def sender_names(first: str) -> set[str]:
@@ -178,17 +182,17 @@ def seed_labels(mail: Mail) -> list[int]:
 
 
 class LineModel:
-    """A hidden Markov model over lines: log p(next label | label) and log p(feature | label) for each feature."""
+    """A Markov model over lines: for each label, the log-probability given a line's kind and zone, the fit of its context, and how it follows the label before."""
 
-    def __init__(self, start: np.ndarray, step: np.ndarray, emit: list[np.ndarray]):
-        self.start, self.step, self.emit = start, step, emit
+    def __init__(self, start: np.ndarray, step: np.ndarray, local: list[np.ndarray]):
+        self.start, self.step, self.local = start, step, local
 
     def label(self, mail: Mail) -> list[int]:
         """The most probable labels (Viterbi)."""
         f = mail.features()
         if not f:
             return []
-        local = np.array([sum(e[:, v] for e, v in zip(self.emit, _columns(x))) for x in f])
+        local = np.array([sum(e[:, v] for e, v in zip(self.local, _columns(x))) for x in f])
         best, back = self.start + local[0], []
         for row in local[1:]:
             s = best[:, None] + self.step
@@ -245,11 +249,18 @@ def train_lines(mail: DataFrame, max_emails: int = MAX_EMAILS) -> LineModel:
     got = sample.mapInPandas(count, "part string, i int, j int, n double").groupBy("part", "i", "j").agg(F.sum("n").alias("n")).collect()
     step = np.full((6, 5), SMOOTHING)
     emit = [np.full((5, n), SMOOTHING) for n in _SIZES]
+    for kind, zone, y in _KNOWN:
+        emit[0][y, KIND[kind] * 7 + zone] += PSEUDO
     for r in got:
         (step if r["part"] == "step" else emit[int(r["part"][4:])])[r["i"], r["j"]] += r["n"]
-    log = lambda a: np.log(a / a.sum(axis=1, keepdims=True))
-    step = log(step)
-    return LineModel(step[5], step[:5], [log(e) for e in emit])
+    # The label given kind and zone; the context given label and kind, so that rare kinds aren't outweighed; the step beyond the label's own share.
+    local = [np.log(emit[0] / emit[0].sum(axis=0))]
+    for e in emit[1:]:
+        block = e.reshape(5, _K, -1)
+        local.append(np.log(block / block.sum(axis=2, keepdims=True)).reshape(5, -1))
+    share = step[:5].sum(axis=1) / step[:5].sum()
+    step = np.log(step / step.sum(axis=1, keepdims=True)) - np.log(share)
+    return LineModel(step[5] * STEP_WEIGHT, step[:5] * STEP_WEIGHT, local)
 
 
 def label_lines(mail: DataFrame, model: LineModel) -> DataFrame:

@@ -204,7 +204,7 @@ def link_mentions(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
        letters or more are joined by single-letter deletions and kept where one typo separates them.
     3. The corrected spellings are equi-joined with the rewritings.
     4. The cheapest rewriting wins. Where several entries share it, its rarity, one divided by their
-       number, is weighed with how often each entry is written out in full: the leader needs half of it.
+       number, is weighed with how often each entry is written out in full: the leader needs more than half of it.
 
     A spelling equal to an entry's name is that entry at price 0. Null or blank spellings mean nothing.
     Ties without a leader give no row. The directory is of fixed size; its forms take part in plain joins.
@@ -246,7 +246,7 @@ def link_mentions(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
     ranked = hits.withColumn("least", F.min("price").over(best)).filter("price = least").join(often, "node_key", "left")
     ranked = ranked.withColumn("often", F.coalesce("often", F.lit(0)) + 1.0).withColumn("k", F.count(F.lit(1)).over(best))
     ranked = ranked.withColumn("share", F.col("often") / F.sum("often").over(best)).withColumn("rarity", 1 / F.col("k"))
-    ranked = ranked.withColumn("rank", F.row_number().over(best.orderBy(F.desc("share"), "node_key"))).filter("rank = 1 and share >= 0.5")
+    ranked = ranked.withColumn("rank", F.row_number().over(best.orderBy(F.desc("share"), "node_key"))).filter("rank = 1 and share > 0.5")
     found = ranked.select("nombre", "kind", "node_key", "price", "rarity").join(exact.select("nombre", "kind"), ["nombre", "kind"], "left_anti")
     return found.unionByName(exact.select("nombre", "kind", "node_key", F.lit(0).alias("price"), F.lit(1.0).alias("rarity")))
 

@@ -181,7 +181,7 @@ def marked_lines(docs: DataFrame) -> DataFrame:
 
 
 def cut_words(lines: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Lines (doc_id, line_no, line, furniture) with hyphen, next_no and next_word: whether the line ends inside a word.
+    """Lines (doc_id, line_no, line, furniture) with hyphen, glued, next_no and next_word: whether the line ends inside a word, or at a mark at all.
 
     A mark other than the plain hyphen always cuts. A plain one does, unless it belongs to a code, a
     number or a compound: the corpus decides between the joined and the hyphenated form.
@@ -210,7 +210,7 @@ def cut_words(lines: DataFrame, vocab: DataFrame) -> DataFrame:
         .when(F.col("nc").isNotNull(), False).when(F.col("compounds").isNotNull() & (F.char_length("left") > 3), False)
         .otherwise(F.col("tail").rlike(r"(?U)^[\p{Ll}\d@]")))
     return full.drop("head", "mark", "tail").join(cand.select("doc_id", "line_no", of_word.alias("hyphen")), ["doc_id", "line_no"], "left").withColumn(
-        "hyphen", F.coalesce("hyphen", F.lit(False)))
+        "glued", F.col("hyphen").isNotNull()).withColumn("hyphen", F.coalesce("hyphen", F.lit(False)))
 
 
 def line_words(cut: DataFrame) -> DataFrame:
@@ -300,7 +300,8 @@ def repair_texts(docs: DataFrame) -> DataFrame:
     kept = kept.withColumn("starts", (F.col("gap") & ends & ~F.col("above_cut")) | F.col("line").rlike(r"^\s*(?:\d+\.|[-*•]) "))
     kept = kept.withColumn("paragraph", F.sum(F.col("starts").cast("int")).over(row))
     clean = F.regexp_replace(F.regexp_replace("line", r"^[ \t]+|[ \t\r]+$", ""), rf"[{_MARKS}]$", "")
-    piece = F.when(F.col("hyphen"), clean).otherwise(F.concat(F.regexp_replace("line", r"^[ \t]+|[ \t\r]+$", ""), F.lit(" ")))
+    whole = F.regexp_replace("line", r"^[ \t]+|[ \t\r]+$", "")
+    piece = F.when(F.col("hyphen"), clean).when(F.col("glued"), whole).otherwise(F.concat(whole, F.lit(" ")))
     paras = kept.groupBy("doc_id", "paragraph").agg(F.sort_array(F.collect_list(F.struct("line_no", piece.alias("p")))).alias("ps")).select(
         "doc_id", "paragraph", F.trim(F.array_join("ps.p", "")).alias("text"))
     # Words are put right by an equi-join on the paragraph's own words.
