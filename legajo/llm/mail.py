@@ -119,6 +119,10 @@ class Mail:
         for i in range(self.head, n):
             if k[i] == KIND["field"] and not (i + 1 < n and k[i + 1] == KIND["field"]) and not (i > self.head and k[i - 1] in (KIND["field"], KIND["forward"])):
                 k[i] = KIND["text"]  # a lone line that merely looks like a header field
+        for i in range(self.head + 1, n):
+            # A comparison at the start of a wrapped line is no quotation.
+            if k[i] == KIND["quote"] and not self.gap[i] and k[i - 1] in (KIND["text"], KIND["greeting"]) and re.match(r"> ?\d+ ?%", self.lines[self.at[i]]):
+                k[i] = KIND["text"]
         tail = {KIND[x] for x in ("short", "contact", "device")}
         for i in range(self.head, n - 1):
             # A short capitalised line that opens a block and stands right over a role or contact line is a name.
