@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from legajo.operators import lexical
 from legajo.operators.vectors import block_search
+from legajo.session import ship
 
 #: Endings that the light Spanish stemmer takes off, longest first; fixed values of the language.
 ENDINGS = ("amientos", "imientos", "amiento", "imiento", "aciones", "adoras", "adores", "ancias", "acion", "adora", "ancia", "mente", "idades", "idad", "ables", "ibles", "able", "ible", "istas", "ista", "osos", "osas", "oso", "osa", "ivas", "ivos", "iva", "ivo", "es", "as", "os", "s", "a", "o", "e")
@@ -63,6 +64,7 @@ def word_vectors(docs: DataFrame, text_col: str, dims: int = 256, window: int =
                             c[w, h[j]] += 1
             yield pd.DataFrame([(w, b, n) for (w, b), n in c.items()], columns=["word", "bucket", "n"])
 
+    ship(docs.sparkSession)
     words = docs.select(F.regexp_extract_all(F.lower(text_col), F.lit("([a-záéíóúüñçàèòï]{4,})"), F.lit(1)).alias("ws"))
     counts = words.mapInPandas(run, "word string, bucket int, n long").groupBy("word", "bucket").agg(F.sum("n").alias("n"))
     by_word = counts.withColumn("wn", F.sum("n").over(Window.partitionBy("word"))).filter(F.col("wn") >= least * 2 * window)

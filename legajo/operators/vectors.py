@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from legajo.session import ship
+
 #: Query vectors that one block holds; more are searched in several blocks.
 BLOCK = 4096
 #: Hyperplanes, tables and the Hamming radius of the signature index.
@@ -29,6 +31,7 @@ def block_search(df: DataFrame, id_col: str, vec_col: str, queries: DataFrame, k
     k rows a task and query. Null and empty vectors are left out; zero vectors score 0; ties by id.
     """
     spark = df.sparkSession
+    ship(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).filter("id is not null and size(v) > 0")
     qs = queries.select(F.col(id_col).cast("long").alias("query"), F.col(vec_col).alias("v")).filter("query is not null and size(v) > 0")
     n = qs.count()
@@ -71,6 +74,7 @@ def _keep(p: pd.DataFrame, k: int) -> pd.DataFrame:
 
 def signatures(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, v, table, bucket): the sides of PLANES random hyperplanes in each of TABLES tables; every row is indexed."""
+    ship(df.sparkSession)
     size = PLANES * TABLES
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

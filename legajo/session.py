@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +27,25 @@ def get_spark(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSessi
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors' Python workers, once for each application; Spark's file server carries it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    with zipfile.ZipFile(Path(tempfile.mkdtemp(prefix="spark-legajo-")) / "legajo.zip", "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(z.filename))
+    _shipped.add(sc.applicationId)
+
+
 def text_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Arrow batches small enough for long texts: the row bound limits a Python worker's memory."""
+    """Before Python work: the package on the workers, and Arrow batches small enough for long texts (the row bound limits a worker's memory)."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from legajo.functions.text import file_id
+from legajo.session import ship
 
 EXTENSIONS = ("txt", "md", "csv", "docx", "doc", "xlsx", "pdf")
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -110,6 +111,7 @@ def parse_files(files: DataFrame) -> DataFrame:
             name = p["path"].str.rsplit("/", n=1).str[-1]
             yield pd.DataFrame({"filename": name, "filepath": p["path"], "raw_text": [parse(n, c) for n, c in zip(name, p["content"])]})
 
+    ship(files.sparkSession)
     known = files.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*EXTENSIONS)).select("path", "content")
     parsed = known.mapInPandas(run, "filename string, filepath string, raw_text string")
     return parsed.select(file_id(F.col("filename")).alias("doc_id"), "filename", "filepath", "raw_text")
