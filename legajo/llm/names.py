@@ -196,6 +196,30 @@ def _word_forms(words: DataFrame) -> DataFrame:
     return words.filter("char_length(word) between 3 and 40").select("kind", "word", F.explode(F.array_distinct(every)).alias("del"))
 
 
+def compact(name: str, kind: str) -> str:
+    """The letters of a name alone, without its legal form: what is left when a blank was missed, moved or hit as a letter."""
+    return re.sub(r"[^0-9a-zñ]", "", " ".join(person_tokens(name)) if kind == "person" else strip_legal(name))
+
+
+def _whole_names(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(nombre, kind, node_key, price) of spellings that are one typo away from a full name once blanks are left out."""
+
+    def squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            p = p.copy()
+            p["word"] = [compact(n, k) for n, k in zip(p["nombre"], p["kind"])]
+            yield p
+
+    near = F.udf(one_typo, "boolean")
+    whole = "nombre string, kind string, word string"
+    typed = mentions.filter("char_length(nombre) < 100").mapInPandas(squeeze, whole)
+    full = nodes.select(F.col("name").alias("nombre"), F.col("entity_type").alias("kind"), "node_key").mapInPandas(squeeze, "nombre string, kind string, node_key string, word string")
+    known = _word_forms(full.select("kind", "word").distinct()).withColumnRenamed("word", "fixed")
+    pairs = _word_forms(typed.select("kind", "word").distinct()).join(known, ["kind", "del"]).select("kind", "word", "fixed").distinct().filter(near("word", "fixed"))
+    return typed.join(pairs, ["kind", "word"]).join(full.select("kind", F.col("word").alias("fixed"), "node_key"), ["kind", "fixed"]).select(
+        "nombre", "kind", "node_key", F.lit(PRICE["typo"] + PRICE["order"]).alias("price"))
+
+
 def link_mentions(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
     """(nombre, kind, node_key, price, rarity) for each distinct spelling (nombre, kind, n) that means a directory entry.
 
@@ -203,7 +227,8 @@ def link_mentions(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
     2. The words of a spelling are looked up among the words of the rewritings; unknown words of three
        letters or more are joined by single-letter deletions and kept where one typo separates them.
     3. The corrected spellings are equi-joined with the rewritings.
-    4. The cheapest rewriting wins. Where several entries share it, its rarity, one divided by their
+    4. Spellings that no rewriting meets are compared as whole names without blanks, by the same deletions.
+    5. The cheapest rewriting wins. Where several entries share it, its rarity, one divided by their
        number, is weighed with how often each entry is written out in full: the leader needs more than half of it.
 
     A spelling equal to an entry's name is that entry at price 0. Null or blank spellings mean nothing.
@@ -241,6 +266,7 @@ def link_mentions(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
     hits = spelled.join(forms, ["kind", "form"]).groupBy("nombre", "kind", "node_key").agg(
         F.min(F.col("price") + F.col("typos") * PRICE["typo"]).alias("price"))
     exact = mentions.join(nodes.select(F.col("name").alias("nombre"), F.col("entity_type").alias("kind"), "node_key"), ["nombre", "kind"])
+    hits = hits.unionByName(_whole_names(mentions.select("nombre", "kind").join(hits.select("nombre", "kind").distinct(), ["nombre", "kind"], "left_anti"), nodes))
     often = exact.groupBy("node_key").agg(F.sum("n").alias("often"))
     best = Window.partitionBy("nombre", "kind")
     ranked = hits.withColumn("least", F.min("price").over(best)).filter("price = least").join(often, "node_key", "left")

@@ -27,7 +27,7 @@ MARKS = "-‐¬\xad"
 _MARKS = "\\-‐¬\\u00AD"  # the same inside a character class
 #: What a scanner makes of letters: (printed, read). Fixed values.
 CONFUSED = (
-    ("o", "0"), ("ó", "0"), ("ò", "0"), ("l", "1"), ("i", "1"), ("í", "1"), ("l", "I"), ("i", "l"), ("l", "i"), ("s", "5"), ("g", "9"), ("q", "9"), ("z", "2"), ("b", "8"), ("b", "6"), ("ó", "6"), ("é", "6"),
+    ("o", "0"), ("ó", "0"), ("ò", "0"), ("l", "1"), ("i", "1"), ("í", "1"), ("l", "I"), ("i", "l"), ("l", "i"), ("s", "5"), ("g", "9"), ("q", "9"), ("z", "2"), ("b", "8"), ("b", "h"), ("h", "b"), ("ó", "6"), ("é", "6"),
     ("a", "@"), ("á", "@"), ("á", "ä"), ("à", "ä"), ("t", "f"), ("f", "t"), ("í", "f"), ("e", "c"), ("c", "e"), ("u", "n"), ("n", "u"), ("u", "ii"), ("ú", "ii"), ("n", "ii"), ("m", "rn"), ("rn", "m"), ("in", "m"), ("ni", "m"),
     ("cl", "d"), ("d", "cl"), ("li", "h"), ("h", "li"), ("ñ", "fi"), ("vv", "w"), ("w", "vv"),
 )
@@ -40,8 +40,8 @@ _CODE = re.compile(r"^\S+@\S+\.\S+$|^\W*\d[\d.,/:\-%€]*\W*$|^https?:|^www\.")
 _PART = re.compile(r"[^\-‐¬\xad/'’·&+()\[\]<>«».,;:\"!?¿¡]+")
 #: The skeleton of a word: glyphs that are mistaken for each other fall together.
 _SKELETON = str.maketrans({
-    **dict.fromkeys("aáàä@", "a"), **dict.fromkeys("oóòöeéèc06", "o"), **dict.fromkeys("iíïltfr1I|", "i"), **dict.fromkeys("uúünhñ", "ii"),
-    "m": "iii", "d": "oi", "5": "s", "9": "g", "q": "g", "2": "z", "8": "o", "b": "o", "w": "vv",
+    **dict.fromkeys("aáàä@", "a"), **dict.fromkeys("oóòöeéèc06", "o"), **dict.fromkeys("iíïltfr1I|", "i"), **dict.fromkeys("uúünhñb8", "ii"),
+    "m": "iii", "d": "oi", "5": "s", "9": "g", "q": "g", "2": "z", "w": "vv",
 })
 
 

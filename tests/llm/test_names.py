@@ -3,7 +3,7 @@ from legajo.llm import names as N
 NODES = [("p1", "María Luisa Quintósteo Ventutre", "person", 1), ("p2", "Dolores Jovomil Tarvecina", "person", None), ("p3", "Daniel Jovomil Argides", "person", 2), ("p4", "José Argarrés Kermecina", "person", 2), ("o1", "Clínica Comarcal de Quintedra", "organization", 1), ("o2", "Consorcio Naval Lodromil S.A.", "organization", 1), ("o3", "Talleres y Montajes Yebusa S.L.", "organization", 0), ("x", None, "person", 0)]
 MEANT = {
     "person": {"M.L. Quintósteo Ventutre": "p1", "QUINTÓSTEO, María Luisa": "p1", "Mª Luisa Quintósteo": "p1", "maria luisa quintosteo ventutre ": "p1", "Lola Jovomil": "p2", "Dr/a. Dolores Jovomil": "p2", "Jovomil Tarvecina, D.": "p2", "Dolores Jovomil T.": "p2", "Dolroes Jovomil Tarvecina": "p2", "Jovomil Tarvecina Dolores": "p2", "Dani Jovomil": "p3", "Joé Argarrés Kermecina": "p4", "Pepe Argarrés": "p4", "José Argarres Kermecnia": "p4", "José Argarrés Kermecina": "p4"},
-    "organization": {"Clin. C. de Quintedra": "o1", "Quintedra, Clínica Comarcal": "o1", "CLÍNICA COMARCAL DE QUINTEDRA": "o1", "C. Naval Lodromil SA": "o2", "Lodrmil, Consorcio Naval S. A.": "o2", "Consorcio Naval Lodromil Sociedad Anónima": "o2", "Tayeres y Montajes Yebusa": "o3", "Tall. y Mont. Yebusa Sociedad Limitada": "o3"},
+    "organization": {"Clin. C. de Quintedra": "o1", "Quintedra, Clínica Comarcal": "o1", "CLÍNICA COMARCAL DE QUINTEDRA": "o1", "C. Naval Lodromil SA": "o2", "Lodrmil, Consorcio Naval S. A.": "o2", "Consorcio Naval Lodromil Sociedad Anónima": "o2", "Tayeres y Montajes Yebusa": "o3", "ConsorciohNaval Lodromil SA": "o2", "Talleres yM ontajes Yebusa": "o3", "Tall. y Mont. Yebusa Sociedad Limitada": "o3"},
 }
 OTHERS = {"person": ["Dolores Jovomil Restuela", "D. Jovomil", "Ana Pérez", "", "   ", None, "Quintósteo"], "organization": ["Fundación Quintedra", "Consorcio Agrario Lodromil", "S.A."]}
 
