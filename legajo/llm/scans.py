@@ -105,38 +105,6 @@ def _core(token: str) -> str:
     return token.strip(_EDGE)
 
 
-def vocabulary(docs: DataFrame) -> DataFrame:
-    """(kind, word, n) over all texts (doc_id, text): kind 'w' words in small letters of texts without furniture,
-    's' of the other texts, 'c' capitalised words in small letters, 't' words with a hyphen inside."""
-    text_batches(docs.sparkSession, 512)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            out: Counter = Counter()
-            texts: dict[bool, list[str]] = {False: [], True: []}
-            for t in p["text"]:
-                texts[mark(t) is not None].append(t)
-            for scan in (False, True):
-                raw: Counter = Counter()
-                for t in texts[scan]:
-                    raw.update(runs(t))
-                for token, n in raw.items():
-                    if _CODE.match(token):
-                        continue
-                    w = _core(token)
-                    if "-" in w[1:-1]:
-                        out["t", w.lower()] += n
-                    for x in _PART.findall(w):
-                        if x[0].islower():
-                            out["s" if scan else "w", x] += n
-                        elif x[0].isupper() and not any(c.isdigit() for c in x):
-                            out["c", x.lower()] += n
-            yield pd.DataFrame([(k, w, n) for (k, w), n in out.items()], columns=["kind", "word", "n"])
-
-    counted = docs.filter("text is not null").select("text").mapInPandas(run, "kind string, word string, n long")
-    return counted.groupBy("kind", "word").agg(F.sum("n").alias("n"))
-
-
 def mark(text: str) -> tuple[list[str], list[bool], list[bool]] | None:
     """(lines, furniture, repeated headers) of a text by itself; None where it carries no page furniture."""
     lines = text.split("\n")
@@ -154,30 +122,63 @@ def mark(text: str) -> tuple[list[str], list[bool], list[bool]] | None:
     return lines, [a or b for a, b in zip(page, header)], header
 
 
-def marked_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, furniture) of all lines of scanned texts. Lines are cut at LF and counted from 1.
-
+def _count_words(texts: list[str], scan: bool, out: Counter) -> None:
+    raw: Counter = Counter()
+    for t in texts:
+        raw.update(runs(t))
+    for token, n in raw.items():
+        if _CODE.match(token):
+            continue
+        w = _core(token)
+        if "-" in w[1:-1]:
+            out["t", w.lower()] += n
+        for x in _PART.findall(w):
+            if x[0].islower():
+                out["s" if scan else "w", x] += n
+            elif x[0].isupper() and not any(c.isdigit() for c in x):
+                out["c", x.lower()] += n
+
+
+def read_scans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vocabulary, lines) of texts (doc_id, text), in one pass over them.
+
+    vocabulary: (kind, word, n): kind 'w' words in small letters of texts without furniture, 's' of the
+    other texts, 'c' capitalised words in small letters, 't' words with a hyphen inside.
+    lines: (doc_id, line_no, line, furniture) of all lines of scanned texts, cut at LF and counted from 1.
     Furniture: page numbers; runs of bare numbers that count up by one, where a text has no other page
     numbers (never the value under a label that ends with a colon); lines of a header's shape that are
     repeated word for word in the text, or that have the form (codes masked, glyph skeleton) of one that is
     repeated in two texts.
     """
     text_batches(docs.sparkSession, 512)
+    columns = ["kind", "word", "n", "doc_id", "line_no", "line", "own", "repeated", "mask"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            rows = []
+            clean, scanned, rows, out = [], [], [], Counter()
             for d, t in zip(p["doc_id"], p["text"]):
                 m = mark(t)
-                if m:
-                    rows += [(d, i + 1, x, f, h, skeleton(_FILE_CODE.sub("code", x.strip(" \t\r")).lower()) if is_header(x.strip(" \t\r")) else None) for i, (x, f, h) in enumerate(zip(*m))]
-            yield pd.DataFrame(rows, columns=["doc_id", "line_no", "line", "own", "repeated", "mask"])
-
-    lines = docs.filter("text is not null").select("doc_id", "text").mapInPandas(run, "doc_id string, line_no int, line string, own boolean, repeated boolean, mask string")
-    lines = materialize(lines, "lines")
+                if not m:
+                    clean.append(t)
+                    continue
+                scanned.append(t)
+                for i, (x, f, h) in enumerate(zip(*m)):
+                    y = x.strip(" \t\r")
+                    rows.append((None, None, 0, d, i + 1, x, f, h, skeleton(_FILE_CODE.sub("code", y).lower()) if is_header(y) else None))
+            _count_words(clean, False, out)
+            _count_words(scanned, True, out)
+            rows += [(k, w, n, None, 0, None, False, False, None) for (k, w), n in out.items()]
+            yield pd.DataFrame(rows, columns=columns)
+
+    both = docs.filter("text is not null").select("doc_id", "text").mapInPandas(
+        run, "kind string, word string, n long, doc_id string, line_no int, line string, own boolean, repeated boolean, mask string")
+    both = materialize(both, "scans")
+    vocab = materialize(both.filter("kind is not null").groupBy("kind", "word").agg(F.sum("n").alias("n")), "vocabulary")
+    lines = both.filter("kind is null")
     known = lines.filter("repeated").select("mask", "doc_id").distinct().groupBy("mask").agg(F.count(F.lit(1)).alias("texts")).filter("texts >= 2")
     more = lines.filter("mask is not null and not own").join(known, "mask", "left_semi").select("doc_id", "line_no", F.lit(True).alias("more"))
-    return lines.join(more, ["doc_id", "line_no"], "left").select("doc_id", "line_no", "line", (F.col("own") | F.coalesce("more", F.lit(False))).alias("furniture"))
+    lines = lines.join(more, ["doc_id", "line_no"], "left").select("doc_id", "line_no", "line", (F.col("own") | F.coalesce("more", F.lit(False))).alias("furniture"))
+    return vocab, materialize(lines, "marked")
 
 
 def cut_words(lines: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -271,8 +272,7 @@ def noise_lines(docs: DataFrame) -> DataFrame:
     line that holds it. Rows that repeat an id are taken as one text of more lines.
     """
     docs = docs.filter("doc_id is not null and text is not null")
-    vocab = materialize(vocabulary(docs), "vocabulary")
-    lines = materialize(marked_lines(docs), "marked")
+    vocab, lines = read_scans(docs)
     cut = materialize(cut_words(lines, vocab), "cut")
     words = materialize(line_words(cut), "words")
     bad = misread_words(words, vocab)
@@ -289,8 +289,7 @@ def repair_texts(docs: DataFrame) -> DataFrame:
     A blank line next to furniture ends a paragraph only where the line before it ends a sentence.
     """
     docs = docs.filter("doc_id is not null and text is not null")
-    vocab = materialize(vocabulary(docs), "vocabulary")
-    lines = materialize(marked_lines(docs), "marked")
+    vocab, lines = read_scans(docs)
     cut = materialize(cut_words(lines, vocab), "cut")
     bad = misread_words(line_words(cut), vocab)
     row = Window.partitionBy("doc_id").orderBy("line_no")
