@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from legajo.llm.runs import runs
@@ -186,17 +186,19 @@ def similar_pairs(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHIN
     white space are copies. Null texts and texts of fewer than k words are similar to nothing.
     """
     members, links = link_classes(docs, similarity, k)
-    members = members.distinct()
-    sized = members.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cls"))).withColumn("rep", F.min("doc_id").over(Window.partitionBy("cls")))
+    members, links = members.distinct(), materialize(links, "links")
+    # Sizes are added up before the shuffle; classes of one text without a link are done with.
+    linked = links.select(F.explode(F.array("a", "b")).alias("cls")).distinct().withColumn("linked", F.lit(True))
+    sizes = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep")).join(linked, "cls", "left").filter("n > 1 or linked")
+    sized = materialize(members.join(sizes, "cls"), "classes")
     # What stands for a class in pairs: all members of a small one, the representative of a large one.
-    speak = sized.filter(f"n <= {expand} or doc_id = rep").select("cls", "doc_id")
+    speak = sized.filter(f"linked and (n <= {expand} or doc_id = rep)").select("cls", "doc_id")
     x = speak.select(F.col("cls").alias("a"), F.col("doc_id").alias("x"))
     y = speak.select(F.col("cls").alias("b"), F.col("doc_id").alias("y"))
     across = links.join(x, "a").join(y, "b").select("x", "y")
-    several = sized.filter("n > 1")
-    small = several.filter(f"n <= {expand}")
+    small = sized.filter(f"n > 1 and n <= {expand}")
     inside = small.select("cls", F.col("doc_id").alias("x")).join(small.select("cls", F.col("doc_id").alias("y")), "cls").filter("x < y").select("x", "y")
-    star = several.filter(f"n > {expand} and doc_id != rep").select(F.col("rep").alias("x"), F.col("doc_id").alias("y"))
+    star = sized.filter(f"n > {expand} and doc_id != rep").select(F.col("rep").alias("x"), F.col("doc_id").alias("y"))
     return across.unionByName(inside).unionByName(star).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
 
 
