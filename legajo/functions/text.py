@@ -47,8 +47,7 @@ def tokens(folded: Column) -> Column:
 def analyzed(folded: Column) -> Column:
     """Index terms: words of two characters or more, an inner dot kept, stop words dropped."""
     terms = F.regexp_extract_all(folded, F.lit(r"(\w+(?:\.?\w+)*)"), F.lit(1))
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(terms, lambda t: (F.char_length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(terms, lambda t: (F.char_length(t) > 1) & ~t.isin(*STOP_WORDS))
 
 
 #: English stop list of the index analyzer, fixed values.

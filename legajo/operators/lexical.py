@@ -10,7 +10,8 @@ K1, B = 1.2, 0.75
 
 def postings(df: DataFrame, id_col: str, terms: Column) -> DataFrame:
     """(id, term, tf, len): term frequencies of each row; rows without terms are absent."""
-    t = df.select(F.col(id_col).alias("id"), terms.alias("ts")).filter("size(ts) > 0")
+    # Exploding an array of one keeps the terms from being computed anew for each use.
+    t = df.select(F.col(id_col).alias("id"), F.explode(F.array(terms)).alias("ts"))
     return t.select("id", F.size("ts").alias("len"), F.explode("ts").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
 
 

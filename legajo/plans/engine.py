@@ -207,4 +207,30 @@ class Engine:
         return self.documents
 
 
+class Agent:
+    """A loop in which a provider answers with a tool call, {"tool": ..., "arguments": {...}}, or with its answer; six turns at most, a failed call is not repeated."""
+
+    def __init__(self, engine: Engine, history: int = 10):
+        self.engine, self.history, self.turns = engine, history, []
+
+    def ask(self, question: str, turns: int = 6) -> dict:
+        said, failed, sources = "", set(), []
+        past = "".join(f"{who}: {what}\n" for who, what in self.turns[-2 * self.history :])
+        for _ in range(turns):
+            answer = self.engine.provider.complete(f"{past}{question}\n{said}")
+            try:
+                call = json.loads(answer)
+                name, args = call["tool"], json.dumps(call.get("arguments", {}), sort_keys=True)
+            except (ValueError, KeyError, TypeError):
+                self.turns += [("user", question), ("assistant", answer)]
+                return {"answer": answer, "sources": list(dict.fromkeys(sources))[:8]}
+            seen = json.dumps({"error": "this call failed before"}) if (name, args) in failed else self.engine.call_tool(name, args)
+            if '"error"' in seen[:10]:
+                failed.add((name, args))
+            elif name == "search_documents":
+                sources += [r["filename"] for r in json.loads(seen)]
+            said += f"{name}({args}) = {seen}\n"
+        return {"answer": "", "sources": list(dict.fromkeys(sources))[:8]}
+
+
 T_NAME = re.compile(r"[^A-Za-z0-9_]")

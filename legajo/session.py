@@ -22,12 +22,14 @@ def get_spark(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSessi
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("LEGAJO_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
 
 
 _shipped: set[str] = set()
+_written: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -71,4 +73,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/legajo-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete the tables that materialize() has written so far, once no frame made from them is needed any more; how many."""
+    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
