@@ -198,5 +198,5 @@ def restore_records(records: DataFrame) -> DataFrame:
                 rows.append((tab, i, text, len(known), len(to) - len(known)))
             yield pd.DataFrame(rows, columns=["tabla", "rec_id", "restored", "fixed_words", "lost_words"])
 
-    return records.filter("text is not null").join(fixes, ["tabla", "rec_id"]).select("tabla", "rec_id", "text", "fixes").mapInPandas(
+    return records.select("tabla", "rec_id", "text").filter("text is not null").join(fixes, ["tabla", "rec_id"]).mapInPandas(
         run, "tabla string, rec_id string, restored string, fixed_words int, lost_words int")

@@ -80,7 +80,7 @@ def line_kind(line: str, names: set[str]) -> int:
         return KIND["wrote"]
     if _INTRO.match(s) and s.endswith(","):
         return KIND["intro"]
-    if re.search(r"<\S+@\S+>\s*$", s):
+    if len(s) < 300 and re.search(r"<\S+@\S+>$", s):
         return KIND["address"]
     if _CLOSING.match(s):
         return KIND["closing"]

@@ -165,7 +165,7 @@ def link_classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHING
     docs: (doc_id, text). A class holds the texts with the same sequence set, however many; only its
     representative (smallest id) takes part in the walk. Null texts and texts of fewer than k words are in no class.
     """
-    docs = docs.filter("doc_id is not null")
+    docs = docs.select("doc_id", "text").filter("doc_id is not null")
     sig = materialize(signatures(docs, k), "signatures")
     members = sig.select("doc_id", "cls")
     reps = sig.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(sig.drop("cls"), "doc_id").dropDuplicates(["cls"])

@@ -16,7 +16,7 @@ BAD = [misread(CLEAN[0], "utf-8", "latin-1"), misread(CLEAN[2], "utf-8", "cp850"
 def frame(spark):
     rows = [("t", f"c{i}-{k}", t) for k in range(4) for i, t in enumerate(CLEAN)] + [("t", f"g{i}", t) for i, t in enumerate(GOOD)]
     rows += [("t", f"b{i}", t) for i, t in enumerate(BAD)] + [("t", "null", None), ("t", "empty", ""), ("u", "b0", BAD[0]), ("t", "b0", BAD[0]), ("t", "new", "un garañón".encode().decode("latin-1"))]
-    return spark.createDataFrame(rows, "tabla string, rec_id string, text string").selectExpr("*", "1 as token", "2 as n")
+    return spark.createDataFrame(rows, "tabla string, rec_id string, text string").selectExpr("*", "1 as token", "2 as n", "3 as fixes")
 
 
 def test_found(spark):

@@ -43,7 +43,7 @@ def test_against_brute_force(spark, seed):
                 t = t[h:] + t[:h]
             rows.append((f"b{i}v{k}", " ".join(t)))
     rows += [("n", None), ("e", ""), ("t", "dos palabras"), ("c1", "  UNO dos\nTRES  cuatro "), ("c2", "uno dos tres cuatro"), ("largo", " ".join(vocab * 60)), ("largo2", " ".join(vocab * 60) + " fin")]
-    df = spark.createDataFrame(rows, "doc_id string, text string")
+    df = spark.createDataFrame(rows, "doc_id string, text string").selectExpr("*", "1 as cls", "'z' as a", "2 as size")
     want = brute(rows)
     assert ("c1", "c2") in want and ("largo", "largo2") in want
     assert pairs(df) == want
