@@ -92,3 +92,9 @@ def synonyms(vectors: DataFrame, words: list[str], k: int = 6, floor: float = 0.
     variant = F.contains("word", F.col("synonym")) | F.contains("synonym", F.col("word")) | (F.expr("left(word, 4)") == F.expr("left(synonym, 4)")) & (F.substring("word", F.lit(1), stem_len) == F.substring("synonym", F.lit(1), stem_len))
     rank = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("score"), "synonym"))
     return named.filter(~variant).withColumn("rank", rank.cast("long")).filter(f"rank <= {k}").select("word", "synonym", "score", "rank")
+
+
+def soft_boost(hits: DataFrame, other: DataFrame, weight: float = 0.35) -> DataFrame:
+    """(query, id, score): hits with weight times the score that optional terms (synonyms) give the same row; no row is added."""
+    o = other.select("query", "id", F.col("score").alias("more"))
+    return hits.join(o, ["query", "id"], "left").withColumn("score", F.col("score") + weight * F.coalesce("more", F.lit(0.0))).select(*hits.columns)

@@ -13,11 +13,18 @@ from legajo.session import ship
 
 #: Query vectors that one block holds; more are searched in several blocks.
 BLOCK = 4096
-#: Hyperplanes, tables and the Hamming radius of the signature index.
-PLANES, TABLES, RADIUS = 10, 24, 2
+#: Hyperplanes, tables and the Hamming radius of the search index; rows meant for one bucket.
+PLANES, TABLES, RADIUS, BUCKET = 10, 24, 2, 64
 SEED = 7
 
 
+def index_shape(n: int, cosine: float, least: float = 0.97) -> tuple[int, int]:
+    """(planes, tables) for n vectors: planes grow with log2 n, so that buckets stay small; tables then so that a pair at the cosine meets in one with probability `least`."""
+    planes = max(PLANES, int(np.ceil(np.log2(max(n, 1) / BUCKET))))
+    meet = (1 - np.arccos(cosine) / np.pi) ** planes
+    return planes, max(1, int(np.ceil(np.log(1 - least) / np.log(1 - meet))))
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(n == 0, 1.0, n)
@@ -72,20 +79,19 @@ def _keep(p: pd.DataFrame, k: int) -> pd.DataFrame:
     return p[p.groupby("query").cumcount() < k].drop(columns="r")
 
 
-def signatures(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v, table, bucket): the sides of PLANES random hyperplanes in each of TABLES tables; every row is indexed."""
+def signatures(df: DataFrame, id_col: str, vec_col: str, planes: int = PLANES, tables: int = TABLES) -> DataFrame:
+    """(id, v, table, bucket): the sides of `planes` random hyperplanes in each of `tables` tables; every row is indexed."""
     ship(df.sparkSession)
-    size = PLANES * TABLES
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             m = np.vstack(p["v"].to_numpy()).astype(np.float64)
-            planes = np.random.default_rng(SEED).standard_normal((m.shape[1], size))
-            bits = ((m @ planes) > 0).reshape(len(m), TABLES, PLANES)
-            yield pd.DataFrame({"id": p["id"], "v": p["v"], "buckets": list((bits @ (1 << np.arange(PLANES))).astype(np.int32))})
+            normals = np.random.default_rng(SEED).standard_normal((m.shape[1], planes * tables))
+            bits = ((m @ normals) > 0).reshape(len(m), tables, planes)
+            yield pd.DataFrame({"id": p["id"], "v": p["v"], "buckets": list((bits @ (1 << np.arange(planes, dtype=np.int64))).astype(np.int64))})
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter("id is not null and size(v) > 0")
-    return rows.mapInPandas(run, "id long, v array<double>, buckets array<int>").select("id", "v", F.posexplode("buckets").alias("table", "bucket"))
+    return rows.mapInPandas(run, "id long, v array<double>, buckets array<long>").select("id", "v", F.posexplode("buckets").alias("table", "bucket"))
 
 
 def _cosine(a: str, b: str):
@@ -100,7 +106,7 @@ def indexed_search(df: DataFrame, id_col: str, vec_col: str, queries: DataFrame,
     flips = [0, *(1 << i for i in range(PLANES))]
     if radius > 1:
         flips += [(1 << i) | (1 << j) for i in range(PLANES) for j in range(i)]
-    probes = signatures(queries, id_col, vec_col).select(F.col("id").alias("query"), "table", F.explode(F.array(*(F.col("bucket").bitwiseXOR(F.lit(f)) for f in flips))).alias("bucket"))
+    probes = signatures(queries, id_col, vec_col).select(F.col("id").alias("query"), "table", F.explode(F.array(*(F.col("bucket").bitwiseXOR(F.lit(f).cast("long")) for f in flips))).alias("bucket"))
     pairs = index.select("id", "table", "bucket").join(probes, ["table", "bucket"]).filter("query != id").select("query", "id").distinct()
     a = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("va"))
     b = queries.select(F.col(id_col).cast("long").alias("query"), F.col(vec_col).cast("array<double>").alias("vb"))
@@ -118,14 +124,15 @@ def mean_pool(df: DataFrame, key: str, vec_col: str) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str, vec_col: str, cosine: float = 0.85) -> DataFrame:
     """(id, copies, links, linked_to): one row per vector; copies: vectors equal to it, links: other vectors at the cosine or more, linked_to: the smallest of their ids.
 
-    Equal vectors are taken together first. Distinct ones meet where a signature of PLANES bits agrees in
-    one of TABLES tables, and are then scored exactly. At cosine 0.85 a bit differs with probability 0.177,
-    so a pair is met with probability 1 - (1 - 0.823^10)^24 = 0.97; recall is measured in the tests.
+    Equal vectors are taken together first. Distinct ones meet where their signatures agree in one of the
+    tables (index_shape: a pair at the cosine is met with probability 0.97), and are then scored exactly;
+    recall is measured in the tests.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter("id is not null and size(v) > 0")
     keyed = rows.withColumn("cls", F.xxhash64("v"))
     reps = keyed.groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
-    sig = signatures(reps, "cls", "v").select(F.col("id").alias("cls"), "table", "bucket")
+    planes, tables = index_shape(reps.count(), cosine)
+    sig = signatures(reps, "cls", "v", planes, tables).select(F.col("id").alias("cls"), "table", "bucket")
     pairs = sig.alias("x").join(sig.alias("y"), ["table", "bucket"]).filter("x.cls < y.cls").select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
     va, vb = reps.select(F.col("cls").alias("a"), F.col("v").alias("va"), F.col("rep").alias("ra"), F.col("copies").alias("ca")), reps.select(F.col("cls").alias("b"), F.col("v").alias("vb"), F.col("rep").alias("rb"), F.col("copies").alias("cb"))
     close = pairs.join(va, "a").join(vb, "b").filter(_cosine("va", "vb") >= cosine)

@@ -123,3 +123,14 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     sep = separator(head[0][0] if head else "")
     df = spark.read.csv(path, sep=sep, header=True, inferSchema=True, mode="DROPMALFORMED", encoding="UTF-8")
     return df.withColumnsRenamed({c: c.strip().lstrip("﻿") for c in df.columns})
+
+
+def read_vectors(spark: SparkSession, path: str, dims: int, most: int | None = None) -> DataFrame:
+    """(word, v) of a text file of word vectors, one word and its numbers a line, scaled to length 1; lines of another width and words that are not letters are left out."""
+    parts = F.split(F.trim("value"), r"\s+")
+    lines = spark.read.text(path)
+    lines = (lines.limit(most) if most else lines).select(parts.alias("p")).filter(F.size("p") == dims + 1)
+    v = F.transform(F.slice("p", 2, dims), lambda x: x.try_cast("double"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    rows = lines.select(F.lower(F.get("p", F.lit(0))).alias("word"), v.alias("v")).filter(F.col("word").rlike(r"(?U)^\p{L}+$") & ~F.exists("v", lambda x: x.isNull()))
+    return rows.withColumn("n", norm).filter("n > 0").select("word", F.transform("v", lambda x: x / F.col("n")).alias("v"))

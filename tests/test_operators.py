@@ -1,16 +1,18 @@
 """Hand-computed cases and brute force for operators that SQL does not cover."""
 
 import itertools
+import os
 import zipfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from legajo import session
 from legajo.functions import text as T
 from legajo.operators import chunking, fusion, graph, passes, vectors
 from legajo.plans import sqlsurface
-from legajo.plans.engine import Engine
+from legajo.plans.engine import Agent, Engine
 from legajo.sources import files
 from legajo.streaming import jobs
 
@@ -169,3 +171,39 @@ def test_passes_in_order(spark):
     b = spark.createDataFrame([(0, 1, 9.0), (0, 2, 1.0)], "query long, id long, score double")
     assert [(r["id"], r["pass_no"], r["rank"]) for r in passes.in_order([a, b], 5).orderBy("rank").collect()] == [(1, 0, 1), (2, 1, 2)]
     assert one(spark, passes.stem, "instalaciones") == one(spark, passes.stem, "instalacion")
+
+
+def test_agent(spark, sf):
+    class Script:
+        def __init__(self, *lines):
+            self.lines, self.prompts = list(lines), []
+
+        def complete(self, prompt):
+            self.prompts.append(prompt)
+            return self.lines.pop(0)
+
+    bad = '{"tool": "query_data", "arguments": {"sql": "drop table x"}}'
+    p = Script(bad, bad, '{"tool": "search_documents", "arguments": {"query": "contrato"}}', "Listo.")
+    e = Engine(spark, spark.read.parquet(f"{sf}/documents_x.parquet"), spark.read.parquet(f"{sf}/chunks.parquet"), p)
+    a = Agent(e)
+    got = a.ask("¿Qué contratos hay?")
+    assert got["answer"] == "Listo." and got["sources"] and "failed before" in p.prompts[2] and a.turns[-1] == ("assistant", "Listo.")
+    p.lines = ["SELECT nope", "```sql\nselect 1 as one\n```"]
+    assert e.ask_sql("uno")[0].first()["one"] == 1
+    p.lines = ["Sí."]
+    assert e.ask("contrato")["answer"] == "Sí."
+
+
+def test_soft_boost_and_vector_file(spark, tmp_path):
+    a = spark.createDataFrame([(0, 1, 2.0), (0, 2, 1.0)], "query long, id long, score double")
+    b = spark.createDataFrame([(0, 2, 10.0), (0, 3, 5.0)], "query long, id long, score double")
+    assert sorted((r["id"], r["score"]) for r in passes.soft_boost(a, b).collect()) == [(1, 2.0), (2, 4.5)]
+    (tmp_path / "v.txt").write_text("3 2\nCasa 3 4\nx9 1 1\nsol 0 0\nmar 1 x\n", encoding="utf-8")
+    assert [(r["word"], r["v"]) for r in files.read_vectors(spark, str(tmp_path / "v.txt"), 2).collect()] == [("casa", [0.6, 0.8])]
+
+
+def test_materialize_and_clean_up(spark):
+    df = session.materialize(spark.range(5), "t")
+    path = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert df.count() == 5 and os.path.exists(path)
+    assert session.clean_up(spark) >= 1 and not os.path.exists(path)
