@@ -57,7 +57,6 @@ def bm25_all_terms(spark: SparkSession, d: str) -> DataFrame:
     return lexical.top_k(lexical.bm25(post, q, match_all=True), K).select("query", "id", F.round("score", 6).alias("score"), "rank")
 
 
-_GRAM = "regexp_replace({f}, '[^a-z0-9]', '', 'g')"
 _TK = "incidencias_soporte_q4_2024"
 
 

@@ -23,7 +23,6 @@ from legajo.session import text_batches
 TICKETS = ("id_ticket", "fecha_apertura", "fecha_cierre", "cliente", "prioridad", "categoria", "descripcion_breve", "tecnico_asignado", "estado")
 EQUIPMENT = ("id_equipo", "tipo", "marca", "modelo", "numero_serie", "asignado_a", "departamento", "fecha_compra", "estado")
 LAYOUTS = {"tickets": TICKETS, "equipment": EQUIPMENT}
-WIDTH = 9
 _BLANKS = " \t\r\n"
 #: Line breaks inside records stand as these while a batch is one CSV text.
 _LF, _CR = "", ""

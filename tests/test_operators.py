@@ -13,7 +13,7 @@ from legajo.functions import text as T
 from legajo.operators import chunking, fusion, graph, passes, vectors
 from legajo.plans import sqlsurface
 from legajo.plans.engine import Agent, Engine
-from legajo.sources import files
+from legajo.sources import files, store
 from legajo.streaming import jobs
 
 
@@ -202,6 +202,16 @@ def test_soft_boost_and_vector_file(spark, tmp_path):
     assert [(r["word"], r["v"]) for r in files.read_vectors(spark, str(tmp_path / "v.txt"), 2).collect()] == [("casa", [0.6, 0.8])]
 
 
+def test_tables(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a ;b\n1;x\n2;y\n", encoding="utf-8")
+    t = files.read_table(spark, str(tmp_path / "t.csv"))
+    assert t.columns == ["a", "b"] and t.agg(F.sum("a")).first()[0] == 3
+    store.write_table(t, str(tmp_path / "out"), "b")
+    new = spark.createDataFrame([(9, "x"), (8, "z")], "a int, b string")
+    got = store.upsert(spark.read.parquet(str(tmp_path / "out")), new, ["b"]).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == [(2, "y"), (8, "z"), (9, "x")]
+
+
 def test_materialize_and_clean_up(spark):
     df = session.materialize(spark.range(5), "t")
     path = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
