@@ -142,10 +142,6 @@ def organization_forms(name: str) -> dict[str, int]:
     return out
 
 
-def _deletions(w: str) -> set[str]:
-    return {w[:i] + w[i + 1:] for i in range(len(w))} | {w}
-
-
 def one_typo(a: str, b: str) -> bool:
     """At most one letter inserted, dropped, replaced or swapped with its neighbour, or ll typed as y."""
     if a == b or a.replace("y", "ll") == b:

@@ -20,7 +20,6 @@ PAGE = (
     r"(?:P[áaà]gina \d+(?: de \d+)?|Page \d+(?: of \d+)?|P[áaà]g\. ?\d+(?: ?/ ?\d+)?|[-–—] ?\d+ ?[-–—]|\[\d+\]|· ?\d+ ?·"
     r"|(?:Hoja|Folio|Full)(?: n\.º)? \d+(?: de \d+)?|-{2,} ?(?:P[áaà]gina|Page) \d+ ?-{2,}|\d+ ?\| ?\p{Lu}[^|]{2,40}|\p{Lu}[^|]{2,40} ?\| ?\d+|\d+ ?/ ?\d+)"
 )
-BARE = r"\d{1,4}"
 #: A running header or footer: a capitalised line with a sign that parts its fields, or a word and a file code.
 HEADER = r"\p{Lu}[^\n]{1,60}(?: [—–·|/] [^\n]{1,60})+|\p{Lu}[\p{Ll}\d@]+(?: [\p{Ll}\d@]+){0,3} \p{Lu}{2,4}-\d{2,4}-\d{2,6}"
 MARKS = "-‐¬\xad"
