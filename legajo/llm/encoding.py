@@ -23,7 +23,12 @@ RATIO = 3.0
 _NOT_ASCII = re.compile(r"[^\x00-\x7f]")
 _EDGE = ".,;:()[]{}\"'!?<>|*=_"
 _LETTERS = frozenset("áéíóúüñçàèòïâêôãõäöëîûìùÁÉÍÓÚÜÑÇÀÈÒÏÂÊÔÃÕÄÖËÎÛß")
+#: Letters of the collection's own languages.
+_OWN = frozenset("áéíóúüñçàèòïÁÉÍÓÚÜÑÇÀÈÒÏ")
 _CLEAN = frozenset(CLEAN)
+#: A sign between or right after letters, and a middle dot other than the Catalan l·l: no clean word has them.
+_SIGN_INSIDE = re.compile(r"(?<=[^\W\d_])(?!(?<=l)·l)[^\w\x00-\x7f](?=[^\W\d_])|(?<=[^\W\d_])[¼½¾²³±£¥¢§©®×]|(?<!l)·(?=[^\W\d_])", re.I)
+_ASCII_LETTER = re.compile("[A-Za-z]")
 
 
 @lru_cache(maxsize=4096)
@@ -98,15 +103,22 @@ def token_table(records: DataFrame) -> DataFrame:
 
 
 def _is_clean(token: str) -> bool:
-    """Letters of clean text only, in a usual mix of cases: a lone capital with an accent inside a small word is none."""
+    """Letters of clean text only, no sign between them, in a usual mix of cases: a lone capital with an accent inside a small word is none."""
     beyond = _NOT_ASCII.findall(token)
-    if not all(c in _CLEAN for c in beyond):
+    if not all(c in _CLEAN for c in beyond) or _SIGN_INSIDE.search(token):
         return False
     inner = token[1:]
     mixed = any(c in _LETTERS and c.isupper() for c in inner) and any(c.islower() for c in inner)
     return not mixed
 
 
+def _could_be_clean(token: str) -> bool:
+    """Words in the collection's own letters, and tokens that are no words at all: for these a frequent original must speak."""
+    if not _ASCII_LETTER.search(token):
+        return True
+    return _is_clean(token) and all(c in _OWN or c not in _LETTERS for c in _NOT_ASCII.findall(token))
+
+
 def garbled_table(vocabulary: DataFrame) -> DataFrame:
     """(garbled, word, chain, n): the forms of every clean word of a vocabulary (token, n)."""
 
@@ -147,8 +159,8 @@ def bad_tokens(tokens: DataFrame) -> DataFrame:
     """(token, word, chain): the distinct words that a wrong decoding left, with the original where one is proven (else null).
 
     Every clean word of the collection is garbled under all chains and equi-joined with the distinct words.
-    A form that holds characters foreign to clean text is bad as soon as one original makes it; a form that
-    could be clean is bad only where its original is RATIO times as frequent. Of several originals the most
+    A word with characters or signs foreign to clean text is bad as soon as one original makes it, however
+    often it was copied; one that could be clean only where its original is RATIO times as frequent. Of several originals the most
     frequent is taken. U+FFFD always marks a bad word, with or without an original.
     """
     vocab = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
@@ -157,7 +169,7 @@ def bad_tokens(tokens: DataFrame) -> DataFrame:
     table = garbled_table(vocab.repartition(vocab.sparkSession.sparkContext.defaultParallelism, "token"))
     best = Window.partitionBy("garbled").orderBy(F.desc("n"), "word")
     table = table.withColumn("k", F.row_number().over(best)).filter("k = 1").drop("k")
-    clean = F.udf(_is_clean, "boolean")
+    clean = F.udf(_could_be_clean, "boolean")
     sequences = F.udf(restore_by_sequences, "string")
     v = vocab.select("token", F.col("n").alias("own"), clean("token").alias("looks_clean"))
     hit = v.join(table.hint("merge"), v.token == table.garbled, "left")
