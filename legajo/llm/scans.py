@@ -214,38 +214,39 @@ def cut_words(lines: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def line_words(cut: DataFrame) -> DataFrame:
-    """(doc_id, line_no, next_no, word, left) of words in small letters; left is the length of the part on the line where the word goes on in the next one, else null."""
+    """(doc_id, line_no, next_no, word, left, ctx) of words in small letters; ctx is a hash of the line, left is the length of the part on the line where the word goes on in the next one, else null."""
     follows = F.coalesce(F.lag("hyphen").over(Window.partitionBy("doc_id").orderBy("line_no")), F.lit(False))
     text_batches(cut.sparkSession, 4096)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             rows = []
-            for d, i, line, hyphen, nxt, word, skip in zip(p["doc_id"], p["line_no"], p["line"], p["hyphen"], p["next_no"], p["next_word"], p["follows"]):
+            for d, i, line, hyphen, nxt, word, skip, ctx in zip(p["doc_id"], p["line_no"], p["line"], p["hyphen"], p["next_no"], p["next_word"], p["follows"], p["ctx"]):
                 tokens = runs(line)[1 if skip else 0:]
                 if hyphen and tokens:
                     last = tokens.pop()
                     head = last.rstrip(MARKS).lstrip(_EDGE)
                     x = head + word.rstrip(_EDGE)
                     if x and not x[0].isupper() and not _CODE.match(x) and not any(c in x for c in MARKS):
-                        rows.append((d, i, int(nxt), x, len(head)))
+                        rows.append((d, i, int(nxt), x, len(head), ctx))
                 for t in tokens:
                     if t[0].isupper() and not (t[0] == "I" and t[1:2].islower()) or _CODE.match(t):
                         continue
                     for x in _PART.findall(_core(t)):
                         if len(x) > 1 and not x[1:].isupper() and any(c.isalpha() for c in x):
-                            rows.append((d, i, None, x, None))
-            yield pd.DataFrame(rows, columns=["doc_id", "line_no", "next_no", "word", "left"]).astype({"next_no": "Int32", "left": "Int32"})
+                            rows.append((d, i, None, x, None, ctx))
+            yield pd.DataFrame(rows, columns=["doc_id", "line_no", "next_no", "word", "left", "ctx"]).astype({"next_no": "Int32", "left": "Int32"})
 
-    return cut.withColumn("follows", follows).select("doc_id", "line_no", "line", "hyphen", "next_no", "next_word", "follows").mapInPandas(
-        run, "doc_id string, line_no int, next_no int, word string, left int")
+    return cut.withColumn("follows", follows).select("doc_id", "line_no", "line", "hyphen", "next_no", "next_word", "follows", F.xxhash64("line").alias("ctx")).mapInPandas(
+        run, "doc_id string, line_no int, next_no int, word string, left int, ctx long")
 
 
 def misread_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """(word, printed, at): distinct words that no clean text holds, with the frequent form of the same skeleton that a scanner may have misread; at: the places."""
     clean = vocab.filter("kind = 'w'")
     shape = lambda w: sql_skeleton(F.col(w))
-    suspects = words.groupBy("word").agg(F.count(F.lit(1)).alias("own")).join(clean.select("word"), "word", "left_anti").withColumn("bones", shape("word"))
+    # A word's own weight is the number of different lines that hold it, so that copies of a scan don't make its errors frequent.
+    suspects = words.select("word", "ctx").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("own")).join(clean.select("word"), "word", "left_anti").withColumn("bones", shape("word"))
     both = vocab.filter("kind in ('w', 's') and char_length(word) > 1 and word rlike '(?U)^\\\\p{Ll}+$'").groupBy("word").agg(F.sum("n").alias("n"))
     forms = both.filter("n > 1").select(F.col("word").alias("printed"), "n", shape("word").alias("bones"))
 
