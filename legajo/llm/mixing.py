@@ -25,8 +25,8 @@ def draw_mix(
 
     Without total_tokens the total is the largest for which each source that has tokens can give its
     share within its repeats. A source is gone through whole as often as its budget holds, the rest is
-    the start of one more round in the order of a hash-random key, cut where the running sum comes
-    nearest to the budget. Running sums are taken in two levels: the key's leading bits make buckets,
+    the start of one more round in the order of a hash-random key, cut at the budget: the one text that
+    lies across the cut is in, out or passed over, whichever comes nearest. Running sums are taken in two levels: the key's leading bits make buckets,
     sums of buckets are accumulated first, then rows inside each bucket; so a source with a third of all
     rows is spread over many tasks. Null, unknown or zero-weight sources, null ids and texts without
     tokens are never drawn; weights are taken relative to the sources that have tokens. Repeated target
@@ -57,12 +57,25 @@ def draw_mix(
     rows = sized.withColumn("key", key).withColumn("bucket", F.pmod(F.shiftrightunsigned("key", 20), F.lit(buckets)))
     sums = rows.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("s"))
     before = sums.withColumn("before", F.sum("s").over(Window.partitionBy("source").orderBy("bucket")) - F.col("s")).drop("s")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     run = rows.withColumn("upto", F.sum("n_tokens").over(inside)).join(before, ["source", "bucket"])
     upto = F.col("before") + F.col("upto")
-    # The text that holds the cut is in where more than half of it lies before the cut.
-    extra = (upto - F.col("n_tokens") / 2 < F.col("rest")).cast("int")
-    drawn = run.join(plan.select("source", "full_rounds", "rest", "max_repeats"), "source").withColumn(
+    run = materialize(run.select("doc_id", "source", "n_tokens", upto.alias("upto")), "order").join(plan.select("source", "full_rounds", "rest", "max_repeats"), "source")
+    # One text of a source may lie across its cut. Either it is in or out, by where its larger part lies, or it is passed
+    # over and the order goes on without it, so that one huge text does not spoil a share: whichever comes nearer.
+    across = (F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("n_tokens") < F.col("rest"))
+    held = run.filter(across).groupBy("source").agg(F.max("upto").alias("held_upto"), F.max("n_tokens").alias("held"))  # a row per source
+    run = run.join(held, "source", "left").na.fill(0, ["held"])
+    whole = F.col("upto") <= F.col("rest")
+    beyond = F.coalesce(F.col("upto") > F.col("held_upto"), F.lit(False)) & (F.col("upto") - F.col("held") - F.col("n_tokens") / 2 < F.col("rest"))
+    start = F.col("held_upto") - F.col("held")
+    missed = F.abs(F.first("rest") - F.sum(F.when(whole | beyond, F.col("n_tokens")).otherwise(0)))
+    kept = F.least(F.first("held_upto") - F.first("rest"), F.first("rest") - F.first(start))
+    better = run.groupBy("source").agg(F.coalesce(missed <= kept, F.lit(False)).alias("pass_over"))  # a row per source
+    run = run.join(better, "source")
+    is_held = F.coalesce(F.col("upto") == F.col("held_upto"), F.lit(False))
+    extra = F.when(whole, 1).when(F.col("pass_over"), beyond.cast("int")).otherwise((is_held & (F.col("rest") - start > F.col("held") / 2)).cast("int"))
+    drawn = run.withColumn(
         "times", F.least(F.col("full_rounds") + extra, "max_repeats").cast("int")).filter("times > 0").select("doc_id", "source", "n_tokens", "times")
     got = drawn.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("times")).alias("drawn_tokens"))
     shares = plan.drop("rows", "rest").join(got, "source", "left").withColumn("drawn_tokens", F.coalesce("drawn_tokens", F.lit(0)))
