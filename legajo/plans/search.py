@@ -9,7 +9,7 @@ from legajo.functions import text as T
 from legajo.operators import fusion, lexical, vectors
 from legajo.plans.registry import query
 from legajo.plans.texts import sql_fold
-from legajo.session import materialize, read
+from legajo.session import materialize, read, spread
 
 K = 10
 
@@ -27,7 +27,7 @@ _LEX = f"{_POST}, {_QUERIES}, {_BM25}"
 
 
 def document_postings(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").select("doc_id", T.fold(F.col("text")).alias("f"))
+    docs = spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.fold(F.col("text")).alias("f"))
     return materialize(lexical.postings(docs, "doc_id", T.analyzed(F.col("f"))), "postings")
 
 

@@ -16,9 +16,10 @@ MAX_ROWS = 200
 _READ_ONLY = re.compile(r"^\s*(?:with|select|from|values|table|\()", re.I)
 
 
-def register_views(spark: SparkSession, d: str) -> list[str]:
-    """Temporary views of all tables in a folder, named after their files."""
+def register_views(spark: SparkSession, d: str, only_in: str | None = None) -> list[str]:
+    """Temporary views of the tables in a folder, named after their files; of those that a text names, where one is given."""
     names = sorted(f[: -len(".parquet")] for f in os.listdir(d) if f.endswith(".parquet"))
+    names = [n for n in names if only_in is None or re.search(rf"\b{n}\b", only_in)]
     for n in names:
         read(spark, d, n).createOrReplaceTempView(n)
     return names
@@ -57,7 +58,7 @@ def _same(sql: str):
 
     def put(f):
         def g(spark: SparkSession, d: str) -> DataFrame:
-            register_views(spark, d)
+            register_views(spark, d, sql)
             return run_sql(spark, sql, None)[0]
 
         g.__name__, g.__doc__ = f.__name__, f.__doc__

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from legajo.functions import text as T
 from legajo.operators import chunking as C
 from legajo.plans.registry import query
-from legajo.session import read
+from legajo.session import read, spread
 
 TICKETS = "incidencias_soporte_q4_2024"
 
@@ -65,7 +65,7 @@ for _p, _r in (
 
 @query(f"select doc_id, md5({_CLEAN}) as clean_md5, len({_CLEAN})::int as n from documents_x")
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
-    c = _x(spark, d, T.clean(F.col("raw_text")).alias("c"))
+    c = spread(_x(spark, d, "raw_text")).select("doc_id", T.clean(F.col("raw_text")).alias("c"))
     return c.select("doc_id", F.md5(F.encode("c", "UTF-8")).alias("clean_md5"), F.char_length("c").alias("n"))
 
 
@@ -92,7 +92,7 @@ _DAY = rf"([0-9]{{1,2}}) de ({_M}) (?:de |del )?([0-9]{{4}})"
       when 'month' then right(x, 4) || '-' || {_MAP}[lower(split_part(x, ' ', 1))] else x end as v from f)
     select d.doc_id, coalesce(string_agg(v, ' ' order by v), '') as dates from documents_x d left join v using (doc_id) group by d.doc_id""")
 def extract_dates(spark: SparkSession, d: str) -> DataFrame:
-    return _x(spark, d, F.array_join(T.dates(F.col("raw_text")), " ").alias("dates"))
+    return spread(_x(spark, d, "raw_text")).select("doc_id", F.array_join(T.dates(F.col("raw_text")), " ").alias("dates"))
 
 
 @query(f"""select doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(raw_text, '{T.PERSON}', 1)))[1:20], '; ') as persons,
@@ -142,7 +142,7 @@ def detect_language(spark: SparkSession, d: str) -> DataFrame:
        r as (select *, row_number() over (partition by doc_id order by score desc, term) as rk from s)
        select doc_id, string_agg(term, ' ' order by rk) as keywords from r where rk <= 8 group by 1""")
 def keywords_tfidf(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents")
+    docs = spread(read(spark, d, "documents").select("doc_id", "text"))
     terms = F.regexp_extract_all(F.lower("text"), F.lit("([a-záéíóúüñçàèòï]{4,})"), F.lit(1))
     p = docs.select("doc_id", F.explode(terms).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     f = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
