@@ -16,7 +16,7 @@ MAX_WORDS = 512
 MAX_CHARS = 4096
 OVERLAP_WORDS = 50
 #: Characters a shared word may have on average before the overlap is measured in characters instead.
-OVERLAP_CHARS_PER_WORD = 8
+OVERLAP_CHARS_PER_WORD = 20
 #: Price of a cut by the boundary it falls on.
 PENALTY = {"heading": 0.0, "paragraph": 1.0, "sentence": 3.0, "line": 4.0, "word": 25.0, "inside": 60.0}
 #: Price of a piece by its squared relative distance from the even size.
@@ -40,21 +40,27 @@ def is_oversized(c: Column, max_words: int = MAX_WORDS, max_chars: int = MAX_CHA
 
 
 def _units(text: str, cap: int) -> tuple[list[int], list[int], list[bool]]:
-    """Spans of the words; a word longer than cap characters becomes several units. inside[i]: unit i continues a word."""
+    """Spans of the words; a word longer than cap characters becomes several units, cut after a separator where one is near. inside[i]: unit i continues a word."""
     starts, ends, inside = [], [], []
     for m in _WORD.finditer(text):
         a, b = m.span()
         if b - a <= cap:
             starts.append(a), ends.append(b), inside.append(False)
         else:
-            for k in range(a, b, cap):
-                starts.append(k), ends.append(min(b, k + cap)), inside.append(k > a)
+            k = a
+            while k < b:
+                end = min(b, k + cap)
+                if end < b:
+                    at = max(text.rfind(c, k + cap // 2, end) for c in ";,|/")
+                    end = at + 1 if at > 0 else end
+                starts.append(k), ends.append(end), inside.append(k > a)
+                k = end
     return starts, ends, inside
 
 
 def _price(text: str, end: int, start: int, continued: bool) -> float:
     if continued:
-        return PENALTY["inside"]
+        return PENALTY["word" if text[end - 1] in ";,|/" else "inside"]
     gap = text[end:start]
     if "\n" in gap:
         if _HEADING.match(text, start) and not text[start : start + 40].isspace():
@@ -104,7 +110,8 @@ def split_text(text: str, max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS
     first = np.array([back(b) for b in bounds])
     at = np.array(bounds)
     total_words = n + overlap * max(0, n // max(1, room_words))
-    parts = max(1, -(-total_words // max_words), -(-int(ends[-1] - starts[0]) // max(1, room_chars)))
+    shared = min(share_chars, overlap * (ends[-1] - starts[0]) / n)
+    parts = max(1, -(-total_words // max_words), int(-(-(ends[-1] - starts[0] - shared) // (max_chars - shared))))
     even = max(1.0, (ends[-1] - starts[0]) / parts)
     cost, prev = np.full(m, np.inf), np.full(m, -1)
     cost[0] = 0.0
@@ -142,7 +149,7 @@ def split_items(
     """Pieces of the items of df: (item_id, section, piece_index, text, n_words, n_chars, char_start, char_end).
 
     Every piece has at most max_words words and max_chars characters. Consecutive pieces share `overlap`
-    words (fewer where the shared words would pass 8 characters a word on average, as in blocks without
+    words (fewer where the shared words would pass 20 characters a word on average, as in blocks without
     breaks). An item within the limits is its own single piece, unless only_oversized. Null text or null
     id: no piece / the id stays null. An oversized text without a word gives one empty piece. Rows that
     repeat an id are cut separately. Other columns of df are dropped, so their names cannot clash.

@@ -23,11 +23,11 @@ def test_limits_cover_overlap(parts, max_words, overlap):
         assert b - a <= 400 and n <= max_words and len(S._WORD.findall(text[a:b])) <= max_words and a in starts and b in ends
     for (_, b, _), (a, _, _) in zip(cut, cut[1:]):
         shared = [i for i, s in enumerate(starts) if a <= s and ends[i] <= b]
-        assert a <= b + 80 and len(shared) <= overlap
-        # fewer shared words only where they pass 8 characters a word
+        assert a <= b + 250 and len(shared) <= overlap
+        # fewer shared words only where they would be too long
         if len(shared) < min(overlap, starts.index(a)) and starts.index(a) > 0:
             i = starts.index(a) - 1
-            assert b - starts[i] > min(overlap * 8, 200)
+            assert b - starts[i] > min(overlap * S.OVERLAP_CHARS_PER_WORD, 200)
 
 
 def test_giant_word_and_natural_cuts():
