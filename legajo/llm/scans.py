@@ -290,13 +290,15 @@ def repair_texts(docs: DataFrame) -> DataFrame:
     """
     docs = docs.filter("doc_id is not null and text is not null")
     vocab, lines = read_scans(docs)
+    row = Window.partitionBy("doc_id").orderBy("line_no")
+    lines = lines.withColumn("passed", F.sum(F.col("furniture").cast("int")).over(row))
     cut = materialize(cut_words(lines, vocab), "cut")
     bad = misread_words(line_words(cut), vocab)
-    row = Window.partitionBy("doc_id").orderBy("line_no")
     kept = cut.withColumn("gap", F.col("line_no") - F.lag("line_no", 1, 0).over(row) > 1).withColumn("above", F.lag("line").over(row)).withColumn(
         "above_cut", F.coalesce(F.lag("hyphen").over(row), F.lit(False)))
     ends = F.coalesce(F.col("above").rlike(r"[.!?:;…»)]\s*$|^[^\p{Ll}]{3,80}$"), F.lit(True))
-    kept = kept.withColumn("starts", (F.col("gap") & ends & ~F.col("above_cut")) | F.col("line").rlike(r"^\s*(?:\d+\.|[-*•]) "))
+    page_break = F.col("passed") > F.coalesce(F.lag("passed").over(row), F.lit(0))
+    kept = kept.withColumn("page_break", page_break).withColumn("starts", (F.col("gap") & (~F.col("page_break") | ends) & ~F.col("above_cut")) | F.col("line").rlike(r"^\s*(?:\d+\.|[-*•]) "))
     kept = kept.withColumn("paragraph", F.sum(F.col("starts").cast("int")).over(row))
     clean = F.regexp_replace(F.regexp_replace("line", r"^[ \t]+|[ \t\r]+$", ""), rf"[{_MARKS}]$", "")
     whole = F.regexp_replace("line", r"^[ \t]+|[ \t\r]+$", "")

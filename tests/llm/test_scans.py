@@ -16,6 +16,10 @@ Compras / Documento intern0
 cina confirma el plan PO-
 2024-0001 y la campafia 5egún.
 
+Título sin punto
+
+Otro párrafo.
+
 Lectura del contador:
 188
 """
@@ -42,6 +46,7 @@ def test_repair(spark):
     got = {r["doc_id"]: r["text"] for r in S.repair_texts(frame(spark)).collect()}
     assert set(got) == {"s", "s2", "bare"}
     assert got["s"].startswith("La válvula del aparcamiento necesita una garantía reciente. El plan técnico-comercial compara el coste-beneficio del almacén.\n\nLa encuesta de la oficina confirma el plan PO-")
+    assert "\n\nTítulo sin punto\n\nOtro párrafo.\n\n" in got["s"]
     assert "Página" not in got["s"] and "interno" not in got["s"] and "y la campaña" in got["s"]
 
 
