@@ -1,4 +1,4 @@
-"""Problem 10: reading level by smoothed unigram language models, one per level."""
+"""Problem 10: reading level by smoothed unigram language models, one per level, over words and sentence-length symbols."""
 
 from __future__ import annotations
 
@@ -23,13 +23,21 @@ SMOOTHING = 0.5
 MAX_PER_DOC = 20
 
 _WORD = re.compile(r"[^\W\d_]+")
+_SENTENCE_END = re.compile(r"[.!?]\s+|\n\s*\n|\n- ")
+
+
+def symbols(text: str | None) -> list[str]:
+    """The words of a text in small letters and, for each sentence, a symbol of its length (in tens of words, 0 to 9)."""
+    text = (text or "").lower()
+    words = _WORD.findall(text)
+    return words and words + [f"#{min(s.count(' ') // 10, 9)}" for s in _SENTENCE_END.split(text) if s.count(" ") > 2]
 
 
 def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in batches:
         ids, words, counts = [], [], []
         for i, t in zip(p["doc_id"], p["text"]):
-            for w, n in Counter(_WORD.findall((t or "").lower())).items():
+            for w, n in Counter(symbols(t)).items():
                 ids.append(i), words.append(w), counts.append(min(n, MAX_PER_DOC))
         yield pd.DataFrame({"doc_id": ids, "word": words, "n": counts})
 
@@ -48,7 +56,7 @@ class LevelModel:
         self.levels, self.prior, self.words, self.logp = levels, prior, words, logp
 
     def score(self, text: str | None) -> tuple[int | None, float | None, int]:
-        found = _WORD.findall((text or "").lower())
+        found = symbols(text)
         if not found:
             return None, None, 0
         get = self.words.get
