@@ -202,6 +202,19 @@ def test_soft_boost_and_vector_file(spark, tmp_path):
     assert [(r["word"], r["v"]) for r in files.read_vectors(spark, str(tmp_path / "v.txt"), 2).collect()] == [("casa", [0.6, 0.8])]
 
 
+def test_xlsx():
+    import io
+
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>a</t></si><si><t>b </t></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row><c r="A2"><v>5</v></c><c r="C2" t="inlineStr"><is><t>x</t></is></c></row></sheetData></worksheet>')
+    assert files.xlsx_rows(raw.getvalue()) == [["a", "", "b "], ["5", "", "x"]]
+    assert files.parse("t.xlsx", raw.getvalue()).startswith("Datos de 't.xlsx' — 1 filas, columnas: a, , b\n\na: 5 | b: x")
+    assert files.parse("t.pdf", b"no pdf") is None and files.decode("ñ".encode("latin-1")) == "ñ"
+
+
 def test_tables(spark, tmp_path):
     (tmp_path / "t.csv").write_text("a ;b\n1;x\n2;y\n", encoding="utf-8")
     t = files.read_table(spark, str(tmp_path / "t.csv"))
