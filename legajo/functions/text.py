@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 
 @lru_cache(maxsize=1)
 def fold_table() -> tuple[str, str]:
-    """Letters and signs up to U+04FF, U+1Exx and U+2xxx whose compatibility form without marks is one other character."""
+    """Letters and signs up to U+04FF, U+1Exx and U+20xx to U+23xx whose compatibility form without marks is one other character."""
     a, b = [], []
-    for cp in [*range(0xA0, 0x500), *range(0x1E00, 0x1F00), *range(0x2000, 0x2200)]:
+    for cp in [*range(0xA0, 0x500), *range(0x1E00, 0x1F00), *range(0x2000, 0x2400)]:
         c = chr(cp)
         d = "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if not unicodedata.combining(x))
         if len(d) == 1 and d != c.lower():
             for x in {c, c.lower()}:
-                if x not in a:
+                if len(x) == 1 and x not in a:
                     a.append(x), b.append(d)
     return "".join(a), "".join(b)
 
@@ -36,7 +36,7 @@ def fold(c: Column) -> Column:
     c = F.translate(F.lower(c), a, b)
     for x, y in EXPAND:
         c = F.replace(c, F.lit(x), F.lit(y)) if x not in "œæ" else c
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"\p{M}+", ""), r"\s+", " "))
 
 
 def tokens(folded: Column) -> Column:

@@ -24,6 +24,8 @@ def one(spark, column, text):
 def test_fold_numbers_dates(spark):
     assert one(spark, T.fold, "  Reunión  Straße ") == "reunion strasse"
     assert one(spark, T.fold, None) is None
+    assert one(spark, T.fold, "Šibenik İz ≠ ŽÓ №ºª") == "sibenik iz = zo №oa"
+    assert all(len(x) == len(set(x)) for x in T.fold_table()[:1]) and len(T.fold_table()[0]) == len(T.fold_table()[1])
     assert [one(spark, T.number_value, x) for x in ("1.234", "6k", "1,5m", "32", "abc")] == ["1234", "6000", "1500000", "32", "abc"]
     assert one(spark, T.dates, "el 10 de enero de 2025 y 03/09/2024, marzo de 2023") == ["2023", "2023-03", "2024", "2024-09-03", "2025", "2025-01", "2025-01-10"]
     assert one(spark, T.char_ngrams, "ab c-d") == ["abc", "bcd"] and one(spark, T.char_ngrams, "ab") == ["ab"] and one(spark, T.char_ngrams, "¡!") == []
