@@ -67,11 +67,11 @@ def number_value(tok: Column) -> Column:
     return F.when(grouped, F.regexp_replace(tok, "[.,]", "")).when(tok.rlike(r"^[0-9]+(?:[.,][0-9]+)?[kmb]$"), expanded).otherwise(tok)
 
 
-def char_ngrams(folded: Column, n: int = 3, most: int = 50_000) -> Column:
+def char_ngrams(folded: Column, n: int = 3) -> Column:
     """Character n-grams of the letters and digits of folded text; a shorter text is its own only one, an empty one has none."""
     s = F.regexp_replace(folded, "[^a-z0-9]", "")
     size = F.char_length(s)
-    grams = F.transform(F.sequence(F.lit(1), F.least(size - (n - 1), F.lit(most))), lambda i: F.substring(s, i, F.lit(n)))
+    grams = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substring(s, i, F.lit(n)))
     return F.when(s == "", F.array().cast("array<string>")).when(size < n, F.array(s)).otherwise(grams)
 
 

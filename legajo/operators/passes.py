@@ -50,6 +50,60 @@ def in_order(passes: list[DataFrame], k: int) -> DataFrame:
     return first.withColumn("rank", rank.cast("long")).filter(f"rank <= {k}").select("query", "id", F.col("pass_no").cast("long").alias("pass_no"), "rank")
 
 
+def gram_matches(classes: DataFrame, floor: float = 0.4, counted: bool = False, block: int = 2048) -> DataFrame:
+    """The classes that hold at least `floor` of the grams of each class that asks, exactly. classes: (cls, n, asks, grams) with distinct grams as three base-36 digits.
+
+    (query, cls, coverage), or counted: (query, hits, best) with each class counted n times. The asking
+    classes are gathered in blocks of a fixed number; a task adds up the block's rows of 0 and 1 for each
+    of its own classes, so no pair of classes that share a gram is shuffled.
+    """
+    spark = classes.sparkSession
+    ship(spark)
+    asking = classes.filter("asks")
+    blocks = max(1, -(-asking.count() // block))
+    parts = []
+    for b in range(blocks):
+        part = asking.filter(F.pmod(F.xxhash64("cls"), F.lit(blocks)) == b).select("cls", "grams").orderBy("cls").collect()  # a bounded block of the stated set
+        if not part:
+            continue
+        ids, size = np.array([r["cls"] for r in part]), np.array([len(r["grams"]) for r in part])
+        used = np.unique(np.concatenate([r["grams"] for r in part]))
+        place = np.full(36**3, -1, dtype=np.int32)
+        place[used] = np.arange(len(used))
+        held = np.zeros((len(used), len(part)), dtype=np.uint8 if size.max() < 256 else np.uint16)
+        for i, r in enumerate(part):
+            held[place[r["grams"]], i] = 1
+        need = np.array([next(m for m in range(1, n + 1) if m / n >= floor) for n in size]).astype(held.dtype)
+        shipped = spark.sparkContext.broadcast((ids, size, place, held, need))
+
+        def run(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
+            ids, size, place, held, need = shipped.value
+            hits, best = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=held.dtype)
+            for p in batches:
+                found = []
+                for cls, n, grams in zip(p["cls"], p["n"], p["grams"]):
+                    at = place[grams]
+                    met = np.add.reduce(held[at[at >= 0]], axis=0, dtype=held.dtype)
+                    ok = met >= need
+                    if counted:
+                        hits += n * ok
+                        np.maximum(best, met * ok, out=best)
+                    elif ok.any():
+                        i = np.flatnonzero(ok)
+                        found.append(pd.DataFrame({"query": ids[i], "cls": cls, "coverage": met[i] / size[i]}))
+                if found:
+                    yield pd.concat(found)
+            if counted:
+                i = np.flatnonzero(hits)
+                yield pd.DataFrame({"query": ids[i], "hits": hits[i], "best": best[i] / size[i]})
+
+        parts.append(classes.select("cls", "n", "grams").mapInPandas(run, "query long, hits long, best double" if counted else "query long, cls long, coverage double"))
+    if not parts:
+        return spark.createDataFrame([], "query long, hits long, best double" if counted else "query long, cls long, coverage double")
+    every = reduce(DataFrame.unionByName, parts)
+    return every.groupBy("query").agg(F.sum("hits").alias("hits"), F.max("best").alias("best")) if counted else every
+
+
 def word_vectors(docs: DataFrame, text_col: str, dims: int = 256, window: int = 2, least: int = 5) -> DataFrame:
     """(id, word, v): each frequent word's neighbours, hashed into `dims` counts, as positive log-odds. Counting is by Spark; a task adds up its own texts first."""
 

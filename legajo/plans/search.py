@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from legajo.functions import text as T
-from legajo.operators import fusion, lexical, vectors
+from legajo.operators import fusion, lexical, passes, vectors
 from legajo.plans.registry import query
 from legajo.plans.texts import sql_fold
 from legajo.session import materialize, read, spread
@@ -72,6 +72,35 @@ def char3_coverage(spark: SparkSession, d: str) -> DataFrame:
     return lexical.coverage(t, q).groupBy("query").agg(F.count(F.lit(1)).alias("hits"), F.max("coverage").alias("best"))
 
 
+def _gram_classes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(classes, members): tickets whose descriptions have the same letters and digits are one class, named by its smallest id; it asks where one of its ids is divisible by 50."""
+    s = F.regexp_replace(T.fold(F.col("descripcion_breve")), "[^a-z0-9]", "")
+    t = materialize(read(spark, d, _TK).select(F.col("row_id").alias("id"), s.alias("s")).filter("char_length(s) >= 3"), "tickets")
+    by = t.groupBy("s").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("n"), F.max(F.col("id") % 50 == 0).alias("asks"))
+    codes = F.transform(F.array_distinct(T.char_ngrams(F.col("s"))), lambda g: F.conv(g, 36, 10).cast("int"))
+    classes = materialize(by.select("s", "cls", "n", "asks", codes.alias("grams")), "gramclasses")
+    return classes, t.join(classes.select("s", "cls"), "s").select("id", "cls")
+
+
+@query()
+def char3_hits(spark: SparkSession, d: str) -> DataFrame:
+    """How many tickets hold at least 0.4 of the 3-grams of a query ticket, for every ticket whose id is divisible by 50."""
+    classes, members = _gram_classes(spark, d)
+    q = members.filter("id % 50 = 0").select(F.col("id").alias("query"), "cls")
+    return q.join(passes.gram_matches(classes, counted=True).withColumnRenamed("query", "cls"), "cls").select("query", "hits", "best")
+
+
+@query()
+def char3_matches(spark: SparkSession, d: str) -> DataFrame:
+    """(query, cls, coverage): the matches of char3_hits themselves, from class to class; char3_members has the tickets of each class."""
+    return passes.gram_matches(_gram_classes(spark, d)[0])
+
+
+@query()
+def char3_members(spark: SparkSession, d: str) -> DataFrame:
+    return _gram_classes(spark, d)[1]
+
+
 _COS = "list_cosine_similarity(a.embedding::double[], b.embedding::double[])"
 
 
