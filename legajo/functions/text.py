@@ -147,9 +147,9 @@ def title(text: Column, filename: Column) -> Column:
     return F.when(F.char_length(first) < 120, first).otherwise(stem)
 
 
-def summary(text: Column, most: int = 3, head: int = 3000) -> Column:
-    """The best sentences of a text's head: long ones and early ones score; joined by '. '."""
-    sentences = F.filter(F.transform(F.split(F.substring(text, 1, head), r"[.!?]\s+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: F.char_length(s) > 30)
+def summary(text: Column, most: int = 3, head: int | None = None) -> Column:
+    """The best sentences of a text, or of its head: long ones and early ones score; joined by '. '."""
+    sentences = F.filter(F.transform(F.split(text if head is None else F.substring(text, 1, head), r"[.!?]\s+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: F.char_length(s) > 30)
 
     def score(s: Column, i: Column) -> Column:
         n = F.size(F.split(s, " "))
@@ -190,9 +190,9 @@ FUNCTION_WORDS = {
 }
 
 
-def language(text: Column, head: int = 500) -> Column:
-    """Language by a vote of function words in the head of a text; ties and silence go to es, then ca."""
-    words = F.regexp_extract_all(F.lower(F.substring(text, 1, head)), F.lit(r"([a-zàèéíòóúçñ]+)"), F.lit(1))
+def language(text: Column, head: int | None = None) -> Column:
+    """Language by a vote of function words in a text, or in its head; ties and silence go to es, then ca."""
+    words = F.regexp_extract_all(F.lower(text if head is None else F.substring(text, 1, head)), F.lit(r"([a-zàèéíòóúçñ]+)"), F.lit(1))
     votes = {k: F.size(F.filter(words, lambda w, k=k: F.array_contains(F.array(*map(F.lit, v)), w))) for k, v in FUNCTION_WORDS.items()}
     return F.when((votes["es"] >= votes["ca"]) & (votes["es"] >= votes["en"]), "es").when(votes["ca"] >= votes["en"], "ca").otherwise("en")
 

@@ -49,12 +49,14 @@ def by_entries(df: DataFrame, context: int = 150) -> DataFrame:
     return out.withColumn("level", F.when(F.col("chunk_index") == 0, "macro").otherwise("micro"))
 
 
-def by_articles(df: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
-    """Legal texts of three sections or more: cut before articles and clauses, parts of fewer than 10 words dropped, each capped by whole words."""
+def by_articles(df: DataFrame, max_words: int = MAX_WORDS, capped: bool = False) -> DataFrame:
+    """Legal texts of three sections or more: cut before articles and clauses, parts of fewer than 10 words dropped; longer ones go on in further chunks, or are capped by whole words."""
     parts = F.split("text", r"\n(?=(?:ARTÍCULO|CLÁUSULA|CAPÍTULO|Art\.)\s)")
     words = lambda p: F.filter(F.split(F.trim(p), r"\s+"), lambda w: w != "")
     kept = F.filter(parts, lambda p: F.size(words(p)) >= 10)
-    return _explode(df.filter(F.size(parts) >= 3), F.transform(kept, lambda p: F.array_join(F.slice(words(p), 1, max_words), " ")), "meso")
+    starts = lambda p: F.array(F.lit(1)) if capped else F.sequence(F.lit(1), F.size(words(p)), F.lit(max_words))
+    pieces = F.flatten(F.transform(kept, lambda p: F.transform(starts(p), lambda i: F.array_join(F.slice(words(p), i, F.lit(max_words)), " "))))
+    return _explode(df.filter(F.size(parts) >= 3), pieces, "meso")
 
 
 def by_paragraphs(df: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:

@@ -121,7 +121,13 @@ def extract_title(spark: SparkSession, d: str) -> DataFrame:
        b as (select *, row_number() over (partition by doc_id order by k, s) as rk from r)
        select d.doc_id, coalesce(string_agg(s, '. ' order by rk) filter (where rk <= 3), '') as summary from documents_x d left join b using (doc_id) group by d.doc_id""")
 def summary_top3(spark: SparkSession, d: str) -> DataFrame:
-    return _x(spark, d, T.summary(F.col("raw_text")).alias("summary"))
+    return _x(spark, d, T.summary(F.col("raw_text"), head=3000).alias("summary"))  # the head its SQL reads
+
+
+@query()
+def summary_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The three best sentences of the whole text."""
+    return spread(_x(spark, d, "raw_text")).select("doc_id", T.summary(F.col("raw_text")).alias("summary"))
 
 
 def _vote(k: str) -> str:
@@ -132,7 +138,13 @@ def _vote(k: str) -> str:
        v as (select doc_id, {_vote('es')} as es, {_vote('ca')} as ca, {_vote('en')} as en from w)
        select doc_id, case when es >= ca and es >= en then 'es' when ca >= en then 'ca' else 'en' end as detected from v""")
 def detect_language(spark: SparkSession, d: str) -> DataFrame:
-    return _x(spark, d, T.language(F.col("raw_text")).alias("detected"))
+    return _x(spark, d, T.language(F.col("raw_text"), head=500).alias("detected"))  # the head its SQL reads
+
+
+@query()
+def language_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Language by a vote over the whole text."""
+    return spread(_x(spark, d, "raw_text")).select("doc_id", T.language(F.col("raw_text")).alias("detected"))
 
 
 @query("""with t as (select doc_id, regexp_extract_all(lower(text), '[a-záéíóúüñçàèòï]{4,}') as ts from documents),
@@ -215,6 +227,12 @@ def chunk_entries(spark: SparkSession, d: str) -> DataFrame:
        k as (select doc_id, list_filter(list_transform(p, lambda x: list_filter(string_split_regex(trim(x), '\\s+'), lambda w: w <> '')), lambda w: len(w) >= 10) as k from p where len(p) >= 3)
        select doc_id, unnest(range(len(k)))::int as chunk_index, unnest(list_transform(k, lambda w: array_to_string(w[1:512], ' '))) as text from k""")
 def chunk_articles(spark: SparkSession, d: str) -> DataFrame:
+    return C.by_articles(_of(spark, d, "contrato"), capped=True).select("doc_id", "chunk_index", "text")  # capped as in its SQL
+
+
+@query()
+def chunk_articles_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Articles with all their words, those above the limit in several chunks."""
     return C.by_articles(_of(spark, d, "contrato")).select("doc_id", "chunk_index", "text")
 
 

@@ -21,3 +21,18 @@ def test_char3_every_query(spark, sf):
     of = {c: [i for i in cls if cls[i] == c] for c in set(cls.values())}
     pairs = {(a, i): r["coverage"] for r in q["char3_matches"](spark, sf).collect() for a in of[r["query"]] if a % 50 == 0 for i in of[r["cls"]]}
     assert pairs == want
+
+
+def test_whole_texts(spark):
+    from pyspark.sql import functions as F
+
+    from legajo.functions import text as T
+    from legajo.operators import chunking
+
+    short, long = "Una frase de relleno sin nada dentro. ", "palabra " * 45 + "final"
+    x = spark.createDataFrame([(short * 100 + long + ". Fin.", "el la los de que con. " * 30 + "the of and to is that for with. " * 60)], "s string, l string")
+    got = x.select(T.summary(F.col("s")).alias("s"), T.language(F.col("l")).alias("l")).first()
+    assert len(short * 100) > 3000 and long in got["s"] and got["l"] == "en"
+    parts = ["ARTÍCULO 1 " + " ".join(f"a{i}" for i in range(1100)), "ARTÍCULO 2 " + " ".join(f"b{i}" for i in range(20)), "ARTÍCULO 3 corto"]
+    c = chunking.by_articles(spark.createDataFrame([("d", "\n".join(parts))], "doc_id string, text string")).orderBy("chunk_index").collect()
+    assert [len(r["text"].split()) for r in c] == [512, 512, 78, 22] and " ".join(r["text"] for r in c).split() == " ".join(parts[:2]).split()
