@@ -91,6 +91,13 @@ def shared_documents(spark: SparkSession, d: str) -> DataFrame:
     return pairs.join(few, ["src", "dst"]).groupBy("src", "dst").agg(F.array_join(F.array_sort(F.collect_list("doc_id")), " ").alias("docs"))
 
 
+@query()
+def shared_document_rows(spark: SparkSession, d: str) -> DataFrame:
+    """(src, dst, doc_id): every document of every pair of entities that share one, a row each."""
+    k = G.mentions(read(spark, d, "documents_x")).select("doc_id", "key").distinct()
+    return k.select("doc_id", F.col("key").alias("src")).join(k.select("doc_id", F.col("key").alias("dst")), "doc_id").filter("src < dst").select("src", "dst", "doc_id")
+
+
 @query(f"with {_MENTIONS}, {_EDGES} select src, dst, weight from e")
 def graph_added(spark: SparkSession, d: str) -> DataFrame:
     """The graph of one half of the documents with the other half's added: the same as that of all."""

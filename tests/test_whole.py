@@ -36,3 +36,10 @@ def test_whole_texts(spark):
     parts = ["ARTÍCULO 1 " + " ".join(f"a{i}" for i in range(1100)), "ARTÍCULO 2 " + " ".join(f"b{i}" for i in range(20)), "ARTÍCULO 3 corto"]
     c = chunking.by_articles(spark.createDataFrame([("d", "\n".join(parts))], "doc_id string, text string")).orderBy("chunk_index").collect()
     assert [len(r["text"].split()) for r in c] == [512, 512, 78, 22] and " ".join(r["text"] for r in c).split() == " ".join(parts[:2]).split()
+
+
+def test_shared_document_rows(spark, tmp_path):
+    docs = [(f"d{i:02d}", ["Ana Gil", "Eva Sanz"], ["Tres S.L."] if i == 0 else []) for i in range(60)] + [("e", None, None)]
+    spark.createDataFrame(docs, "doc_id string, persons array<string>, organizations array<string>").write.parquet(str(tmp_path / "documents_x.parquet"))
+    got = sorted((r["src"], r["dst"], r["doc_id"]) for r in core.queries()["shared_document_rows"](spark, str(tmp_path)).collect())
+    assert got == sorted([("ana gil", "eva sanz", x) for x, _, _ in docs[:60]] + [("ana gil", "tres s.l.", "d00"), ("eva sanz", "tres s.l.", "d00")])
