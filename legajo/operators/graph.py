@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from legajo.functions.text import fold
-from legajo.session import materialize
+from legajo.session import materialize, ship
+
+#: Edges of the largest graph that is sent to every task (8 bytes each).
+SHIPPED = 2_000_000
 
 
 def mentions(docs: DataFrame) -> DataFrame:
@@ -76,30 +84,46 @@ def distances(e: DataFrame, start: DataFrame, hops: int = 4) -> DataFrame:
     return seen
 
 
-def label_communities(e: DataFrame, rounds: int = 8) -> DataFrame:
-    """(key, community): label propagation by weight, the distributed counterpart of greedy modularity. Ties go to the smaller label; a key keeps its label unless another weighs more."""
+def label_communities(e: DataFrame, free: int = 12) -> DataFrame:
+    """(key, community): label propagation by weight until no label changes, the distributed counterpart of greedy modularity.
+
+    A key takes the label that weighs most among its neighbours, or the smaller one of equal weight. In
+    the first `free` rounds half of the keys change at a time. After them only keys that no neighbour about
+    to change precedes (by a hash of key and round) change, so each change adds to the weight between
+    equal labels or takes a smaller one: the rounds come to an end.
+    """
     adj = materialize(both_ways(e), "adjacency")
     label = materialize(adj.select(F.col("src").alias("key")).distinct().withColumn("community", F.col("key")), "community")
-    for i in range(rounds):
+    i = 0
+    while True:
         votes = adj.join(label, adj.dst == label.key).groupBy("src", "community").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy("src").agg(F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("b")).select(F.col("src").alias("key"), F.col("b.community").alias("new"))
-        # Alternate halves by hash, so that two neighbours don't swap labels for ever.
-        turn = F.pmod(F.xxhash64("key"), F.lit(2)) == i % 2
-        label = materialize(label.join(best, "key", "left").select("key", F.when(turn, F.coalesce("new", "community")).otherwise(F.col("community")).alias("community")), "community")
-    return label
-
-
-def betweenness(e: DataFrame, sources: DataFrame, hops: int = 6) -> DataFrame:
-    """(key, betweenness): Brandes' accumulation from the keys of sources, over unweighted shortest paths of at most `hops` edges.
-
-    With all keys as sources and hops at the graph's diameter it is the exact measure, normalised by
-    (n - 1)(n - 2) (n < 3: as it is); a stated part of the keys gives the partial sums from them. Rows are
-    (source, key, distance, number of paths); a level is one join on the way out and one on the way back.
+        own = label.select(F.col("key").alias("src"), F.col("community").alias("own"))
+        ranked = votes.join(own, "src").groupBy("src").agg(
+            F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("b"), F.max(F.when(F.col("community") == F.col("own"), F.col("w"))).alias("kept"), F.first("own").alias("own"))
+        better = (-F.col("b.w") > F.coalesce("kept", F.lit(0))) | (-F.col("b.w") == F.col("kept")) & (F.col("b.community") < F.col("own"))
+        wish = materialize(ranked.filter(better).select(F.col("src").alias("key"), F.col("b.community").alias("new"), F.struct(F.xxhash64("src", F.lit(i)).alias("h"), "src").alias("p")), "wish")
+        if wish.isEmpty():
+            return label
+        if i < free:
+            moves = wish.filter(F.pmod("p.h", F.lit(2)) == 0)
+        else:
+            near = adj.join(wish.select(F.col("key").alias("src"), "p"), "src").join(wish.select(F.col("key").alias("dst"), F.col("p").alias("q")), "dst")
+            moves = wish.join(near.filter("q < p").select(F.col("src").alias("key")).distinct(), "key", "left_anti")
+        label = materialize(label.join(moves, "key", "left").select("key", F.coalesce("new", "community").alias("community")), "community")
+        i += 1
+
+
+def betweenness(e: DataFrame, sources: DataFrame) -> DataFrame:
+    """(key, betweenness): Brandes' accumulation from the keys of sources, over unweighted shortest paths of any length.
+
+    With all keys as sources it is the exact measure, normalised by (n - 1)(n - 2) (n < 3: as it is); a
+    part of the keys gives the partial sums from them. Rows are (source, key, distance, number of paths);
+    a level is one join on the way out and one on the way back.
     """
     adj = materialize(both_ways(e).select("src", "dst"), "adjacency")
     level = sources.select(F.col("key").alias("s"), F.col("key").alias("v"), F.lit(1.0).alias("paths"))
     levels, seen = [level], level.select("s", "v")
-    for _ in range(hops):
+    while True:
         step = adj.join(level, adj.src == level.v).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
         level = materialize(step.join(seen, ["s", "v"], "left_anti"), "level")
         if level.isEmpty():
@@ -122,3 +146,61 @@ def betweenness(e: DataFrame, sources: DataFrame, hops: int = 6) -> DataFrame:
         return every.withColumn("betweenness", F.lit(0.0))
     by = total.groupBy(F.col("v").alias("key")).agg((F.sum("credit") * scale).alias("betweenness"))
     return every.join(by, "key", "left").na.fill(0.0, ["betweenness"])
+
+
+def all_betweenness(e: DataFrame, most: int = SHIPPED) -> DataFrame:
+    """(key, betweenness) from all keys, exactly: the measure of betweenness().
+
+    A graph of up to `most` edges is sent to every task as two arrays, and the tasks share the sources
+    out; a larger one is walked by joins, in blocks of sources.
+    """
+    spark = e.sparkSession
+    adj = materialize(both_ways(e).select("src", "dst"), "adjacency")
+    every = materialize(adj.select(F.col("src").alias("key")).distinct(), "keys")
+    n = every.count()
+    if adj.count() > 2 * most:
+        blocks = -(-n // 256)
+        block = lambda b: every.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b)
+        parts = (materialize(betweenness(e, block(b)), "betweenness") for b in range(blocks))
+        return reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.sum("betweenness").alias("betweenness"))
+    if n == 0:
+        return every.withColumn("betweenness", F.lit(0.0))
+    ship(spark)
+    keys = np.array([r["key"] for r in every.orderBy("key").collect()], dtype=object)  # no more than twice `most`
+    number = materialize(spark.createDataFrame(pd.DataFrame({"key": keys, "i": np.arange(n)})), "numbers")
+    ends = adj.join(number.select(F.col("key").alias("src"), F.col("i").alias("a")), "src").join(number.select(F.col("key").alias("dst"), F.col("i").alias("b")), "dst").select(F.col("a").cast("int"), F.col("b").cast("int")).toPandas()
+    a, b = ends["a"].to_numpy(), ends["b"].to_numpy()
+    order = np.argsort(a, kind="stable")
+    shipped = spark.sparkContext.broadcast((b[order], np.searchsorted(a[order], np.arange(n))))  # every key has an edge
+    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        to, first = shipped.value
+        size = max(1, min(32, 4_000_000 // len(to)))
+        total = np.zeros(len(first))
+        for p in batches:
+            ids = p["i"].to_numpy()
+            for k in range(0, len(ids), size):
+                s = ids[k : k + size]
+                paths, far = np.zeros((len(first), len(s))), np.full((len(first), len(s)), -1, dtype=np.int32)
+                paths[s, np.arange(len(s))], far[s, np.arange(len(s))] = 1.0, 0
+                level = 0
+                while True:
+                    step = np.add.reduceat(np.where(far == level, paths, 0.0)[to], first, axis=0)
+                    new = (step > 0) & (far < 0)
+                    if not new.any():
+                        break
+                    level += 1
+                    far[new], paths[new] = level, step[new]
+                credit = np.zeros_like(paths)
+                for at in range(level, 1, -1):
+                    share = np.divide(1 + credit, paths, out=np.zeros_like(paths), where=far == at)
+                    got = np.add.reduceat(share[to], first, axis=0)
+                    above = far == at - 1
+                    credit[above] = (paths * got)[above]
+                total += credit.sum(axis=1)
+        yield pd.DataFrame({"i": np.arange(len(first)), "part": total})
+
+    tasks = spark.sparkContext.defaultParallelism
+    by = number.repartition(tasks, "i").select("i").mapInPandas(run, "i long, part double").groupBy("i").agg((F.sum("part") * scale).alias("betweenness"))
+    return number.join(by, "i").select("key", "betweenness")

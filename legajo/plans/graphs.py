@@ -78,10 +78,8 @@ def graph_communities(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def graph_brokers(spark: SparkSession, d: str) -> DataFrame:
-    """(key, betweenness): path counts from a stated set of sources (the directory's persons whose key hash is divisible by 50), over all entities."""
-    e = _edges(spark, d)
-    keys = G.both_ways(e).select(F.col("src").alias("key")).distinct().filter(F.pmod(F.xxhash64("key"), F.lit(50)) == 0)
-    return G.betweenness(e, keys, 3)
+    """(key, betweenness): exact, over the shortest paths between all entities."""
+    return G.all_betweenness(_edges(spark, d))
 
 
 @query("""with e as (select doc_id, unnest(persons) as person from documents_x)

@@ -43,3 +43,30 @@ def test_shared_document_rows(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id string, persons array<string>, organizations array<string>").write.parquet(str(tmp_path / "documents_x.parquet"))
     got = sorted((r["src"], r["dst"], r["doc_id"]) for r in core.queries()["shared_document_rows"](spark, str(tmp_path)).collect())
     assert got == sorted([("ana gil", "eva sanz", x) for x, _, _ in docs[:60]] + [("ana gil", "tres s.l.", "d00"), ("eva sanz", "tres s.l.", "d00")])
+
+
+def test_betweenness_of_long_paths(spark):
+    from legajo.operators import graph
+
+    n = 12
+    e = spark.createDataFrame([(f"k{i:02d}", f"k{i + 1:02d}", 1) for i in range(n - 1)], "src string, dst string, weight long")
+    want = {f"k{i:02d}": 2 * i * (n - 1 - i) / ((n - 1) * (n - 2)) for i in range(n)}
+    for got in (graph.all_betweenness(e), graph.all_betweenness(e, most=1)):
+        got = {r["key"]: round(r["betweenness"], 9) for r in got.collect()}
+        assert got == {k: round(v, 9) for k, v in want.items()}
+    ring = [("a", "b", 1), ("b", "c", 1), ("c", "d", 1), ("a", "d", 1), ("d", "e", 1)]
+    e = spark.createDataFrame(ring, "src string, dst string, weight long")
+    x, y = ({r["key"]: round(r["betweenness"], 9) for r in b.collect()} for b in (graph.all_betweenness(e), graph.betweenness(e, graph.both_ways(e).selectExpr("src as key").distinct())))
+    assert x == y and graph.all_betweenness(e.limit(0)).count() == 0
+
+
+def test_communities_come_to_rest(spark):
+    from legajo.operators import graph
+
+    pairs = [(f"{i:03d}", f"{i + 1:03d}", 1 + i) for i in range(30)]
+    e = spark.createDataFrame(pairs, "src string, dst string, weight long")
+    c = {r["key"]: r["community"] for r in graph.label_communities(e).collect()}
+    for k in c:
+        near = [(b if a == k else a, w) for a, b, w in pairs if k in (a, b)]
+        votes = {x: sum(w for b, w in near if c[b] == x) for x in {c[b] for b, _ in near}}
+        assert min((-w, x) for x, w in votes.items())[1] == c[k]
