@@ -3,28 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from legajo.session import ship
+from legajo.session import materialize, ship
 
 #: Query vectors that one block holds; more are searched in several blocks.
 BLOCK = 4096
-#: Hyperplanes, tables and the Hamming radius of the search index; rows meant for one bucket.
-PLANES, TABLES, RADIUS, BUCKET = 10, 24, 2, 64
+#: Vectors that are sent to every task at a time when all pairs are compared.
+SENT = 32_768
+#: Hyperplanes, tables and the Hamming radius of the search index.
+PLANES, TABLES, RADIUS = 10, 24, 2
 SEED = 7
 
 
-def index_shape(n: int, cosine: float, least: float = 0.97) -> tuple[int, int]:
-    """(planes, tables) for n vectors: planes grow with log2 n, so that buckets stay small; tables then so that a pair at the cosine meets in one with probability `least`."""
-    planes = max(PLANES, int(np.ceil(np.log2(max(n, 1) / BUCKET))))
-    meet = (1 - np.arccos(cosine) / np.pi) ** planes
-    return planes, max(1, int(np.ceil(np.log(1 - least) / np.log(1 - meet))))
-
-
 def _unit(m: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(n == 0, 1.0, n)
@@ -121,19 +117,50 @@ def mean_pool(df: DataFrame, key: str, vec_col: str) -> DataFrame:
     return pos.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("mean"))  # as many entries as dimensions
 
 
+def close_pairs(df: DataFrame, id_col: str, vec_col: str, cosine: float, sent: int = SENT) -> DataFrame:
+    """(a, b, score), a < b: all pairs of distinct ids at the cosine or more, exactly but for rounding (1e-9 below is still given).
+
+    Every pair is scored, by products of blocks: a fixed number of vectors at a time is sent to every
+    task, which multiplies them with its own rows. Work grows with the square of the rows, memory does not.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter("id is not null and size(v) > 0")
+    rows = materialize(rows.repartition(spark.sparkContext.defaultParallelism, "id"), "vectors")
+    rounds = max(1, -(-rows.count() // sent))
+    parts = []
+    for r in range(rounds):
+        part = rows.filter(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r).toPandas()  # a bounded part
+        if part.empty:
+            continue
+        shipped = spark.sparkContext.broadcast((part["id"].to_numpy(), _unit(np.vstack(part["v"].to_numpy()).astype(np.float64))))
+
+        def run(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
+            ids, m = shipped.value
+            for p in batches:
+                own, u = p["id"].to_numpy(), _unit(np.vstack(p["v"].to_numpy()).astype(np.float64))
+                for x in range(0, len(own), 1024):
+                    for y in range(0, len(ids), 2048):
+                        s = u[x : x + 1024] @ m[y : y + 2048].T
+                        i, j = np.nonzero(s >= cosine - 1e-9)
+                        a, b = own[x + i], ids[y + j]
+                        keep = a < b
+                        yield pd.DataFrame({"a": a[keep], "b": b[keep], "score": s[i, j][keep]})
+
+        parts.append(materialize(rows.mapInPandas(run, "a long, b long, score double"), "close"))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "a long, b long, score double")
+
+
 def near_duplicates(df: DataFrame, id_col: str, vec_col: str, cosine: float = 0.85) -> DataFrame:
     """(id, copies, links, linked_to): one row per vector; copies: vectors equal to it, links: other vectors at the cosine or more, linked_to: the smallest of their ids.
 
-    Equal vectors are taken together first. Distinct ones meet where their signatures agree in one of the
-    tables (index_shape: a pair at the cosine is met with probability 0.97), and are then scored exactly;
-    recall is measured in the tests.
+    Equal vectors are taken together first; distinct ones are compared by close_pairs, which loses none.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter("id is not null and size(v) > 0")
     keyed = rows.withColumn("cls", F.xxhash64("v"))
     reps = keyed.groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
-    planes, tables = index_shape(reps.count(), cosine)
-    sig = signatures(reps, "cls", "v", planes, tables).select(F.col("id").alias("cls"), "table", "bucket")
-    pairs = sig.alias("x").join(sig.alias("y"), ["table", "bucket"]).filter("x.cls < y.cls").select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    reps = materialize(reps, "classes")
+    pairs = close_pairs(reps, "cls", "v", cosine).select("a", "b")
     va, vb = reps.select(F.col("cls").alias("a"), F.col("v").alias("va"), F.col("rep").alias("ra"), F.col("copies").alias("ca")), reps.select(F.col("cls").alias("b"), F.col("v").alias("vb"), F.col("rep").alias("rb"), F.col("copies").alias("cb"))
     close = pairs.join(va, "a").join(vb, "b").filter(_cosine("va", "vb") >= cosine)
     ends = close.select(F.col("a").alias("cls"), F.col("rb").alias("other"), F.col("cb").alias("n")).unionByName(close.select(F.col("b").alias("cls"), F.col("ra").alias("other"), F.col("ca").alias("n")))

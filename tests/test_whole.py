@@ -70,3 +70,24 @@ def test_communities_come_to_rest(spark):
         near = [(b if a == k else a, w) for a, b, w in pairs if k in (a, b)]
         votes = {x: sum(w for b, w in near if c[b] == x) for x in {c[b] for b, _ in near}}
         assert min((-w, x) for x, w in votes.items())[1] == c[k]
+
+
+def test_vector_links_lose_none(spark):
+    import numpy as np
+
+    from legajo.operators import vectors
+
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((1200, 24))
+    u = base / np.linalg.norm(base, axis=1, keepdims=True)
+    off = rng.standard_normal(u.shape)
+    off -= (off * u).sum(axis=1, keepdims=True) * u
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    m = np.vstack([u, 0.855 * u + np.sqrt(1 - 0.855**2) * off])  # 1,200 pairs just above the cosine
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, v array<double>")
+    n = m / np.linalg.norm(m, axis=1, keepdims=True)
+    close = (n @ n.T) >= 0.85
+    np.fill_diagonal(close, False)
+    got = {r["id"]: (r["links"], r["linked_to"]) for r in vectors.near_duplicates(df, "id", "v", 0.85).collect()}
+    assert got == {i: (int(c.sum()), int(np.flatnonzero(c)[0])) for i, c in enumerate(close)}
+    assert vectors.close_pairs(df, "id", "v", 0.85, sent=500).count() == close.sum() // 2
