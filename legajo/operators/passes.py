@@ -11,8 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from legajo.functions.text import fold
 from legajo.operators import lexical
-from legajo.operators.vectors import block_search
+from legajo.operators.vectors import close_pairs
 from legajo.session import ship
 
 #: Endings that the light Spanish stemmer takes off, longest first; fixed values of the language.
@@ -105,7 +106,7 @@ def gram_matches(classes: DataFrame, floor: float = 0.4, counted: bool = False,
 
 
 def word_vectors(docs: DataFrame, text_col: str, dims: int = 256, window: int = 2, least: int = 5) -> DataFrame:
-    """(id, word, v): each frequent word's neighbours, hashed into `dims` counts, as positive log-odds. Counting is by Spark; a task adds up its own texts first."""
+    """(id, word, v): each frequent folded word's neighbours, hashed into `dims` counts, as positive log-odds. Counting is by Spark; a task adds up its own texts first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -119,7 +120,7 @@ def word_vectors(docs: DataFrame, text_col: str, dims: int = 256, window: int =
             yield pd.DataFrame([(w, b, n) for (w, b), n in c.items()], columns=["word", "bucket", "n"])
 
     ship(docs.sparkSession)
-    words = docs.select(F.regexp_extract_all(F.lower(text_col), F.lit("([a-záéíóúüñçàèòï]{4,})"), F.lit(1)).alias("ws"))
+    words = docs.select(F.regexp_extract_all(fold(F.col(text_col)), F.lit("([a-z]{4,})"), F.lit(1)).alias("ws"))
     counts = words.mapInPandas(run, "word string, bucket int, n long").groupBy("word", "bucket").agg(F.sum("n").alias("n"))
     by_word = counts.withColumn("wn", F.sum("n").over(Window.partitionBy("word"))).filter(F.col("wn") >= least * 2 * window)
     totals = counts.groupBy("bucket").agg(F.sum("n").alias("bn"))  # dims rows
@@ -137,14 +138,14 @@ def hash_word(w: str) -> int:
     return int(h)
 
 
-def synonyms(vectors: DataFrame, words: list[str], k: int = 6, floor: float = 0.45) -> DataFrame:
-    """(word, synonym, score): the nearest words of a stated list by cosine, without variants of the word itself (contained, or sharing its beginning up to the last two letters)."""
-    q = vectors.filter(F.col("word").isin(words))
-    hits = block_search(vectors, "id", "v", q, 4 * k)
-    named = hits.join(q.select(F.col("id").alias("query"), "word"), "query").join(vectors.select("id", F.col("word").alias("synonym")), "id").filter(F.col("score") >= floor)
+def synonyms(vectors: DataFrame, k: int = 6, floor: float = 0.45) -> DataFrame:
+    """(word, synonym, score, rank): the nearest words of each word by cosine, variants of the word itself (contained, or sharing its beginning up to the last two letters) taken out first."""
+    pairs = close_pairs(vectors, "id", "v", floor).filter(F.col("score") >= floor)
+    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    named = ends.join(vectors.select(F.col("id").alias("a"), "word"), "a").join(vectors.select(F.col("id").alias("b"), F.col("word").alias("synonym")), "b")
     stem_len = F.greatest(F.lit(4), F.least(F.char_length("word"), F.char_length("synonym")) - 2)
     variant = F.contains("word", F.col("synonym")) | F.contains("synonym", F.col("word")) | (F.expr("left(word, 4)") == F.expr("left(synonym, 4)")) & (F.substring("word", F.lit(1), stem_len) == F.substring("synonym", F.lit(1), stem_len))
-    rank = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("score"), "synonym"))
+    rank = F.row_number().over(Window.partitionBy("word").orderBy(F.desc(F.round("score", 9)), "synonym"))
     return named.filter(~variant).withColumn("rank", rank.cast("long")).filter(f"rank <= {k}").select("word", "synonym", "score", "rank")
 
 

@@ -134,10 +134,9 @@ def vector_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def corpus_synonyms(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbours of the corpus' 20 most frequent words of six letters or more."""
+    """Neighbours of each frequent word of the corpus."""
     v = materialize(passes.word_vectors(read(spark, d, "documents"), "text"), "words")
-    words = [r["term"] for r in S.document_postings(spark, d).filter(F.col("term").rlike("^[a-z]{6,}$")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(20).collect()]
-    return passes.synonyms(v, words, floor=0.3).select("word", "synonym", F.round("score", 6).alias("score"), "rank")
+    return passes.synonyms(v, floor=0.3).select("word", "synonym", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"select row_id, coalesce(id_ticket, '') as id_ticket, coalesce(fecha_cierre::varchar, '') as fecha_cierre, coalesce(descripcion_breve, '') as descripcion_breve from {TICKETS} order by row_id limit 500")

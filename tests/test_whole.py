@@ -91,3 +91,15 @@ def test_vector_links_lose_none(spark):
     got = {r["id"]: (r["links"], r["linked_to"]) for r in vectors.near_duplicates(df, "id", "v", 0.85).collect()}
     assert got == {i: (int(c.sum()), int(np.flatnonzero(c)[0])) for i, c in enumerate(close)}
     assert vectors.close_pairs(df, "id", "v", 0.85, sent=500).count() == close.sum() // 2
+
+
+def test_synonyms_of_every_word(spark):
+    from legajo.operators import passes
+
+    near = [f"casa{c}" for c in "abcdefghijklmnopqrstuvwxyzabcdef"]
+    rows = [(i, w + str(i), [1.0, 0.001 * i, 0.0]) for i, w in enumerate(near)] + [(100, "casa", [1.0, 0.0, 0.0]), (101, "hogar", [1.0, 0.3, 0.0]), (102, "lejos", [0.0, 0.0, 1.0])]
+    got = passes.synonyms(spark.createDataFrame(rows, "id long, word string, v array<double>")).collect()
+    assert [(r["synonym"], r["rank"]) for r in got if r["word"] == "casa"] == [("hogar", 1)]
+    assert {r["word"] for r in got} == {w for _, w, _ in rows} - {"lejos"}
+    docs = spark.createDataFrame([("La metodológica petición última llega pronto. " * 8,)], "text string")
+    assert {"metodologica", "peticion", "ultima"} <= {r["word"] for r in passes.word_vectors(docs, "text").collect()}
