@@ -130,12 +130,12 @@ PERSON = r"(?:^|[^A-Za-zÁÉÍÓÚÑÜáéíóúñü])([A-ZÁÉÍÓÚÑ][a-záé
 ORGANIZATION = r"([A-ZÁÉÍÓÚÑ][A-Za-zÁÉÍÓÚÑáéíóúñü&.]*(?: (?:de |y |del )?[A-ZÁÉÍÓÚÑ][A-Za-zÁÉÍÓÚÑáéíóúñü&]*){0,4},? (?:S\.L\.U\.|S\.L\.|S\.A\.|Inc\.|Ltd\.|GmbH|B\.V\.))"
 
 
-def people(c: Column, most: int = 20) -> Column:
-    return F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(PERSON), F.lit(1)))), 1, most)
+def people(c: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(PERSON), F.lit(1))))
 
 
-def organizations(c: Column, most: int = 15) -> Column:
-    return F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(ORGANIZATION), F.lit(1)))), 1, most)
+def organizations(c: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(ORGANIZATION), F.lit(1))))
 
 
 def title(text: Column, filename: Column) -> Column:

@@ -98,7 +98,16 @@ def extract_dates(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""select doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(raw_text, '{T.PERSON}', 1)))[1:20], '; ') as persons,
        array_to_string(list_sort(list_distinct(regexp_extract_all(raw_text, '{T.ORGANIZATION}', 1)))[1:15], '; ') as organizations from documents_x""")
 def regex_entities(spark: SparkSession, d: str) -> DataFrame:
-    return _x(spark, d, F.array_join(T.people(F.col("raw_text")), "; ").alias("persons"), F.array_join(T.organizations(F.col("raw_text")), "; ").alias("organizations"))
+    """The first 20 persons and 15 organizations of a text by name, as in its SQL."""
+    return _x(spark, d, F.array_join(F.slice(T.people(F.col("raw_text")), 1, 20), "; ").alias("persons"), F.array_join(F.slice(T.organizations(F.col("raw_text")), 1, 15), "; ").alias("organizations"))
+
+
+@query()
+def regex_entity_rows(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, entity_type, name): every person and organization of every text, a row each."""
+    x = spread(_x(spark, d, "raw_text"))
+    of = lambda kind, names: x.select("doc_id", F.lit(kind).alias("entity_type"), F.explode(names).alias("name"))
+    return of("person", T.people(F.col("raw_text"))).unionByName(of("organization", T.organizations(F.col("raw_text"))))
 
 
 @query(f"""select doc_id, case {' '.join(f"when regexp_matches({sql_fold('filename')}, '{p}') then '{k}'" for k, p in T.NAME_RULES)}

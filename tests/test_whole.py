@@ -103,3 +103,12 @@ def test_synonyms_of_every_word(spark):
     assert {r["word"] for r in got} == {w for _, w, _ in rows} - {"lejos"}
     docs = spark.createDataFrame([("La metodológica petición última llega pronto. " * 8,)], "text string")
     assert {"metodologica", "peticion", "ultima"} <= {r["word"] for r in passes.word_vectors(docs, "text").collect()}
+
+
+def test_regex_entity_rows(spark, tmp_path):
+    people = [f"Ana{c} Gil{c}" for c in "abcdefghijklmnopqrstuvwxyz"]
+    firms = [f"Casa{c} S.L." for c in "abcdefghijklmnopqrst"]
+    spark.createDataFrame([("d", ", ".join(people) + " y con " + "; ".join(firms))], "doc_id string, raw_text string").write.parquet(str(tmp_path / "documents_x.parquet"))
+    got = core.queries()["regex_entity_rows"](spark, str(tmp_path)).collect()
+    assert sorted(r["name"] for r in got if r["entity_type"] == "person") == people
+    assert sorted(r["name"] for r in got if r["entity_type"] == "organization") == firms
