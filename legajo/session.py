@@ -28,6 +28,9 @@ def get_spark(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSessi
     )
 
 
+BATCH_ROWS = 4096
+BATCH_BYTES = 8 << 20
+
 _shipped: set[str] = set()
 _written: list[str] = []
 
@@ -45,10 +48,15 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def text_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Before Python work: the package on the workers, and Arrow batches small enough for long texts (the row bound limits a worker's memory)."""
+def text_batches(spark: SparkSession) -> None:
+    """Before Python work: the package on the workers, and one bound of rows and bytes for every Arrow batch.
+
+    The settings are read when a plan runs, not when it is built, so they are the same for every operator:
+    a batch ends at BATCH_BYTES or BATCH_ROWS, whichever comes first, however long the texts are.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,9 +70,14 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset and the session is local (tests).
+
+    On a cluster without that setting it is an error: a machine's own folder would hold only a part of each table.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-legajo-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -80,13 +93,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/legajo-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._legajo_path = path
+    return found
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables behind frames that materialize() gave, as soon as nothing that is still to run reads them."""
+    for f in frames:
+        path = f._legajo_path
+        _written.remove(path)
+        _delete(f.sparkSession, path)
 
 
 def clean_up(spark: SparkSession) -> int:
     """Delete the tables that materialize() has written so far, once no frame made from them is needed any more; how many."""
-    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), len(_written)
+    n = len(_written)
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _written.pop())
     return n

@@ -128,7 +128,7 @@ def load_records(records: DataFrame) -> DataFrame:
     as comma-separated tickets unless the record starts like equipment. A null record has no columns. Each
     delivery of a repeated record is judged by itself. An empty table gives no rows.
     """
-    text_batches(records.sparkSession, 10_000)
+    text_batches(records.sparkSession)
     rows = records.select("record_id", "file_name", "line_no", "raw_record")
     body = rows.filter("line_no is null or line_no != 1").join(_headers(rows), "file_name", "left")
     body = body.withColumn("raw", F.coalesce("raw_record", F.lit("")))
