@@ -228,7 +228,7 @@ def train_lines(mail: DataFrame, max_emails: int = MAX_EMAILS) -> LineModel:
 
     The sample is bounded: of more than max_emails mails, those whose id's hash is 0 modulo a number that leaves about so many.
     """
-    text_batches(mail.sparkSession, 1024)
+    text_batches(mail.sparkSession)
     every = max(1, -(-mail.count() // max_emails))
     sample = mail.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
 
@@ -271,7 +271,7 @@ def train_lines(mail: DataFrame, max_emails: int = MAX_EMAILS) -> LineModel:
 def label_lines(mail: DataFrame, model: LineModel) -> DataFrame:
     """(doc_id, line_no, label, text) of every non-blank line of the mails (doc_id, text); lines are cut at LF and counted from 1."""
     shipped = mail.sparkSession.sparkContext.broadcast(model)  # a few hundred numbers
-    text_batches(mail.sparkSession, 1024)
+    text_batches(mail.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:

@@ -230,7 +230,7 @@ def link_mentions(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
     A spelling equal to an entry's name is that entry at price 0. Null or blank spellings mean nothing.
     Ties without a leader give no row. The directory is of fixed size; its forms take part in plain joins.
     """
-    text_batches(mentions.sparkSession, 4096)
+    text_batches(mentions.sparkSession)
     mentions = mentions.filter("nombre is not null and trim(nombre) != ''")
     nodes = nodes.filter("name is not null and node_key is not null")
     forms = directory_forms(nodes)

@@ -97,7 +97,7 @@ def budget(bits: int, similarity: float) -> int:
 
 def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(doc_id, cls, size, roots, c1, c2, c3) of texts (doc_id, text): cls is the same for equal sequence sets. Texts without a sequence are left out."""
-    text_batches(docs.sparkSession, 512)
+    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -155,7 +155,7 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, k
                     out.append((a, b, j))
             yield pd.DataFrame(out, columns=["a", "b", "similarity"])
 
-    text_batches(pairs.sparkSession, 512)
+    text_batches(pairs.sparkSession)
     return both.mapInPandas(run, "a long, b long, similarity double")
 
 

@@ -73,7 +73,7 @@ def train_levels(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LAB
     labels without a document are left out. Without any usable label, formula_level seeds the training.
     The counting is done by Spark; the max_vocab most frequent words of the sample come back.
     """
-    text_batches(docs.sparkSession, 512)
+    text_batches(docs.sparkSession)
     marks = labels.filter("doc_id is not null and nivel between 1 and 5").groupBy("doc_id").agg(F.collect_set("nivel").alias("levels"), F.count(F.lit(1)).alias("k"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
@@ -99,7 +99,7 @@ def reading_levels(docs: DataFrame, model: LevelModel, keep: list[str] | None =
     a letter, has a null level. Words outside the models are no evidence. Ties go to the lower level.
     """
     spark = docs.sparkSession
-    text_batches(spark, 1024)
+    text_batches(spark)
     keep = [c for c in keep or [] if c != "doc_id"]
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *(docs.schema[c] for c in keep), T.StructField("level", T.IntegerType()), T.StructField("posterior", T.DoubleType()), T.StructField("n_words", T.IntegerType())])
     shipped = spark.sparkContext.broadcast(model)  # at most MAX_VOCAB words

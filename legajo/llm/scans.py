@@ -149,7 +149,7 @@ def read_scans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     repeated word for word in the text, or that have the form (codes masked, glyph skeleton) of one that is
     repeated in two texts.
     """
-    text_batches(docs.sparkSession, 512)
+    text_batches(docs.sparkSession)
     columns = ["kind", "word", "n", "doc_id", "line_no", "line", "own", "repeated", "mask"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,7 +216,7 @@ def cut_words(lines: DataFrame, vocab: DataFrame) -> DataFrame:
 def line_words(cut: DataFrame) -> DataFrame:
     """(doc_id, line_no, next_no, word, left, ctx) of words in small letters; ctx is a hash of the line, left is the length of the part on the line where the word goes on in the next one, else null."""
     follows = F.coalesce(F.lag("hyphen").over(Window.partitionBy("doc_id").orderBy("line_no")), F.lit(False))
-    text_batches(cut.sparkSession, 4096)
+    text_batches(cut.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:

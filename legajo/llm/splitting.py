@@ -154,7 +154,7 @@ def split_items(
     id: no piece / the id stays null. An oversized text without a word gives one empty piece. Rows that
     repeat an id are cut separately. Other columns of df are dropped, so their names cannot clash.
     """
-    text_batches(df.sparkSession, 256)
+    text_batches(df.sparkSession)
     section = F.col(section_col) if section_col else F.lit(None)
     items = df.select(F.col(id_col).cast("string").alias("item_id"), section.cast("string").alias("section"), F.col(text_col).alias("text"))
     big = is_oversized(F.col("text"), max_words, max_chars)

@@ -33,7 +33,7 @@ def encoding(path: str = TOKENIZER):
 
 def token_sizes(df: DataFrame, text_col: str, keep: list[str], tokenizer: str = TOKENIZER) -> DataFrame:
     """The columns `keep` with n_tokens (bigint). Null and empty texts have 0 tokens; the text goes no further."""
-    text_batches(df.sparkSession, 1024)
+    text_batches(df.sparkSession)
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("n_tokens", T.LongType())])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
