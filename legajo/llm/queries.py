@@ -44,6 +44,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.similar_pairs(_texts(spark, d))
 
 
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.class_links(_texts(spark, d))
+
+
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.duplicate_groups(_texts(spark, d))
 
@@ -123,7 +127,7 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = (
-    p1_found, p1_pieces, p3_found, p3_new_text, p4_found, p4_groups, p5_found, p5_restored, p6_found, p6_links, p7_found, p7_repaired,
+    p1_found, p1_pieces, p3_found, p3_new_text, p4_found, p4_links, p4_groups, p5_found, p5_restored, p6_found, p6_links, p7_found, p7_repaired,
     p8_containers, p8_report, p9_mix, p9_shares, p10_found, p10_levels, p10_profile,
 )
 

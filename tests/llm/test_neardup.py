@@ -50,17 +50,42 @@ def test_against_brute_force(spark, seed):
 
 
 def test_copies(spark):
+    """A class of forty copies: every pair of them, in blocks of any size, and every link of each."""
     text = "uno dos tres cuatro cinco seis siete ocho nueve diez"
-    rows = [(f"k{i:02d}", text) for i in range(12)] + [("z", text + " once"), ("y", "nada que ver con lo de arriba")]
+    rows = [(f"k{i:02d}", text) for i in range(40)] + [("z", text + " once"), ("z2", text + " once"), ("y", "nada que ver con lo de arriba")]
     df = spark.createDataFrame(rows + rows[:3], "doc_id string, text string")
-    full, star = pairs(df), pairs(df, expand=5)
-    assert full == brute(rows)
-    assert star == {("k00", f"k{i:02d}") for i in range(1, 12)} | {("k00", "z")}
+    want = brute(rows)
+    assert len(want) == 42 * 41 // 2
+    assert pairs(df) == want and pairs(df, block=7) == want and N.similar_pairs(df, block=7).count() == len(want)
     g = {r["doc_id"]: r for r in N.duplicate_groups(df).collect()}
-    assert g["z"]["group_id"] == "k00" == g["k07"]["group_id"] and g["k03"]["copies"] == 12 and g["z"]["links"] == 1 and g["y"]["group_id"] is None
+    assert g["z"]["group_id"] == "k00" == g["k07"]["group_id"] == g["k07"]["class_id"] and g["k03"]["copies"] == 40 and g["z2"]["links"] == 1 and g["z2"]["class_id"] == "z" and g["y"]["group_id"] is None
+    assert [(r["class_a"], r["class_b"], r["similarity"]) for r in N.class_links(df).collect()] == [("k00", "z", 8 / 9)]
     assert pairs(df.limit(0)) == set() and N.duplicate_groups(df.limit(0)).count() == 0
 
 
+def test_open_nodes(spark):
+    """Versions of one form share many roots: with tiny leaves the walk opens nodes down to the last stride and finds the same pairs."""
+    r = random.Random(5)
+    base = [f"w{r.randrange(900)}" for _ in range(120)]
+    rows = []
+    for i in range(50):
+        t = list(base)
+        for _ in range(r.randint(0, 14)):
+            t[r.randrange(len(t))] = f"x{r.randrange(5000)}"
+        rows.append((f"d{i:02d}", " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    want = brute(rows)
+    assert 100 < len(want) < 1225
+    assert pairs(df, leaf=2) == pairs(df) == want
+
+
+def test_words():
+    h = N.word_hashes("ab cd\tab\r\nñandú\xa0x  cd ")
+    assert len(h) == 5 and h[0] == h[2] and h[1] == h[4] and len(set(h)) == 3
+    many = [f"{a}{b}{c}" for a in "abcdefghij" for b in "klmnopqrst" for c in range(1000)]
+    assert len(set(N.word_hashes(" ".join(many)))) == len(many)
+
+
 def test_components(spark):
     chain = [(f"{i:03d}", f"{i + 1:03d}") for i in range(40)] + [("x", "y")]
     got = {r["id"]: r["component"] for r in N.components(spark.createDataFrame(chain, "x string, y string")).collect()}
