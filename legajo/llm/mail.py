@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from legajo.session import text_batches
+from legajo.session import discard, materialize, text_batches
 
 NEW, QUOTED, SIGNATURE, DISCLAIMER, HEADER = range(5)
 LABELS = ("new", "quoted", "signature", "disclaimer", "header")
@@ -20,6 +20,8 @@ FIELDS = r"(?:De|From|Para|To|A|CC|Cc|CCO|Cco|BCC|Bcc|Fecha|Date|Data|Enviado(?:
 HEADER_START = rf"^{FIELDS} ?: ?\S"
 _FIELD = re.compile(rf"^{FIELDS} ?:(?: |$)")
 _QUOTE = re.compile(r"^ ?[>|]")
+_INDENT = re.compile(r"^(?:\t| {3,})\S")
+_DASHES = re.compile(r"^--\s*$")
 _RULE = re.compile(r"^ *(?:[-_*=~—–]{2,}|—)\s*$")
 _FORWARD = re.compile(
     r"^\W*(?:-{2,}|_{2,}) ?(?:mensaje original|mensaje reenviado|original message|forwarded message|missatge original|missatge reenviat)\b.*$"
@@ -39,15 +41,38 @@ _NOTICE = re.compile(
 _PS = re.compile(r"^(?:P\.? ?[DS]\.?:? |P\.? ?[DS]\.?:|Posdata\b|Postdata\b|Post scriptum\b)")
 _GREETING = re.compile(r"^(?:hola|hi|hello|dear|buen[oa]s|estimad[oa]s?|querid[oa]s?|bon dia|bona tarda|benvol|apreciad)\b", re.I)
 
-KINDS = ("text", "short", "greeting", "field", "quote", "rule", "forward", "wrote", "intro", "address", "closing", "name", "contact", "device", "notice", "post")
+KINDS = ("text", "short", "greeting", "field", "quote", "rule", "forward", "wrote", "intro", "address", "closing", "name", "contact", "device", "notice", "post", "indent", "dashes")
 KIND = {k: i for i, k in enumerate(KINDS)}
-#: Additive smoothing of the model's counts; e-mails that the model learns from at most.
-SMOOTHING = 0.1
+#: What a line ends with.
+ENDS = ("stop", "comma", "colon", "mark", "long", "brief")
+
+#: Hidden states of the model and the label each stands for. A quotation that every line carries a mark of goes on
+#: differently from an earlier message that runs on to the end; a notice and an earlier message have a first part by which they are known.
+STATES = ("head", "new", "quotation", "earlier", "earlier text", "signature", "notice", "notice text")
+STATE_LABEL = (HEADER, NEW, QUOTED, QUOTED, QUOTED, SIGNATURE, DISCLAIMER, DISCLAIMER)
+HEAD, BODY, QUOTATION, EARLIER, EARLIER_TEXT, SIGN, NOTE, NOTE_TEXT = range(8)
+#: Kinds that a state is expected to show more of, and steps from state to state, before anything is learned; a step of 0 is never taken.
+#: The states in OPEN may show any kind, the others only what they are expected to.
+EXPECTED = {
+    HEAD: ("field",), BODY: ("text", "greeting", "post"), QUOTATION: ("quote", "indent", "wrote", "intro", "address"),
+    EARLIER: ("forward", "field", "rule"), EARLIER_TEXT: ("text", "greeting", "quote", "closing", "name", "short"),
+    SIGN: ("closing", "name", "contact", "device", "short", "dashes", "rule"), NOTE: ("notice", "rule"), NOTE_TEXT: ("text", "short", "contact", "indent"),
+}
+OPEN = (BODY, QUOTATION, EARLIER_TEXT, SIGN)
+FIRST_STEPS = (
+    (0.60, 0.30, 0.07, 0.01, 0.00, 0.01, 0.01, 0.00),
+    (0.00, 0.84, 0.05, 0.03, 0.00, 0.06, 0.02, 0.00),
+    (0.00, 0.15, 0.80, 0.01, 0.00, 0.02, 0.02, 0.00),
+    (0.00, 0.00, 0.00, 0.60, 0.40, 0.00, 0.00, 0.00),
+    (0.00, 0.00, 0.00, 0.02, 0.97, 0.00, 0.01, 0.00),
+    (0.00, 0.03, 0.05, 0.05, 0.00, 0.82, 0.05, 0.00),
+    (0.00, 0.01, 0.05, 0.05, 0.00, 0.03, 0.26, 0.60),
+    (0.00, 0.01, 0.05, 0.05, 0.00, 0.03, 0.06, 0.80),
+)
+#: Share of the expectation in the learned model; rounds of learning; e-mails that the model learns from at most.
+ANCHOR = 0.3
+ROUNDS = 6
 MAX_EMAILS = 20_000
-#: Weight of the steps from label to label beside a line's own features, and of the kinds whose label is known beforehand.
-STEP_WEIGHT = 0.5
-PSEUDO = 5
-_KNOWN = (("post", 5, 0), ("greeting", 0, 0), ("text", 0, 0), ("quote", 6, 1), ("forward", 3, 1), ("wrote", 6, 1), ("closing", 1, 2), ("name", 1, 2), ("contact", 1, 2), ("device", 1, 2), ("notice", 2, 3), ("field", 4, 4))
 
 
 def sender_names(first: str) -> set[str]:
@@ -68,6 +93,8 @@ def line_kind(line: str, names: set[str]) -> int:
     s = line.strip()
     if _QUOTE.match(line):
         return KIND["quote"]
+    if _DASHES.match(line):
+        return KIND["dashes"]
     if _RULE.match(line):
         return KIND["rule"]
     if _FORWARD.match(s):
@@ -96,7 +123,14 @@ def line_kind(line: str, names: set[str]) -> int:
         return KIND["greeting"]
     if len(s.split()) <= 5 and len(s) < 45 and s[-1] not in ".,;:!?»)" and s[0].isupper():
         return KIND["short"]
-    return KIND["text"]
+    return KIND["indent" if _INDENT.match(line) else "text"]
+
+
+def line_end(line: str) -> int:
+    """What a line ends with: a full stop, a comma, a colon, another sign, or a letter of a long or a brief line."""
+    s = line.rstrip()
+    k = {".": "stop", ",": "comma", ":": "colon"}.get(s[-1]) or ("mark" if not s[-1].isalnum() else "brief" if len(s) < 45 else "long")
+    return ENDS.index(k)
 
 
 class Mail:
@@ -124,9 +158,10 @@ class Mail:
             if k[i] == KIND["quote"] and not self.gap[i] and k[i - 1] in (KIND["text"], KIND["greeting"]) and re.match(r"> ?\d+ ?%", self.lines[self.at[i]]):
                 k[i] = KIND["text"]
         tail = {KIND[x] for x in ("short", "contact", "device")}
+        rules = (KIND["closing"], KIND["rule"], KIND["dashes"])
         for i in range(self.head, n - 1):
             # A short capitalised line that opens a block and stands right over a role or contact line is a name.
-            if k[i] == KIND["short"] and k[i + 1] in tail and not self.gap[i + 1] and (self.gap[i] or k[i - 1] in (KIND["closing"], KIND["rule"])):
+            if k[i] == KIND["short"] and k[i + 1] in tail and not self.gap[i + 1] and (self.gap[i] or k[i - 1] in rules):
                 k[i] = KIND["name"]
         for i in range(self.head, n):
             if k[i] == KIND["wrote"]:
@@ -136,86 +171,134 @@ class Mail:
                     else:
                         break
 
-    def features(self) -> list[tuple[int, int, int, int]]:
-        """(kind, kind before, kind after, blank line before, zone) of each line. The zone is the last line that opened a
-        section: 0 body, 1 signature, 2 notice, 3 earlier message, 4 head, 5 postscript."""
-        n, out, zone = len(self.at), [], 0
-        for i in range(n):
-            k = self.kind[i]
-            before = self.kind[i - 1] if i else -1
-            after = self.kind[i + 1] if i + 1 < n else -1
-            if i < self.head:
-                zone = 4
-            elif k == KIND["forward"] or (k == KIND["field"] and after == KIND["field"]):
-                zone = 3
-            elif k == KIND["notice"] and (self.gap[i] or zone != 0 or before in (KIND["rule"], KIND["notice"])):
-                zone = 2
-            elif zone == 3:
-                pass
-            elif k == KIND["post"]:
-                zone = 5
-            elif k in (KIND["quote"], KIND["wrote"], KIND["intro"]):
-                zone = 6
-            elif k in (KIND["closing"], KIND["name"], KIND["device"]) or (k == KIND["rule"] and after in (KIND["name"], KIND["short"], KIND["contact"])) or (k == KIND["contact"] and zone in (0, 1)):
-                zone = 1
-            elif zone in (4, 6) or (zone in (1, 2) and self.gap[i] and k in (KIND["text"], KIND["greeting"]) and before != KIND["rule"]) or (zone == 5 and self.gap[i]):
-                zone = 0
-            out.append((k, before, after, self.gap[i], zone))
-        return out
+    def observed(self) -> tuple[list[int], list[int], list[int], list[int]]:
+        """(kind, end, blank line before, allowed states as bits) of each line."""
+        ends = [line_end(self.lines[i]) for i in self.at]
+        return self.kind, ends, self.gap, [allowed(k, i < self.head) for i, k in enumerate(self.kind)]
+
+
+def allowed(kind: int, in_head: bool) -> int:
+    """The states a line can be in, as bits; only lines that are certain by themselves have fewer than all that follow the head."""
+    if in_head:
+        return 1 << HEAD
+    if kind == KIND["quote"]:
+        return 1 << QUOTATION | 1 << EARLIER_TEXT
+    if kind == KIND["forward"]:
+        return 1 << EARLIER
+    if kind == KIND["dashes"]:
+        return 1 << SIGN | 1 << EARLIER_TEXT
+    return (1 << len(STATES)) - 1 - (1 << HEAD)
 
 
 def seed_labels(mail: Mail) -> list[int]:
-    """Labels by position and prefix alone, for the model to learn from; -1 where those say nothing certain."""
+    """The label of each line that is certain by itself, else -1."""
     out = []
-    for k, before, after, gap, zone in mail.features():
-        if zone == 4:
-            out.append(HEADER)
-        elif k in (KIND["quote"], KIND["wrote"], KIND["intro"], KIND["forward"]) or zone == 3:
-            out.append(QUOTED)
-        elif zone == 2:
-            out.append(DISCLAIMER)
-        elif k == KIND["rule"]:
-            out.append({KIND["notice"]: DISCLAIMER, KIND["field"]: QUOTED, KIND["forward"]: QUOTED}.get(after, SIGNATURE))
-        elif zone == 1:
-            out.append(SIGNATURE if k != KIND["text"] else -1)
-        elif zone == 5 or k in (KIND["text"], KIND["greeting"], KIND["post"]):
-            out.append(NEW)
-        else:
-            out.append(NEW if k == KIND["short"] and zone == 0 else -1)
+    for bits in mail.observed()[3]:
+        labels = {y for s, y in enumerate(STATE_LABEL) if bits >> s & 1}
+        out.append(labels.pop() if len(labels) == 1 else -1)
     return out
 
 
-class LineModel:
-    """A Markov model over lines: for each label, the log-probability given a line's kind and zone, the fit of its context, and how it follows the label before."""
+class Batch:
+    """Observed lines of several mails, longest first, so that the mails that have a line t are the first live[t]."""
 
-    def __init__(self, start: np.ndarray, step: np.ndarray, local: list[np.ndarray]):
-        self.start, self.step, self.local = start, step, local
+    def __init__(self, mails: list[tuple]):
+        n = np.array([len(m[0]) for m in mails])
+        self.order = np.argsort(-n, kind="stable")
+        self.n = n[self.order]
+        size = (len(mails), int(self.n[0]))
+        self.kind, self.end, self.gap, bits = (np.zeros(size, np.int64) for _ in range(4))
+        for row, i in enumerate(self.order):
+            for a, v in zip((self.kind, self.end, self.gap, bits), mails[i]):
+                a[row, : self.n[row]] = v
+        self.may = (bits[:, :, None] >> np.arange(len(STATES)) & 1).astype(float)
+        self.live = [int((self.n > t).sum()) for t in range(size[1])]
 
-    def label(self, mail: Mail) -> list[int]:
-        """The most probable labels (Viterbi)."""
-        f = mail.features()
-        if not f:
-            return []
-        local = np.array([sum(e[:, v] for e, v in zip(self.local, _columns(x))) for x in f])
-        best, back = self.start + local[0], []
-        for row in local[1:]:
-            s = best[:, None] + self.step
-            back.append(s.argmax(axis=0))
-            best = s.max(axis=0) + row
-        path = [int(best.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
-        return path[::-1]
 
+def batches_of(mails: list[tuple], size: int = 256) -> Iterator[tuple[list[int], Batch]]:
+    """Mails with lines in batches of similar length, with their places in the list."""
+    by = sorted((i for i, m in enumerate(mails) if len(m[0])), key=lambda i: -len(mails[i][0]))
+    for i in range(0, len(by), size):
+        part = by[i : i + size]
+        yield part, Batch([mails[k] for k in part])
 
-_K = len(KINDS)
-_SIZES = (_K * 7, _K * (_K + 1) * 2, _K * (_K + 1))
 
-
-def _columns(x: tuple) -> tuple[int, ...]:
-    """Column of each feature: the line's kind together with the zone, with the kind and blank line before, with the kind after."""
-    k, before, after, gap, zone = x
-    return k * 7 + zone, (k * (_K + 1) + before + 1) * 2 + gap, k * (_K + 1) + after + 1
+class LineModel:
+    """A hidden Markov model over the lines of a mail: a state shows a kind and an end of line, and steps to the next line's state, with a blank line between or without."""
+
+    def __init__(self, start: np.ndarray, step: np.ndarray, kind: np.ndarray, end: np.ndarray):
+        self.start, self.step, self.kind, self.end = start, step, kind, end
+
+    @classmethod
+    def expected(cls) -> LineModel:
+        """The model before anything is learned."""
+        kind = np.zeros((len(STATES), len(KINDS)))
+        kind[OPEN, :] = 0.01
+        kind[[QUOTATION, SIGN], KIND["post"]] = 0.0  # a postscript is never part of a sign-off or a marked quotation
+        for s, names in EXPECTED.items():
+            kind[s, [KIND[k] for k in names]] = 1.0
+        steps = np.array(FIRST_STEPS)
+        return cls(np.eye(len(STATES))[HEAD], np.stack([steps / steps.sum(axis=1, keepdims=True)] * 2), kind / kind.sum(axis=1, keepdims=True), np.full((len(STATES), len(ENDS)), 1 / len(ENDS)))
+
+    @classmethod
+    def learned(cls, counts: list[np.ndarray]) -> LineModel:
+        """The model of expected counts, held to the first expectation by its share ANCHOR, so that states keep their meaning."""
+        first = cls.expected()
+        shares = [c / np.maximum(c.sum(axis=-1, keepdims=True), 1e-9) for c in counts]
+        got = [(1 - ANCHOR) * c + ANCHOR * p for c, p in zip(shares, (first.start, first.step, first.kind, first.end))]
+        return cls(*(g / g.sum(axis=-1, keepdims=True) for g in got))
+
+    def shown(self, b: Batch) -> np.ndarray:
+        return self.kind.T[b.kind] * self.end.T[b.end] * b.may
+
+    def count(self, b: Batch) -> list[np.ndarray]:
+        """Expected counts of starts, steps, kinds and ends over a batch (forward and backward sums)."""
+        shown = self.shown(b)
+        ahead, scale = np.zeros_like(shown), np.ones(shown.shape[:2])
+        for t, n in enumerate(b.live):
+            v = self.start * shown[:n, 0] if t == 0 else np.einsum("bi,bij->bj", ahead[:n, t - 1], self.step[b.gap[:n, t]]) * shown[:n, t]
+            scale[:n, t] = np.maximum(v.sum(axis=1), 1e-300)
+            ahead[:n, t] = v / scale[:n, t, None]
+        start, step = np.zeros_like(self.start), np.zeros_like(self.step)
+        kind, end = np.zeros_like(self.kind), np.zeros_like(self.end)
+        back = np.ones_like(shown)
+        for t in range(len(b.live) - 1, -1, -1):
+            n = b.live[t]
+            here = ahead[:n, t] * back[:n, t]
+            here /= np.maximum(here.sum(axis=1, keepdims=True), 1e-300)
+            np.add.at(kind.T, b.kind[:n, t], here)
+            np.add.at(end.T, b.end[:n, t], here)
+            if t == 0:
+                start += here.sum(axis=0)
+                break
+            right = shown[:n, t] * back[:n, t] / scale[:n, t, None]
+            m = self.step[b.gap[:n, t]]
+            both = ahead[:n, t - 1, :, None] * m * right[:, None, :]
+            np.add.at(step, b.gap[:n, t], both)
+            back[:n, t - 1] = np.einsum("bij,bj->bi", m, right)
+        return [start, step, kind, end]
+
+    def label(self, mails: list[tuple]) -> list[list[int]]:
+        """The labels of the most probable states of each mail's lines (Viterbi)."""
+        out: list[list[int]] = [[] for _ in mails]
+        for places, b in batches_of(mails):
+            with np.errstate(divide="ignore"):  # a step of 0 is never taken
+                shown, step = np.log(self.shown(b)), np.log(self.step)
+                best = np.log(self.start) + shown[:, 0]
+            back = np.zeros(shown.shape, np.int64)
+            last = best.argmax(axis=1)
+            for t, n in list(enumerate(b.live))[1:]:
+                way = best[:n, :, None] + step[b.gap[:n, t]]
+                back[:n, t] = way.argmax(axis=1)
+                best = way.max(axis=1) + shown[:n, t]
+                last[:n] = best.argmax(axis=1)
+            for row, i in enumerate(b.order):
+                s, path = int(last[row]), []
+                for t in range(b.n[row] - 1, -1, -1):
+                    path.append(STATE_LABEL[s])
+                    s = int(back[row, t, s])
+                out[places[i]] = path[::-1]
+        return out
 
 
 def mails(df: DataFrame, id_col: str = "doc_id", text_col: str = "raw_text") -> DataFrame:
@@ -223,49 +306,44 @@ def mails(df: DataFrame, id_col: str = "doc_id", text_col: str = "raw_text") ->
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(HEADER_START))
 
 
-def train_lines(mail: DataFrame, max_emails: int = MAX_EMAILS) -> LineModel:
-    """Count transitions and features of seed-labelled lines (Spark adds them up; a few hundred numbers come back).
+_PARTS = ("start", "step", "kind", "end")
+
+
+def train_lines(mail: DataFrame, max_emails: int = MAX_EMAILS, rounds: int = ROUNDS) -> LineModel:
+    """Learn the model by expectation and maximisation from lines of which only those certain by themselves are held fast.
 
-    The sample is bounded: of more than max_emails mails, those whose id's hash is 0 modulo a number that leaves about so many.
+    In each round the tasks add up the expected counts of their mails, Spark sums them, and a few hundred
+    numbers come back. The sample is bounded: of more than max_emails mails, those whose id's hash is 0
+    modulo a number that leaves about so many.
     """
     text_batches(mail.sparkSession)
     every = max(1, -(-mail.count() // max_emails))
     sample = mail.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        step = np.zeros((6, 5))
-        emit = [np.zeros((5, n)) for n in _SIZES]
+    def observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            for t in p["text"]:
-                m = Mail(t)
-                before = 5
-                for x, y in zip(m.features(), seed_labels(m)):
-                    if y >= 0:
-                        if before >= 0:
-                            step[before, y] += 1
-                        for e, v in zip(emit, _columns(x)):
-                            e[y, v] += 1
-                    before = y
-        rows = [("step", i, j, step[i, j]) for i, j in zip(*step.nonzero())]
-        for k, e in enumerate(emit):
-            rows += [(f"emit{k}", i, j, e[i, j]) for i, j in zip(*e.nonzero())]
-        yield pd.DataFrame(rows, columns=["part", "i", "j", "n"])
-
-    got = sample.mapInPandas(count, "part string, i int, j int, n double").groupBy("part", "i", "j").agg(F.sum("n").alias("n")).collect()
-    step = np.full((6, 5), SMOOTHING)
-    emit = [np.full((5, n), SMOOTHING) for n in _SIZES]
-    for kind, zone, y in _KNOWN:
-        emit[0][y, KIND[kind] * 7 + zone] += PSEUDO
-    for r in got:
-        (step if r["part"] == "step" else emit[int(r["part"][4:])])[r["i"], r["j"]] += r["n"]
-    # The label given kind and zone; the context given label and kind, so that rare kinds aren't outweighed; the step beyond the label's own share.
-    local = [np.log(emit[0] / emit[0].sum(axis=0))]
-    for e in emit[1:]:
-        block = e.reshape(5, _K, -1)
-        local.append(np.log(block / block.sum(axis=2, keepdims=True)).reshape(5, -1))
-    share = step[:5].sum(axis=1) / step[:5].sum()
-    step = np.log(step / step.sum(axis=1, keepdims=True)) - np.log(share)
-    return LineModel(step[5] * STEP_WEIGHT, step[:5] * STEP_WEIGHT, local)
+            yield pd.DataFrame([Mail(t).observed() for t in p["text"]], columns=["kind", "end", "gap", "may"])
+
+    seen = materialize(sample.mapInPandas(observe, "kind array<int>, end array<int>, gap array<int>, may array<int>"), "lines")
+    model = LineModel.expected()
+    for _ in range(rounds):
+        now = model
+
+        def count(batches: Iterator[pd.DataFrame], now: LineModel = now) -> Iterator[pd.DataFrame]:
+            for p in batches:
+                rows = []
+                for _, b in batches_of(list(zip(p["kind"], p["end"], p["gap"], p["may"]))):
+                    for part, c in zip(_PARTS, now.count(b)):
+                        rows += [(part, i, float(v)) for i, v in enumerate(c.ravel()) if v]
+                yield pd.DataFrame(rows, columns=["part", "i", "n"])
+
+        got = seen.mapInPandas(count, "part string, i int, n double").groupBy("part", "i").agg(F.sum("n").alias("n")).collect()
+        counts = {part: np.zeros_like(c) for part, c in zip(_PARTS, (model.start, model.step, model.kind, model.end))}
+        for r in got:
+            counts[r["part"]].flat[r["i"]] = r["n"]
+        model = LineModel.learned([counts[part] for part in _PARTS])
+    discard(seen)
+    return model
 
 
 def label_lines(mail: DataFrame, model: LineModel) -> DataFrame:
@@ -275,10 +353,10 @@ def label_lines(mail: DataFrame, model: LineModel) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
+            mails = [Mail(t) for t in p["text"]]
             rows = []
-            for d, t in zip(p["doc_id"], p["text"]):
-                m = Mail(t)
-                rows += [(d, i + 1, LABELS[y], m.lines[i]) for i, y in zip(m.at, shipped.value.label(m))]
+            for d, m, labels in zip(p["doc_id"], mails, shipped.value.label([m.observed() for m in mails])):
+                rows += [(d, i + 1, LABELS[y], m.lines[i]) for i, y in zip(m.at, labels)]
             yield pd.DataFrame(rows, columns=["doc_id", "line_no", "label", "text"])
 
     return mail.mapInPandas(run, "doc_id string, line_no int, label string, text string")
