@@ -31,6 +31,32 @@ def test_prior_and_empty(spark):
     assert N.variant_mentions(df.limit(0), nodes).count() == 0 and N.variant_mentions(df, nodes.limit(0)).count() == 0
 
 
-def test_one_typo():
-    assert N.one_typo("jovusa", "jovusa") and N.one_typo("jvousa", "jovusa") and N.one_typo("jousa", "jovusa") and N.one_typo("jovuda", "jovusa") and N.one_typo("guiyermo", "guillermo")
-    assert not N.one_typo("jouda", "jovusa") and not N.one_typo("jov", "jovusa")
+def test_one_typo(spark):
+    near = [("jovusa", "jovusa"), ("jvousa", "jovusa"), ("jousa", "jovusa"), ("jovuda", "jovusa"), ("guiyermo", "guillermo")]
+    far = [("jouda", "jovusa"), ("jov", "jovusa"), ("ujovas", "jovusa")]
+    got = spark.createDataFrame(near + far, "a string, b string").select(N.one_typo("a", "b")).collect()
+    assert [r[0] for r in got] == [True] * 5 + [False] * 3
+
+
+def test_another_directory(spark):
+    """Another directory than that of the test data: given names, surnames and organisations of everyday use, every variant linked, every stranger left alone."""
+    given = ["Agustín", "Begoña", "Cristina", "Fernando", "Gonzalo", "Joaquín", "Juan José", "María Teresa", "Miguel Ángel", "Nuria", "Pedro", "Ramón", "Sergio", "Tomás"]
+    surnames = ["Abascal", "Barrientos", "Castellanos", "Domínguez", "Echevarría", "Fuenmayor", "Gallardo", "Hinojosa", "Izquierdo", "Jaramillo", "Larrañaga", "Montenegro", "Navarrete", "Olivares"]
+    people = [(f"p{i}", f"{g} {surnames[i]} {surnames[(3 * i + 5) % 14]}", "person") for i, g in enumerate(given)]
+    firms = [("o1", "Panificadora Industrial Montejo S.L.", "organization"), ("o2", "Asociación Vecinal Robledo", "organization"), ("o3", "Suministros Hidráulicos Peralta S.A.", "organization")]
+    nick = {"Agustín": "Agus", "Begoña": "Bego", "Cristina": "Cris", "Fernando": "Fer", "Gonzalo": "Gonza", "Joaquín": "Quim", "Juan José": "Juanjo", "María Teresa": "Maite", "Miguel Ángel": "Migue", "Nuria": "Nuri", "Pedro": "Pere", "Ramón": "Moncho", "Sergio": "Sergi", "Tomás": "Tomi"}
+    want = {}
+    for key, name, _ in people:
+        g = next(x for x in given if name.startswith(x + " "))
+        a, b = name[len(g) + 1 :].split()
+        forms = [f"{a} {b}, {g}", name.upper(), f"{g} {a}", f"{nick[g]} {a}", f"{nick[g]} {a} {b}", f"{g[0]}. {a} {b}", f"{g} {a} {b[0]}.", f"Sr/a. {g} {a}", f"{a}, {g}", f"{g} {a[:3]}{a[4:]} {b}", f"{g} {a} {b[1]}{b[0]}{b[2:]}", f" {g}  {a} {b}"]
+        want |= {(f, "person"): key for f in forms}
+    want |= {(f, "organization"): k for k, fs in {
+        "o1": ["Panif. Ind. Montejo", "PANIFICADORA INDUSTRIAL MONTEJO SL", "Montejo, Panificadora Industrial", "Panificadora Industrial Montejo", "Pdora. Industrial Montejo", "Panificadora Indutrial Montejo S. L."],
+        "o2": ["Asoc. Vecinal Robledo", "Ascion. Vecinal Robledo", "A. V. Robledo", "Asociaciones Vecinal Robledo"], "o3": ["Sumin. Hidr. Peralta S.A.", "Suministros Hidraulicos Peralta", "Sum. Hidráulicos Peralta Sociedad Anónima"]}.items() for f in fs}
+    strangers = [("Pedro Abascal Ruiz", "person"), ("Nuria Domínguez Domínguez", "person"), ("Lucas Gallardo", "person"), ("Panificadora Robledo", "organization"), ("Asociación Vecinal Peralta", "organization"), ("Transportes Montejo S.L.", "organization")]
+    rows = [(n, k, 1) for n, k in [*want, *strangers]]
+    got = {(r["nombre"], r["kind"]): r["node_key"] for r in N.link_mentions(spark.createDataFrame(rows, "nombre string, kind string, n long"), spark.createDataFrame(people + firms, "node_key string, name string, entity_type string")).collect()}
+    right = sum(got.get(m) == k for m, k in want.items())
+    assert right >= 0.99 * len(want), {m: got.get(m) for m in want if got.get(m) != want[m]}
+    assert right >= 0.99 * len(got), {m: got[m] for m in got if m not in want}
