@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from legajo.llm.runs import runs
-from legajo.session import materialize, text_batches
+from legajo.session import discard, materialize, text_batches
 
 #: Page numbers on a line of their own, digits masked as \d; fixed values.
 PAGE = (
@@ -31,8 +31,16 @@ CONFUSED = (
     ("cl", "d"), ("d", "cl"), ("li", "h"), ("h", "li"), ("ñ", "fi"), ("vv", "w"), ("w", "vv"),
 )
 MAX_CHANGES = 3
-#: How much more frequent a form must be than what it was misread as.
+#: How much more frequent a form must be than what it was misread as, and how much more often, for each word of text, scans must show a word
+#: that clean texts hold too for it to be suspected.
 FREQUENT = 4
+SCAN_TYPICAL = 10
+#: Lines of up to so many characters can be furniture. A masked line that repeats within texts is a form of furniture where it does so in
+#: FORM_TEXTS texts, stands inside a sentence in the share CUTS of its places, and is itself continued in small letters in no more than RUNS_ON.
+SHORT = 130
+FORM_TEXTS = 3
+CUTS = 0.05
+RUNS_ON = 0.75
 
 _EDGE = ".,;:()[]{}\"'!?¿¡«»“”<>|*=_…"
 _CODE = re.compile(r"^\S+@\S+\.\S+$|^\W*\d[\d.,/:\-%€]*\W*$|^https?:|^www\.")
@@ -93,6 +101,7 @@ _TWO = tuple((a, b) for a, b in CONFUSED if a[0] == b[0])
 
 _PAGE = regex.compile(PAGE)
 _HEADER = regex.compile(HEADER)
+_DIGITS = re.compile(r"\d+")
 _FILE_CODE = re.compile(r"\b[A-Z]{2,4}-\d{2,4}-\d{2,6}\b")
 
 
@@ -104,8 +113,22 @@ def _core(token: str) -> str:
     return token.strip(_EDGE)
 
 
-def mark(text: str) -> tuple[list[str], list[bool], list[bool]] | None:
-    """(lines, furniture, repeated headers) of a text by itself; None where it carries no page furniture."""
+_NUMBER = re.compile(r"(?<![^\W\d_])\d+(?![^\W\d_])")
+
+
+def mask(line: str) -> str:
+    """The form of a line: file codes and numbers masked, letters as glyph skeleton, so that a running line keeps it from page to page, file to file and reading to reading."""
+    return skeleton(_NUMBER.sub("#", _FILE_CODE.sub("code", line)).lower())
+
+
+def mark(text: str, forms: Counter | None = None) -> tuple[list[str], list[bool], list[str | None], bool] | None:
+    """(lines, furniture by the text itself, forms of short lines, sure) of a text; None where nothing hints at page furniture.
+
+    Furniture by the text itself: page numbers; bare numbers that count up; lines of a header's shape
+    that are repeated. Without any, a repeated form that stands inside a sentence is a hint, and sure is false.
+    forms counts the repeated forms: ('mt', form) texts, 'mo' places, 'mc' places inside a sentence, 'mn' places
+    continued in small letters, 'mh' texts where it has a header's shape.
+    """
     lines = text.split("\n")
     ts = [x.strip(" \t\r") for x in lines]
     page = [len(t) < 70 and any(c.isdigit() for c in t) and _PAGE.fullmatch(t) is not None for t in ts]
@@ -114,11 +137,38 @@ def mark(text: str) -> tuple[list[str], list[bool], list[bool]] | None:
         for (i, v), (j, w) in zip(bare, bare[1:]):
             if w == v + 1:
                 page[i] = page[j] = True
-    seen = Counter(t for t in ts if is_header(t))
-    header = [seen[t] > 1 for t in ts]
-    if not any(page) and not any(header):
+    full = [i for i, t in enumerate(ts) if t]
+    places: dict[str, list[int]] = {}
+    for k, i in enumerate(full):
+        if len(ts[i]) < SHORT:
+            places.setdefault(_DIGITS.sub("#", ts[i]), []).append(k)
+    own, hint = page, False
+    for key, at in places.items():
+        if len(at) < 2 or not any(c.isalpha() for c in key):
+            continue
+        header = is_header(ts[full[at[0]]])
+        same = Counter(ts[full[k]] for k in at)
+        if header:
+            for k in at:
+                own[full[k]] = own[full[k]] or same[ts[full[k]]] > 1
+        cuts = runs_on = 0
+        for k in at:
+            below = ts[full[k + 1]] if k + 1 < len(full) else ""
+            above = ts[full[k - 1]] if k else ""
+            runs_on += below[:1].islower()
+            cuts += below[:1].islower() and above[-1:].isalnum()
+        hint = hint or cuts > 0
+        if forms is not None:
+            m = mask(ts[full[at[0]]])
+            forms["mt", m] += 1
+            forms["mo", m] += len(at)
+            forms["mc", m] += cuts
+            forms["mn", m] += runs_on
+            forms["mh", m] += header and max(same.values()) > 1
+    sure = any(own)
+    if not sure and not hint:
         return None
-    return lines, [a or b for a, b in zip(page, header)], header
+    return lines, own, [mask(t) if t and len(t) < SHORT and any(map(str.isalpha, t)) else None for t in ts], sure
 
 
 def _count_words(texts: list[str], scan: bool, out: Counter) -> None:
@@ -138,46 +188,50 @@ def _count_words(texts: list[str], scan: bool, out: Counter) -> None:
                 out["c", x.lower()] += n
 
 
+def known_forms(vocab: DataFrame) -> DataFrame:
+    """(mask): the forms of furniture that the corpus shows, from the counts of forms repeated within texts."""
+    n = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0))
+    by = vocab.filter("kind in ('mt', 'mo', 'mc', 'mn', 'mh')").groupBy(F.col("word").alias("mask")).agg(n("mt").alias("texts"), n("mo").alias("places"), n("mc").alias("cuts"), n("mn").alias("on"), n("mh").alias("headers"))
+    return by.filter(f"headers >= 2 or (texts >= {FORM_TEXTS} and cuts >= {CUTS} * places and on <= {RUNS_ON} * places)").select("mask")
+
+
 def read_scans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(vocabulary, lines) of texts (doc_id, text), in one pass over them.
 
     vocabulary: (kind, word, n): kind 'w' words in small letters of texts without furniture, 's' of the
-    other texts, 'c' capitalised words in small letters, 't' words with a hyphen inside.
+    other texts, 'c' capitalised words in small letters, 't' words with a hyphen inside; 'm..' forms of lines, see mark().
     lines: (doc_id, line_no, line, furniture) of all lines of scanned texts, cut at LF and counted from 1.
     Furniture: page numbers; runs of bare numbers that count up by one, where a text has no other page
     numbers (never the value under a label that ends with a colon); lines of a header's shape that are
-    repeated word for word in the text, or that have the form (codes masked, glyph skeleton) of one that is
-    repeated in two texts.
+    repeated word for word in the text; and every line whose form (numbers and codes masked, glyph skeleton) the
+    corpus knows as furniture, see known_forms().
     """
     text_batches(docs.sparkSession)
-    columns = ["kind", "word", "n", "doc_id", "line_no", "line", "own", "repeated", "mask"]
+    columns = ["kind", "word", "n", "doc_id", "line_no", "line", "own", "mask", "sure"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             clean, scanned, rows, out = [], [], [], Counter()
             for d, t in zip(p["doc_id"], p["text"]):
-                m = mark(t)
-                if not m:
-                    clean.append(t)
-                    continue
-                scanned.append(t)
-                for i, (x, f, h) in enumerate(zip(*m)):
-                    y = x.strip(" \t\r")
-                    rows.append((None, None, 0, d, i + 1, x, f, h, skeleton(_FILE_CODE.sub("code", y).lower()) if is_header(y) else None))
+                m = mark(t, out)
+                (scanned if m and m[3] else clean).append(t)
+                if m:
+                    rows += [(None, None, 0, d, i + 1, x, f, k, m[3]) for i, (x, f, k) in enumerate(zip(*m[:3]))]
             _count_words(clean, False, out)
             _count_words(scanned, True, out)
-            rows += [(k, w, n, None, 0, None, False, False, None) for (k, w), n in out.items()]
+            rows += [(k, w, n, None, 0, None, False, None, False) for (k, w), n in out.items() if n]
             yield pd.DataFrame(rows, columns=columns)
 
     both = docs.filter("text is not null").select("doc_id", "text").mapInPandas(
-        run, "kind string, word string, n long, doc_id string, line_no int, line string, own boolean, repeated boolean, mask string")
+        run, "kind string, word string, n long, doc_id string, line_no int, line string, own boolean, mask string, sure boolean")
     both = materialize(both, "scans")
     vocab = materialize(both.filter("kind is not null").groupBy("kind", "word").agg(F.sum("n").alias("n")), "vocabulary")
-    lines = both.filter("kind is null")
-    known = lines.filter("repeated").select("mask", "doc_id").distinct().groupBy("mask").agg(F.count(F.lit(1)).alias("texts")).filter("texts >= 2")
-    more = lines.filter("mask is not null and not own").join(known, "mask", "left_semi").select("doc_id", "line_no", F.lit(True).alias("more"))
-    lines = lines.join(more, ["doc_id", "line_no"], "left").select("doc_id", "line_no", "line", (F.col("own") | F.coalesce("more", F.lit(False))).alias("furniture"))
-    return vocab, materialize(lines, "marked")
+    lines = both.filter("kind is null").join(known_forms(vocab).withColumn("known", F.lit(True)), "mask", "left")
+    lines = materialize(lines.select("doc_id", "line_no", "line", "sure", (F.col("own") | F.coalesce("known", F.lit(False))).alias("furniture")), "marked")
+    discard(both)
+    # A text with a hint alone is a scan where the hint is a known form.
+    proven = lines.filter("not sure and furniture").select("doc_id").distinct()
+    return vocab, lines.filter("sure").unionByName(lines.filter("not sure").join(proven, "doc_id", "left_semi")).drop("sure")
 
 
 def cut_words(lines: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -214,7 +268,7 @@ def cut_words(lines: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def line_words(cut: DataFrame) -> DataFrame:
-    """(doc_id, line_no, next_no, word, left, ctx) of words in small letters; ctx is a hash of the line, left is the length of the part on the line where the word goes on in the next one, else null."""
+    """(doc_id, line_no, next_no, word, left, ctx, before, after) of words in small letters; ctx is a hash of the line, before and after are the neighbours on it, left is the length of the part on the line where the word goes on in the next one, else null."""
     follows = F.coalesce(F.lag("hyphen").over(Window.partitionBy("doc_id").orderBy("line_no")), F.lit(False))
     text_batches(cut.sparkSession)
 
@@ -223,45 +277,72 @@ def line_words(cut: DataFrame) -> DataFrame:
             rows = []
             for d, i, line, hyphen, nxt, word, skip, ctx in zip(p["doc_id"], p["line_no"], p["line"], p["hyphen"], p["next_no"], p["next_word"], p["follows"], p["ctx"]):
                 tokens = runs(line)[1 if skip else 0:]
+                cores = [_core(t) for t in tokens]
                 if hyphen and tokens:
                     last = tokens.pop()
                     head = last.rstrip(MARKS).lstrip(_EDGE)
                     x = head + word.rstrip(_EDGE)
                     if x and not x[0].isupper() and not _CODE.match(x) and not any(c in x for c in MARKS):
-                        rows.append((d, i, int(nxt), x, len(head), ctx))
-                for t in tokens:
+                        rows.append((d, i, int(nxt), x, len(head), ctx, cores[-2] if tokens else None, None))
+                for k, t in enumerate(tokens):
                     if t[0].isupper() and not (t[0] == "I" and t[1:2].islower()) or _CODE.match(t):
                         continue
-                    for x in _PART.findall(_core(t)):
+                    for x in _PART.findall(cores[k]):
                         if len(x) > 1 and not x[1:].isupper() and any(c.isalpha() for c in x):
-                            rows.append((d, i, None, x, None, ctx))
-            yield pd.DataFrame(rows, columns=["doc_id", "line_no", "next_no", "word", "left", "ctx"]).astype({"next_no": "Int32", "left": "Int32"})
+                            rows.append((d, i, None, x, None, ctx, cores[k - 1] if k else None, cores[k + 1] if k + 1 < len(cores) else None))
+            yield pd.DataFrame(rows, columns=["doc_id", "line_no", "next_no", "word", "left", "ctx", "before", "after"]).astype({"next_no": "Int32", "left": "Int32"})
 
     return cut.withColumn("follows", follows).select("doc_id", "line_no", "line", "hyphen", "next_no", "next_word", "follows", F.xxhash64("line").alias("ctx")).mapInPandas(
-        run, "doc_id string, line_no int, next_no int, word string, left int, ctx long")
+        run, "doc_id string, line_no int, next_no int, word string, left int, ctx long, before string, after string")
+
+
+def _support(words: DataFrame, cases: DataFrame) -> DataFrame:
+    """(word, printed, support): how often the neighbours of each word stand beside the printed form where that is read rightly. cases: (word, printed)."""
+    beside = lambda df, key: df.select(key, F.lit("b").alias("side"), F.col("before").alias("near"), "ctx").unionByName(df.select(key, F.lit("a").alias("side"), F.col("after").alias("near"), "ctx")).filter("near is not null").distinct()
+    forms = cases.select(F.col("printed").alias("word")).distinct()
+    pairs = beside(words.join(forms, "word", "left_semi"), "word").groupBy(F.col("word").alias("printed"), "side", "near").agg(F.count(F.lit(1)).alias("seen"))
+    around = beside(words.join(cases.select("word").distinct(), "word", "left_semi"), "word").groupBy("word", "side", "near").agg(F.count(F.lit(1)).alias("times"))
+    met = around.join(cases.select("word", "printed"), "word").join(pairs, ["printed", "side", "near"])
+    return met.groupBy("word", "printed").agg(F.sum(F.col("times") * F.log1p("seen")).alias("support"))
 
 
 def misread_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(word, printed, at): distinct words that no clean text holds, with the frequent form of the same skeleton that a scanner may have misread; at: the places."""
-    clean = vocab.filter("kind = 'w'")
+    """(word, printed, at): distinct words with the frequent form of the same skeleton that a scanner may have misread; at: the places.
+
+    Suspects are the words that no clean text holds, and those that scans show SCAN_TYPICAL times as often as
+    clean texts do, for each word of text. Of several forms with the fewest confusions, the one that the
+    suspect's neighbours stand beside most often is chosen, then the most frequent; a suspect that clean
+    texts hold needs such neighbours.
+    """
+    clean = vocab.filter("kind = 'w'").select("word", F.col("n").alias("held"))
+    size = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n"))).alias(k)
+    total = vocab.filter("kind in ('w', 's')").agg(size("w"), size("s"))  # one row
     shape = lambda w: sql_skeleton(F.col(w))
     # A word's own weight is the number of different lines that hold it, so that copies of a scan don't make its errors frequent.
-    suspects = words.select("word", "ctx").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("own")).join(clean.select("word"), "word", "left_anti").withColumn("bones", shape("word"))
+    own = words.select("word", "ctx").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("own"))
+    suspects = own.join(clean, "word", "left").crossJoin(F.broadcast(total)).filter(F.col("held").isNull() | (F.col("own") * F.col("w") >= SCAN_TYPICAL * F.col("held") * F.col("s"))).withColumn("bones", shape("word"))
     both = vocab.filter("kind in ('w', 's') and char_length(word) > 1 and word rlike '(?U)^\\\\p{Ll}+$'").groupBy("word").agg(F.sum("n").alias("n"))
     forms = both.filter("n > 1").select(F.col("word").alias("printed"), "n", shape("word").alias("bones"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             rows = []
-            for w, c, n in zip(p["word"], p["printed"], p["n"]):
+            for w, c, n, held in zip(p["word"], p["printed"], p["n"], p["known"]):
                 at = changes(c, w)
                 if at:
-                    rows.append((w, c, n, list(at)))
-            yield pd.DataFrame(rows, columns=["word", "printed", "n", "at"])
+                    rows.append((w, c, n, held, list(at)))
+            yield pd.DataFrame(rows, columns=["word", "printed", "n", "known", "at"])
 
-    made = suspects.join(forms, "bones").filter(f"n >= {FREQUENT} * own").select("word", "printed", "n").mapInPandas(run, "word string, printed string, n long, at array<int>")
-    best = Window.partitionBy("word").orderBy(F.size("at"), F.desc("n"), "printed")
-    return made.withColumn("k", F.row_number().over(best)).filter("k = 1").select("word", "printed", "at")
+    near = suspects.join(forms, "bones").filter(f"n >= {FREQUENT} * own and word != printed")
+    made = near.select("word", "printed", "n", F.col("held").isNotNull().alias("known")).mapInPandas(run, "word string, printed string, n long, known boolean, at array<int>")
+    one = Window.partitionBy("word")
+    made = materialize(made.withColumn("least", F.min(F.size("at")).over(one)).filter("size(at) = least").withColumn("k", F.count(F.lit(1)).over(one)).drop("least"), "misread")
+    sure = made.filter("k = 1 and not known")
+    cases = made.filter("k > 1 or known")
+    best = one.orderBy(F.desc("support"), F.desc("n"), "printed")
+    told = cases.join(_support(words, cases), ["word", "printed"], "left").withColumn("support", F.coalesce("support", F.lit(0.0))).filter("support > 0 or not known")
+    told = told.withColumn("rank", F.row_number().over(best)).filter("rank = 1")
+    return sure.select("word", "printed", "at").unionByName(told.select("word", "printed", "at"))
 
 
 def noise_lines(docs: DataFrame) -> DataFrame:
@@ -293,7 +374,7 @@ def repair_texts(docs: DataFrame) -> DataFrame:
     row = Window.partitionBy("doc_id").orderBy("line_no")
     lines = lines.withColumn("passed", F.sum(F.col("furniture").cast("int")).over(row))
     cut = materialize(cut_words(lines, vocab), "cut")
-    bad = misread_words(line_words(cut), vocab)
+    bad = misread_words(materialize(line_words(cut), "words"), vocab)
     kept = cut.withColumn("gap", F.col("line_no") - F.lag("line_no", 1, 0).over(row) > 1).withColumn("above", F.lag("line").over(row)).withColumn(
         "above_cut", F.coalesce(F.lag("hyphen").over(row), F.lit(False)))
     ends = F.coalesce(F.col("above").rlike(r"[.!?:;…»)]\s*$|^[^\p{Ll}]{3,80}$"), F.lit(True))

@@ -1,3 +1,5 @@
+import random
+
 from legajo.llm import scans as S
 
 CLEAN = "La válvula del almacén necesita una garantía reciente. El plan técnico-comercial compara el coste-beneficio del aparcamiento.\nLa encuesta de la oficina confirma el mantenimiento de la campaña.\n"
@@ -50,6 +52,40 @@ def test_repair(spark):
     assert "Página" not in got["s"] and "interno" not in got["s"] and "y la campaña" in got["s"]
 
 
+def test_forms_of_the_corpus(spark):
+    """A page line of no listed shape is found by its masked form: it repeats within texts and stands inside sentences; list entries and openings of sentences do not."""
+    r = random.Random(4)
+    words = "la bomba de la planta necesita una pieza nueva y el taller la pide al almacén central para montar línea en otoño".split()
+
+    def text(k):
+        body = [" ".join(r.choice(words) for _ in range(6)) for _ in range(16)]
+        for n, i in enumerate((12, 9, 6, 3)):
+            if i % 2:  # a page may also end with a sentence
+                body[i - 1], body[i] = body[i - 1] + ".", body[i].capitalize()
+            body.insert(i, f"tomo {k} hoja {4 - n} del legajo")
+        return "\n".join(body)
+
+    lists = "\n".join(f"Pieza {i}: llave\nPrecio: {i} euros" for i in range(6))
+    rows = [(f"t{k}", text(k)) for k in range(4)] + [("lista", lists)]
+    got = {(r["doc_id"], r["line_no"]) for r in S.noise_lines(spark.createDataFrame(rows, "doc_id string, text string")).filter("noise = 'furniture'").collect()}
+    assert {(f"t{k}", n) for k in range(4) for n in (4, 8, 12, 16)} == got
+
+
+def test_neighbours_decide(spark):
+    """Two printed forms are as near to what was read; the words beside it tell which. A word that a clean text holds once is suspected where scans show it over and over."""
+    page = "Página 1 de 2"
+    clean = ["la muda de la tienda queda lista hoy."] * 9 + ["la rueda gira en el eje y la nuda pasa."] * 9 + ["el coste de la planta sube. El c0ste baja."]
+    scan = lambda i, x: (f"s{i}", f"{page}\nla muda de la tienda queda lista hoy\nel coste de la planta {i} sube\n{x}")
+    rows = [(f"c{i}", t) for i, t in enumerate(clean)] + [scan(i, f"el c0ste de la planta {i + 20} sube") for i in range(12)]
+    vocab, lines = S.read_scans(spark.createDataFrame(rows, "doc_id string, text string"))
+    words = S.line_words(S.cut_words(lines, vocab))
+    assert ("c0ste", "coste") in {(r["word"], r["printed"]) for r in S.misread_words(words, vocab).collect()}
+    cases = spark.createDataFrame([("rnuda", "muda"), ("rnuda", "nuda")], "word string, printed string")
+    near = spark.createDataFrame([("rnuda", "la", "de", 1), ("muda", "la", "de", 2), ("muda", "la", "de", 3), ("nuda", "la", "pasa", 4)], "word string, before string, after string, ctx long")
+    got = {r["printed"]: r["support"] for r in S._support(near, cases).collect()}
+    assert got["muda"] > got["nuda"] > 0
+
+
 def test_changes():
     assert S.changes("garantía", "g@rantía") == (1,) and S.changes("almacén", "alrnacén") and S.changes("incluye", "induye") and S.changes("nómina", "nómma") and S.changes("solicitó", "sohcitó")
     assert S.changes("casa", "casa") is None and S.changes("casa", "cosa") is None
