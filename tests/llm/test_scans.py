@@ -74,7 +74,7 @@ def test_forms_of_the_corpus(spark):
 def test_neighbours_decide(spark):
     """Two printed forms are as near to what was read; the words beside it tell which. A word that a clean text holds once is suspected where scans show it over and over."""
     page = "Página 1 de 2"
-    clean = ["la muda de la tienda queda lista hoy."] * 9 + ["la rueda gira en el eje y la nuda pasa."] * 9 + ["el coste de la planta sube. El c0ste baja."]
+    clean = ["la muda de la tienda queda lista hoy."] * 9 + ["la rueda gira en el eje y la nuda pasa."] * 9 + ["el coste de la planta sube hoy."] * 60 + ["El c0ste baja."]
     scan = lambda i, x: (f"s{i}", f"{page}\nla muda de la tienda queda lista hoy\nel coste de la planta {i} sube\n{x}")
     rows = [(f"c{i}", t) for i, t in enumerate(clean)] + [scan(i, f"el c0ste de la planta {i + 20} sube") for i in range(12)]
     vocab, lines = S.read_scans(spark.createDataFrame(rows, "doc_id string, text string"))
