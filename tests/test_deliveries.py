@@ -46,3 +46,49 @@ def test_no_header_repeats_and_extra_columns(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "record_id long, file_name string, line_no int, raw_record string")
     assert D.load_records(df).count() == 0 and D.rejected_rows(D.load_records(df)).count() == 0
+
+
+def test_quoting_against_a_scanner(spark):
+    """Random records of quotes, separators, breaks and letters: the vectors agree with a scanner that goes through each record letter by letter."""
+    import random
+
+    import pyarrow as pa
+
+    def scan(raw, sep):
+        i, n = 0, 0
+        while True:
+            if raw[i : i + 1] == '"':
+                i += 1
+                while True:
+                    j = raw.find('"', i)
+                    if j < 0:
+                        return "broken_quote"
+                    if raw[j + 1 : j + 2] == '"':
+                        i = j + 2
+                    else:
+                        i = j + 1
+                        break
+            else:
+                j = i
+                while j < len(raw) and raw[j] != sep:
+                    if raw[j] == '"':
+                        return "broken_quote"
+                    j += 1
+                i = j
+            n += 1
+            if i == len(raw):
+                return "column_count" if n != 9 else None
+            if raw[i] != sep:
+                return "broken_quote"
+            i += 1
+
+    r = random.Random(7)
+    for sep in ",;":
+        values = ["", "a", '"a"', '""', '"x""y"', '"' + sep + '"', '"\n"', "b\r", '"open', 'mid"dle', '"a" b', '"a"b"', '""""', '"""', "ñ", '"é\n""']
+        records = ["", '"', sep * 8]
+        for _ in range(3000):
+            records.append(sep.join(r.choice(values) for _ in range(9 if r.random() < 0.7 else r.randint(1, 12))))
+        got = D.parse_records(pa.array(records), sep, "tickets")[0].to_pylist()
+        want = [scan(x, sep) for x in records]
+        assert [g if g != "invalid_value" else None for g in got] == want
+        assert {"broken_quote", "column_count", None} == set(want)
