@@ -79,13 +79,19 @@ def char_ngrams(folded: Column, n: int = 3) -> Column:
 DASHES = "‐‑‒–—―⸺⸻﹘﹣－"
 
 
+#: Page markers, numbers and rules on lines of their own in the order in which they are taken out, fixed values.
+PAGE_MARKS = (
+    r"[-=*_]{2,}\s*[Pp][aá]g(?:ina)?[s]?\s*[0-9]+(?:\s*(?:de|of)\s*[0-9]+)?\s*[-=*_]{0,10}", r"[Pp]ágina\s+[0-9]+(?:\s+de\s+[0-9]+)?", r"[Pp]age\s+[0-9]+(?:\s+of\s+[0-9]+)?",
+    r"^\s*[0-9]{1,3}\s*$", r"^\s*[-=*_]{3,}\s*$",
+)
+
+
 def clean(c: Column) -> Column:
     """Index text: control characters, long dashes, URLs, e-mail addresses, page furniture and surplus white space go."""
     steps = (
         (r"[\p{Cc}\p{Cf}\p{Co}&&[^\n\r\t]]", ""), (f"[{DASHES}]", " "), (r"https?://[^\s]+|www\.[^\s]+", " "), (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", " "),
         (r"\n{3,}", "\n\n"), (r"[ \t]{2,}", " "), (r"[ \t]+\n", "\n"),
-        (r"(?mi)^[ \t]*-{2,}[ \t]*p[aá]gina[ \t]+[0-9]+[ \t]*-{2,}[ \t]*$", ""), (r"(?i)p[aá]gina[ \t]+[0-9]+[ \t]+de[ \t]+[0-9]+", ""), (r"(?i)page[ \t]+[0-9]+[ \t]+of[ \t]+[0-9]+", ""),
-        (r"(?m)^[ \t]*[0-9]{1,3}[ \t]*$", ""), (r"(?m)^[ \t]*[-_=*]{3,}[ \t]*$", ""),
+        *((f"(?md){p}", "") for p in PAGE_MARKS),
     )
     return F.regexp_replace(reduce(lambda x, s: F.regexp_replace(x, s[0], s[1]), steps, c), r"^\s+|\s+$", "")
 
@@ -97,33 +103,44 @@ def emails(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(f"({EMAIL})"), F.lit(1))))
 
 
-#: Month names and their numbers, fixed values.
-MONTHS = {"enero": "01", "febrero": "02", "marzo": "03", "abril": "04", "mayo": "05", "junio": "06", "julio": "07", "agosto": "08", "septiembre": "09", "octubre": "10", "noviembre": "11", "diciembre": "12"}
+#: Month names and abbreviations with their numbers, fixed values.
+MONTHS = {
+    "enero": "01", "febrero": "02", "marzo": "03", "abril": "04", "mayo": "05", "junio": "06", "julio": "07", "agosto": "08", "septiembre": "09", "octubre": "10", "noviembre": "11", "diciembre": "12",
+    "ene": "01", "feb": "02", "mar": "03", "abr": "04", "may": "05", "jun": "06", "jul": "07", "ago": "08", "sep": "09", "oct": "10", "nov": "11", "dic": "12",
+}
+MONTH_NAMES = tuple(MONTHS)[:12]
 _MONTH = "|".join(MONTHS)
+#: Days with slashes and dashes, days and months in words, years; fixed values.
+DAY_SLASH, DAY_DASH = "([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})", "([0-9]{1,2}-[0-9]{1,2}-[0-9]{4})"
+DAY_TEXT = rf"(?i)([0-9]{{1,2}}\s+(?:de\s+(?:{_MONTH})\s+de|(?:{_MONTH})\s+de|(?:{_MONTH}))\s+[0-9]{{4}})"
+MONTH_TEXT = rf"(?i)((?:{_MONTH})\s+(?:de\s+)?[0-9]{{4}})"
+YEAR = r"\b((?:19|20)[0-9]{2})\b"
 
 
 def _month(name: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in MONTHS.items() for x in kv)), F.lower(name))
 
 
+def _day_month_year(d: Column) -> Column:
+    p = "^([0-9]+)[/-]([0-9]+)[/-]([0-9]{4})$"
+    return F.concat_ws("-", F.regexp_extract(d, p, 3), F.lpad(F.regexp_extract(d, p, 2), 2, "0"), F.lpad(F.regexp_extract(d, p, 1), 2, "0"))
+
+
 def iso_date(d: Column) -> Column:
-    """One date in any of the known forms as ISO text (yyyy-mm-dd or yyyy); null where it is none. The calendar is not checked."""
-    two = lambda i, p: F.lpad(F.regexp_extract(d, p, i), 2, "0")
-    dmy, text = r"^([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{4})$", rf"(?i)^([0-9]{{1,2}}) de ({_MONTH}) (?:de |del )?([0-9]{{4}})$"
-    return (
-        F.when(d.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), d)
-        .when(d.rlike(dmy), F.concat_ws("-", F.regexp_extract(d, dmy, 3), two(2, dmy), two(1, dmy)))
-        .when(d.rlike(text), F.concat_ws("-", F.regexp_extract(d, text, 3), _month(F.regexp_extract(d, text, 2)), two(1, text)))
-        .when(d.rlike(r"^(?:19|20)[0-9]{2}$"), d))
+    """One stored date as ISO text: yyyy-mm-dd, yyyy-mm and yyyy as they are, days with slashes or dashes turned round, else null. The calendar is not checked."""
+    d = F.trim(d)
+    return F.when(d.rlike("^[0-9]{4}(?:-[0-9]{2}){0,2}$"), d).when(d.rlike(f"^(?:{DAY_SLASH}|{DAY_DASH})$"), _day_month_year(d))
 
 
 def dates(c: Column) -> Column:
-    """All dates of a text as sorted distinct ISO texts: days in four forms, months by name (yyyy-mm), bare years."""
-    days = (r"\b([0-9]{4}-[0-9]{2}-[0-9]{2})\b", r"\b([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})\b", r"\b([0-9]{1,2}-[0-9]{1,2}-[0-9]{4})\b", rf"(?i)\b([0-9]{{1,2}} de (?:{_MONTH}) (?:de |del )?[0-9]{{4}})\b", r"\b((?:19|20)[0-9]{2})\b")
-    month = rf"(?i)\b(?:{_MONTH}) (?:de |del )?[0-9]{{4}}\b"
-    found = [F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(1)), iso_date) for p in days]
-    months = F.transform(F.regexp_extract_all(c, F.lit(f"({month})"), F.lit(1)), lambda m: F.concat_ws("-", F.substring(m, -4, 4), _month(F.substring_index(m, " ", 1))))
-    return F.array_sort(F.array_distinct(F.concat(*found, months)))
+    """All dates of a text as sorted distinct ISO texts: days in figures and in words (with 'de' or without, months in full or cut to three letters), months (yyyy-mm), years."""
+    found = lambda p: F.regexp_extract_all(c, F.lit(p), F.lit(1))
+    year = lambda m: F.substring(m, -4, 4)
+    day = lambda m: F.lpad(F.regexp_extract(m, "^([0-9]+)", 1), 2, "0")
+    return F.array_sort(F.array_distinct(F.concat(
+        found("([0-9]{4}-[0-9]{2}-[0-9]{2})(?=[^0-9]|$)"), F.transform(found(DAY_SLASH), _day_month_year), F.transform(found(DAY_DASH), _day_month_year),
+        F.transform(found(DAY_TEXT), lambda m: F.concat_ws("-", year(m), _month(F.regexp_extract(m, r"(?i)^[0-9]+\s+(?:de\s+)?([a-z]+)", 1)), day(m))),
+        F.transform(found(MONTH_TEXT), lambda m: F.concat_ws("-", year(m), _month(F.regexp_extract(m, "(?i)^([a-z]+)", 1)))), found(YEAR))))
 
 
 PERSON = r"(?:^|[^A-Za-zÁÉÍÓÚÑÜáéíóúñü])([A-ZÁÉÍÓÚÑ][a-záéíóúñü]+ [A-ZÁÉÍÓÚÑ][a-záéíóúñü]+(?: [A-ZÁÉÍÓÚÑ][a-záéíóúñü]+)?)"
@@ -138,13 +155,20 @@ def organizations(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(ORGANIZATION), F.lit(1))))
 
 
+#: Lines that are no title: page numbers, dates alone, marks of confidence; and rules. Fixed values.
+NO_TITLE = (
+    r"(?i)^[-=*_\s]*(?:p[aá]ginas?\s*[0-9]+(?:\s*(?:de|of)\s*[0-9]+)?[-=*_\s]*|page\s*[0-9]+(?:\s*of\s*[0-9]+)?|[0-9]+\s*/\s*[0-9]+|[0-9]{1,2}[/\-][0-9]{1,2}[/\-][0-9]{2,4}"
+    r"|confidencial|privado|internal)\s*[-=*_]*\s*$|^[-=*_\s]{3,}$"
+)
+
+
 def title(text: Column, filename: Column) -> Column:
-    """The first informative line (not blank, no furniture, no rule, more than 3 characters, not a number) if under 120 characters, else the file name made readable."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x, F.lit(" \t\r")))
-    good = F.filter(lines, lambda x: (F.char_length(x) > 3) & ~x.rlike(r"(?i)^(?:[-_=*]{3,}|-* ?p[aá]gina [0-9].*|page [0-9].*|[0-9 ]+)$"))
-    first = F.get(good, F.lit(0))
-    stem = F.initcap(F.trim(F.regexp_replace(F.regexp_replace(filename, r"\.[^.]+$", ""), r"[_-]+", " ")))
-    return F.when(F.char_length(first) < 120, first).otherwise(stem)
+    """The first informative line (more than 3 characters, no number, page mark, date, rule or mark of confidence) if under 120 characters, without leading #; else the file name made readable."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x, F.lit(" \t\r\u000b\f")))
+    first = F.get(F.filter(lines, lambda x: (F.char_length(x) > 3) & ~x.rlike("^[0-9]+$") & ~x.rlike(NO_TITLE)), F.lit(0))
+    stem = F.translate(F.regexp_replace(filename, r"\.[^.]*$", ""), "_-", "  ")
+    shown = F.array_join(F.transform(F.regexp_extract_all(stem, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1)), F.initcap), "")
+    return F.when(F.char_length(first) < 120, F.trim(F.regexp_replace(first, "^#+", ""))).otherwise(shown)
 
 
 def summary(text: Column, most: int = 3, head: int | None = None) -> Column:
@@ -160,28 +184,40 @@ def summary(text: Column, most: int = 3, head: int | None = None) -> Column:
     return F.array_join(F.transform(best, lambda x: x["s"]), ". ")
 
 
-#: File name and content rules of the document types in their order, fixed values.
+#: File name and content rules of the document types in their order, fixed values; a name rule lists words that must all be there.
 NAME_RULES = (
-    ("acta_reunion", "acta|reunion"), ("memo", "memo"), ("factura", "factura|invoice"), ("contrato", "contrato|nda"), ("listado", "proveedores"), ("ficha", "ficha|manual|catalogo"),
-    ("presupuesto", "presupuesto|nomina"), ("informe", "informe|auditoria"), ("certificado", "certificado|pliego|licitacion"), ("pedido", "pedido|order"), ("oferta", "offer|propuesta"),
+    ("acta_reunion", ("acta", "reunion")), ("memo", ("memo",)), ("factura", ("factura",)), ("factura", ("invoice",)), ("contrato", ("contrato",)), ("contrato", ("nda",)), ("listado", ("proveedores",)),
+    ("documento", ("ficha",)), ("documento", ("manual",)), ("documento", ("catalogo",)), ("tabla", ("presupuesto",)), ("tabla", ("nomina",)), ("informe", ("informe",)), ("informe", ("auditoria",)),
+    ("documento", ("certificado",)), ("documento", ("pliego",)), ("documento", ("licitacion",)), ("factura", ("pedido",)), ("factura", ("order",)), ("contrato", ("offer",)), ("contrato", ("propuesta",)),
 )
 TEXT_RULES = (
-    ("email", r"(?m)^(?:De|From):.*\n(?:.*\n){0,3}(?:Para|To|Asunto|Subject):"), ("acta_reunion", r"(?i)acta de reuni[oóÓ]n|orden del d[iíÍ]a"), ("memo", r"(?i)memor[aáÁ]ndum|memorando|circular interna"),
-    ("contrato", r"(?i)cl[aáÁ]usula|contrato de"), ("factura", r"(?i)factura n|base imponible"), ("listado", r"(?i)listado de|rating:"),
+    ("acta_reunion", r"acta de reuni[oó]n|sprint review|sprint #[0-9]+"), ("memo", "memorándum|memorando|circular interna"), ("email", r"(?md)^de:\s*.+\n.*para:"), ("factura", r"base imponible|n\.?º\s*factura|importe total"),
+    ("contrato", r"cláusula\s+[0-9]|firmado por ambas|las partes acuerdan"), ("listado", "listado de proveedores|rating:|cif:"),
 )
+#: Classes of tables by the columns they have, first match wins, fixed values.
+TABLE_RULES = (("tickets", ("id_ticket",)), ("inventario", ("id_equipo",)), ("ventas", ("vendedor", "precio_unitario")))
 
 
 def doc_class(filename: Column, text: Column) -> Column:
     """Document type by the first rule that fits: the file name's, then the content's, else documento."""
-    name = fold(filename)
+    name, body = F.lower(filename), F.lower(text)
     c = F.when(F.lit(False), F.lit(""))
-    for kind, p in NAME_RULES:
-        c = c.when(name.rlike(p), kind)
+    for kind, words in NAME_RULES:
+        c = c.when(reduce(lambda a, b: a & b, (F.contains(name, F.lit(w)) for w in words)), kind)
     for kind, p in TEXT_RULES:
-        c = c.when(text.rlike(p), kind)
+        c = c.when(body.rlike(p), kind)
     return c.otherwise("documento")
 
 
+def table_class(columns: Column) -> Column:
+    """Class of a table by its column names (an array): tickets, inventario, ventas, else tabla."""
+    names = F.transform(columns, lambda x: F.trim(F.lower(x), F.lit(" \t\r\"\ufeff")))
+    c = F.when(F.lit(False), F.lit(""))
+    for kind, any_of in TABLE_RULES:
+        c = c.when(F.arrays_overlap(names, F.array(*map(F.lit, any_of))), kind)
+    return c.otherwise("tabla")
+
+
 #: Frequent function words by language, fixed values.
 FUNCTION_WORDS = {
     "es": ("el", "la", "los", "las", "de", "del", "en", "y", "que", "un", "una", "con", "por", "para", "se", "al", "lo", "su"),
@@ -226,14 +262,63 @@ def file_id(filename: Column) -> Column:
     return F.substring(F.md5(filename.cast("binary")), 1, 12)
 
 
-def highlight(text: Column, term: Column, before: int = 100, after: int = 200) -> Column:
-    """A window around the first place of a term, the term marked by ** wherever it stands in the window, ellipses at the cuts; the head of the text where it does not occur."""
-    at = F.instr(F.lower(text), F.lower(term))
-    start = F.greatest(F.lit(1), F.when(at > 0, at - before).otherwise(1))
-    size = F.lit(before + after)
-    window = F.substring(text, start, size)
-    marked = F.regexp_replace(window, F.concat(F.lit("(?i)("), term, F.lit(")")), F.lit("**$1**"))
-    return F.concat(F.when(start > 1, "...").otherwise(""), marked, F.when(start + size <= F.char_length(text), "...").otherwise(""))
+#: Spanish words that say nothing by themselves, fixed values, folded; queries and highlights leave them out.
+QUERY_STOP_WORDS = (
+    "el", "la", "los", "las", "un", "una", "unos", "unas", "a", "ante", "bajo", "con", "contra", "de", "desde", "en", "entre", "hacia", "hasta", "para", "por", "segun", "sin", "sobre", "tras", "durante", "mediante", "via",
+    "y", "e", "ni", "o", "u", "pero", "sino", "aunque", "si", "que", "como", "cuando", "donde", "pues", "ya", "porque", "yo", "tu", "ella", "nosotros", "vosotros", "ellos", "me", "te", "se", "nos", "os", "le", "les", "lo",
+    "este", "esta", "estos", "estas", "ese", "esa", "esos", "esas", "es", "son", "era", "fue", "ser", "estar", "hay", "ha", "han", "he", "hemos", "sido", "tiene", "tienen", "al", "del", "no", "mas", "muy", "tan", "tanto",
+    "cada", "todo", "toda", "todos", "todas", "otro", "otra", "sus", "su", "mi", "mis", "tus", "nuestro",
+)
+
+
+def query_words(query: Column) -> Column:
+    """The words of a query (cut at white space) that are no stop words; none where all are."""
+    return F.filter(F.split(F.trim(query), r"\s+"), lambda w: (w != "") & ~fold(w).isin(*QUERY_STOP_WORDS))
+
+
+def fold_letters(c: Column) -> Column:
+    """Lower case without accents, letter by letter, so that places stay those of the original (signs that fold to several characters are left)."""
+    a, b = fold_table()
+    return F.translate(F.lower(c), a, b)
+
+
+def highlight(text: Column, query: Column, context: int = 200) -> Column:
+    """The text around the first place of any word of a query (three letters or more, no stop word), the words marked by **, ellipses at the cuts.
+
+    Where no word stands as it is typed, its folded form is looked for in the folded text, then the query's
+    3-grams in their order; where nothing is found, or no word is left, it is the head of the text. Null and empty texts give an empty one.
+    """
+    words = F.transform(F.filter(query_words(query), lambda w: F.char_length(w) > 2), F.lower)
+    folded, low = fold_letters(text), F.lower(text)
+    place = lambda c, body: F.call_function("locate", c, body)
+    at = lambda hay, needles: F.array_min(F.filter(F.transform(needles, lambda w: place(w, hay)), lambda i: i > 0))
+    grams = F.filter(F.transform(char_ngrams(fold(query)), lambda g: place(g, folded)), lambda i: i > 0)
+    first = F.coalesce(at(low, words), at(folded, F.transform(words, fold)), F.get(grams, F.lit(0)), F.lit(1))
+    start = F.greatest(F.lit(1), first - context // 2)
+    end = F.least(F.char_length(text), first - 1 + context)
+    part = F.substring(text, start, end - start + 1)
+    cut = F.concat(F.when(start > 1, "...").otherwise(""), part, F.when(end < F.char_length(text), "...").otherwise(""))
+    marked = F.aggregate(words, cut, lambda s, w: F.regexp_replace(s, F.concat(F.lit(r"(?iu)\Q"), F.replace(w, F.lit(r"\E"), F.lit("")), F.lit(r"\E")), F.lit("**$0**")))
+    head = F.concat(F.substring(text, 1, context), F.when(F.char_length(text) > context, "...").otherwise(""))
+    return F.when(F.coalesce(F.char_length(text), F.lit(0)) == 0, "").when(F.size(words) == 0, head).otherwise(marked)
+
+
+def split_list(c: Column) -> Column:
+    """'a, b, c' as a list, trimmed, without empty parts; null and empty give an empty list."""
+    return F.coalesce(F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
+
+
+#: Words by which a query shows that it asks for more than a name, fixed values.
+QUESTION_WORDS = (
+    "qué", "que", "cuál", "cual", "cómo", "como", "dónde", "donde", "cuándo", "cuando", "quién", "quien", "cuánto", "cuanto", "por", "hay", "existe", "tiene", "puede", "dame", "dime", "busca", "muéstrame", "listar", "informe", "reporte",
+)
+
+
+def looks_like_name(query: Column) -> Column:
+    """Two to four words, each with a capital first and not all in capitals, none of them a question word."""
+    words = F.split(F.trim(query), r"\s+")
+    title = F.forall(words, lambda w: (F.upper(F.substring(w, 1, 1)) == F.substring(w, 1, 1)) & (F.lower(F.substring(w, 1, 1)) != F.substring(w, 1, 1)) & (F.upper(w) != w))
+    return F.coalesce(F.size(words).between(2, 4) & title & ~F.exists(words, lambda w: F.lower(w).isin(*QUESTION_WORDS)), F.lit(False))
 
 
 def row_text(columns: list[str]) -> Column:

@@ -27,7 +27,7 @@ def by_numbered_sections(df: DataFrame, context: int = 200) -> DataFrame:
 
 def by_messages(df: DataFrame) -> DataFrame:
     """E-mail threads: one chunk a message (cut at rules of three dashes), and the thread itself where there are several."""
-    parts = F.filter(F.transform(F.split("text", r"\n---+\n"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split("text", r"\n---+\n"), lambda x: F.trim(x)), lambda p: p != "")
     single = _explode(df, parts, "micro")
     thread = df.withColumn("n", F.size(parts)).filter("n > 1").select("doc_id", F.col("n").alias("chunk_index"), F.trim("text").alias("text"), F.lit("macro").alias("level"))
     return single.unionByName(thread)
@@ -37,7 +37,7 @@ def by_headings(df: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     """Memos: short ones whole, longer ones before upper-case headings; parts under 20 characters are dropped."""
     words = F.size(F.split(F.trim("text"), r"\s+"))
     parts = F.split("text", r"\n(?=[A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ ]{5,}\n)")
-    kept = F.filter(F.transform(parts, F.trim), lambda p: F.char_length(p) >= 20)
+    kept = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda p: F.char_length(p) >= 20)
     return _explode(df, F.when(words < max_words, F.array(F.trim("text"))).otherwise(kept), "meso")
 
 
@@ -61,7 +61,7 @@ def by_articles(df: DataFrame, max_words: int = MAX_WORDS, capped: bool = False)
 
 def by_paragraphs(df: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     """Any text: paragraphs packed greedily up to the limit; a paragraph over it is packed by sentences. A fold inside the row, without Python."""
-    paras = F.filter(F.transform(F.split("text", r"\n{2,}"), F.trim), lambda p: p != "")
+    paras = F.filter(F.transform(F.split("text", r"\n{2,}"), lambda x: F.trim(x)), lambda p: p != "")
     size = lambda p: F.size(F.split(p, r"\s+"))
     units = F.flatten(F.transform(paras, lambda p: F.when(size(p) <= max_words, F.array(p)).otherwise(F.split(p, r"(?<=[.!?])\s+"))))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,38 +18,80 @@ from legajo.session import read
 from legajo.streaming.jobs import add_edges
 
 TICKETS = "incidencias_soporte_q4_2024"
-#: Number words of Spanish and Catalan with their values, fixed values; "y" or "i" joins tens and units.
-UNITS = {
-    "cero": 0, "uno": 1, "dos": 2, "dues": 2, "tres": 3, "cuatro": 4, "quatre": 4, "cinco": 5, "cinc": 5, "seis": 6, "sis": 6, "siete": 7, "set": 7, "ocho": 8, "vuit": 8, "nueve": 9, "nou": 9, "diez": 10, "deu": 10,
-    "once": 11, "onze": 11, "doce": 12, "dotze": 12, "trece": 13, "tretze": 13, "catorce": 14, "quince": 15, "quinze": 15, "veinte": 20, "vint": 20, "cien": 100, "cent": 100,
+#: Number words of Spanish and of Catalan (folded) with their values, fixed values; "y" or "i" joins tens and units.
+WORDS_ES = {
+    "cero": 0, "un": 1, "uno": 1, "una": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9, "diez": 10, "once": 11, "doce": 12, "trece": 13, "catorce": 14, "quince": 15,
+    "dieciseis": 16, "diecisiete": 17, "dieciocho": 18, "diecinueve": 19, "veinte": 20, "treinta": 30, "cuarenta": 40, "cincuenta": 50, "sesenta": 60, "setenta": 70, "ochenta": 80, "noventa": 90, "cien": 100,
 }
-TENS = {"treinta": 30, "trenta": 30, "cuarenta": 40, "quaranta": 40, "cincuenta": 50, "cinquanta": 50, "sesenta": 60, "seixanta": 60, "setenta": 70, "setanta": 70, "ochenta": 80, "vuitanta": 80, "noventa": 90, "noranta": 90}
+WORDS_CA = {
+    "zero": 0, "un": 1, "u": 1, "una": 1, "dos": 2, "tres": 3, "quatre": 4, "cinc": 5, "sis": 6, "set": 7, "vuit": 8, "nou": 9, "deu": 10, "onze": 11, "dotze": 12, "tretze": 13, "catorze": 14, "quinze": 15,
+    "setze": 16, "disset": 17, "divuit": 18, "dinou": 19, "vint": 20, "trenta": 30, "quaranta": 40, "cinquanta": 50, "seixanta": 60, "setanta": 70, "vuitanta": 80, "noranta": 90, "cent": 100,
+}
+_BOTH = WORDS_ES | WORDS_CA
+
+
+def _lookup(lang: Column, pick: Callable[[int], bool], word: Column) -> Column:
+    """The value of a number word in its language (es or ca, else either), where pick takes the value."""
+    of = lambda words: F.element_at(F.create_map(*(F.lit(x) for k, v in words.items() if pick(v) for x in (k, v))), F.coalesce(word, F.lit("")))
+    return F.when(F.startswith(lang, F.lit("es")), of(WORDS_ES)).when(F.startswith(lang, F.lit("ca")), of(WORDS_CA)).otherwise(of(_BOTH))
+
+
+def number_stream(folded: Column, lang: Column | None = None, keep: bool = False) -> Column:
+    """The tokens of a folded text with number words and number spellings as digits, in order; with keep, what stood there goes before the digits.
 
+    Tens take a following 'y' or 'i' and a unit with them. Null gives null.
+    """
+    lang = F.lower(F.coalesce(lang, F.lit(""))) if lang is not None else F.lit("")
+    toks = T.tokens(folded)
+    value, tens, unit = lambda w: _lookup(lang, lambda v: True, w), lambda w: _lookup(lang, lambda v: v >= 20 and v < 100 and v % 10 == 0, w), lambda w: _lookup(lang, lambda v: v < 10, w)
+    at = lambda ts, i: F.get(ts, i)
+    joins = lambda ts, i: tens(at(ts, i)).isNotNull() & at(ts, i + 1).isin("y", "i") & unit(at(ts, i + 2)).isNotNull()
 
-_ONES = "|".join(k for k, v in UNITS.items() if 1 <= v <= 9)
-_PHRASE = rf"(?<![a-z])((?:{'|'.join(TENS)})(?: [yi] (?:{_ONES})(?![a-z]))?|(?:{'|'.join(UNITS)}))(?![a-z])"
+    def step(ts: Column, i: Column) -> Column:
+        taken = F.coalesce(joins(ts, i - 1), F.lit(False)) | F.coalesce(joins(ts, i - 2), F.lit(False))
+        t, v = at(ts, i), value(at(ts, i))
+        pair = F.coalesce(joins(ts, i), F.lit(False))
+        number = F.when(pair, v + unit(at(ts, i + 2))).otherwise(v).cast("string")
+        words = F.when(pair, F.slice(ts, i + 1, 3)).otherwise(F.array(t))
+        canon = T.number_value(t)
+        if keep:
+            return F.when(taken, F.array().cast("array<string>")).when(v.isNotNull(), F.array_append(words, number)).when(canon != t, F.array(t, canon)).otherwise(F.array(t))
+        return F.when(taken, F.array().cast("array<string>")).when(v.isNotNull(), F.array(number)).otherwise(F.array(canon))
 
+    # An array of one keeps the tokens from being computed anew for each use.
+    return F.flatten(F.flatten(F.transform(F.array(toks), lambda ts: F.transform(F.sequence(F.lit(0), F.greatest(F.size(ts) - 1, F.lit(0))), lambda i: F.when(i < F.size(ts), step(ts, i)).otherwise(F.array().cast("array<string>"))))))
 
-def word_numbers(folded: Column) -> Column:
-    """Values of the number words of a folded text, in order: tens take a following 'y unit' with them."""
-    values = F.create_map(*(F.lit(x) for kv in (UNITS | TENS).items() for x in kv))
-    phrases = F.regexp_extract_all(F.regexp_replace(folded, "[^a-z]+", " "), F.lit(_PHRASE), F.lit(1))
-    return F.transform(phrases, lambda p: F.element_at(values, F.split_part(p, F.lit(" "), F.lit(1))) + F.when(
-        F.contains(p, F.lit(" ")), F.element_at(values, F.split_part(p, F.lit(" "), F.lit(3)))).otherwise(0))
 
+def _sql_map(pick: Callable[[int], bool]) -> str:
+    return "map {" + ", ".join(f"'{k}': {v}" for k, v in _BOTH.items() if pick(v)) + "}"
 
-_U = "map {" + ", ".join(f"'{k}': {v}" for k, v in UNITS.items()) + "}"
-_T = "map {" + ", ".join(f"'{k}': {v}" for k, v in TENS.items()) + "}"
 
+_V, _T, _U = _sql_map(lambda v: True), _sql_map(lambda v: v >= 20 and v < 100 and v % 10 == 0), _sql_map(lambda v: v < 10)
+_CANON = """case when regexp_full_match(tok, '[0-9]{1,3}(?:[.,][0-9]{3})+') then regexp_replace(tok, '[.,]', '', 'g') when regexp_full_match(tok, '[0-9]+(?:[.,][0-9]+)?[kmb]')
+    then cast(cast(round(cast(replace(regexp_replace(tok, '[kmb]$', ''), ',', '.') as double) * case right(tok, 1) when 'k' then 1000 when 'm' then 1000000 else 1000000000 end) as bigint) as varchar) else tok end"""
 
-@query(f"""with t as (select doc_id, regexp_extract_all({sql_fold('text')}, '[a-z]+') as t from documents),
-       x as (select doc_id, i, {_U}[t[i]] as u, {_T}[t[i]] as d, coalesce(t[i + 1] in ('y', 'i'), false) and coalesce({_U}[t[i + 2]] between 1 and 9, false) as joined, {_U}[t[i + 2]] as u2,
-           i > 2 and coalesce(t[i - 1] in ('y', 'i'), false) and {_T}[t[i - 2]] is not null and coalesce({_U}[t[i]] between 1 and 9, false) as taken from t, unnest(range(1, len(t) + 1)) as r(i)),
-       v as (select doc_id, i, case when d is not null then d + case when joined then u2 else 0 end when not taken then u end as v from x)
-       select doc_id, string_agg(v::varchar, ' ' order by i) as numbers from v where v is not null group by doc_id""")
+
+def _number_sql(source: str, idc: str, textc: str) -> str:
+    """A row for each token that is left, with its place: words joined to tens are gone."""
+    return f"""t as (select {idc} as id, regexp_extract_all({sql_fold(textc)}, '([a-z]+|[0-9]+(?:[.,][0-9]+)*[kmb]?)', 1) as t from {source} where {textc} is not null), x as (select id, t, i, t[i] as tok from t, unnest(range(1, len(t) + 1)) as r(i)),
+        j as (select *, {_T}[tok] is not null and coalesce(t[i + 1] in ('y', 'i'), false) and {_U}[coalesce(t[i + 2], '')] is not null as joins from x),
+        n as (select id, i, tok, case when joins then {_V}[tok] + {_U}[t[i + 2]] else {_V}[tok] end as v from j a where not exists (select 1 from j b where b.id = a.id and b.joins and b.i in (a.i - 1, a.i - 2)))"""
+
+
+@query(f"with {_number_sql('documents', 'doc_id', 'text')} select id as doc_id, string_agg(v::varchar, ' ' order by i) as numbers from n where v is not null group by id")
 def number_words(spark: SparkSession, d: str) -> DataFrame:
-    x = read(spark, d, "documents").select("doc_id", word_numbers(T.fold(F.col("text"))).alias("v"))
-    return x.filter("size(v) > 0").select("doc_id", F.array_join(F.transform("v", lambda n: n.cast("string")), " ").alias("numbers"))
+    """The numbers that a document writes in words, in order."""
+    x = read(spark, d, "documents").select("doc_id", F.explode(F.array(number_stream(T.fold(F.col("text")), keep=True))).alias("s"))
+    is_word = lambda w: F.coalesce(_lookup(F.lit(""), lambda v: True, w), F.lit(-1)) >= 0
+    values = F.filter(F.transform("s", lambda t, i: F.when(t.rlike("^[0-9]+$") & (i > 0) & is_word(F.get("s", i - 1)), t)), lambda t: t.isNotNull())
+    return x.select("doc_id", values.alias("v")).filter("size(v) > 0").select("doc_id", F.array_join("v", " ").alias("numbers"))
+
+
+@query(f"with {_number_sql(TICKETS, 'row_id', 'descripcion_breve')} select id as row_id, string_agg(coalesce(v::varchar, {_CANON}), ' ' order by i) as stream from n group by id")
+def number_streams(spark: SparkSession, d: str) -> DataFrame:
+    """Ticket descriptions with every number as digits, the form that the numeric pass searches."""
+    x = read(spark, d, TICKETS).filter("descripcion_breve is not null").select("row_id", number_stream(T.fold(F.col("descripcion_breve"))).alias("s"))
+    return x.filter("size(s) > 0").select("row_id", F.array_join("s", " ").alias("stream"))
 
 
 @query("""select doc_id from documents_x where coalesce(title, '') ilike '%ACTA%' or filename ilike '%acta%' or coalesce(doc_type, '') ilike '%acta%' or coalesce(category, '') ilike '%acta%'""")
@@ -171,7 +214,7 @@ def table_sizes(spark: SparkSession, d: str) -> DataFrame:
 def date_facet(spark: SparkSession, d: str) -> DataFrame:
     """Months among the chunks' dates with the name they are shown by."""
     x = read(spark, d, "chunks").select(F.explode("dates").alias("v")).filter("char_length(v) >= 7").select(F.substring("v", 1, 7).alias("ym")).filter(F.col("ym").rlike("^[0-9]{4}-(0[1-9]|1[0-2])$"))
-    name = F.get(F.array(*map(F.lit, T.MONTHS)), F.substring("ym", 6, 2).cast("int") - 1)
+    name = F.get(F.array(*map(F.lit, T.MONTH_NAMES)), F.substring("ym", 6, 2).cast("int") - 1)
     return x.groupBy("ym").agg(F.count(F.lit(1)).alias("n")).withColumn("shown", F.concat_ws(" ", name, F.substring("ym", 1, 4)))
 
 

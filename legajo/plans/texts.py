@@ -57,8 +57,7 @@ def char3_ngrams(spark: SparkSession, d: str) -> DataFrame:
 _CLEAN = "raw_text"
 for _p, _r in (
     (r"[\p{Cf}\p{Co}\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", ""), (f"[{T.DASHES}]", " "), (r"https?://[^\s]+|www\.[^\s]+", " "), (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", " "),
-    (r"\n{3,}", "\n\n"), (r"[ \t]{2,}", " "), (r"[ \t]+\n", "\n"), (r"(?mi)^[ \t]*-{2,}[ \t]*p[aá]gina[ \t]+[0-9]+[ \t]*-{2,}[ \t]*$", ""), (r"(?i)p[aá]gina[ \t]+[0-9]+[ \t]+de[ \t]+[0-9]+", ""),
-    (r"(?i)page[ \t]+[0-9]+[ \t]+of[ \t]+[0-9]+", ""), (r"(?m)^[ \t]*[0-9]{1,3}[ \t]*$", ""), (r"(?m)^[ \t]*[-_=*]{3,}[ \t]*$", ""), (r"^[\s\x0b]+|[\s\x0b]+$", ""),
+    (r"\n{3,}", "\n\n"), (r"[ \t]{2,}", " "), (r"[ \t]+\n", "\n"), *((f"(?m){p}", "") for p in T.PAGE_MARKS), (r"^[\s\x0b]+|[\s\x0b]+$", ""),
 ):
     _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', '{_r}', 'g')"
 
@@ -74,22 +73,20 @@ def extract_emails(spark: SparkSession, d: str) -> DataFrame:
     return _x(spark, d, F.array_join(T.emails(F.col("raw_text")), " ").alias("emails"))
 
 
-_M = "|".join(T.MONTHS)
 _MAP = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in T.MONTHS.items()) + "}"
-_DAY = rf"([0-9]{{1,2}}) de ({_M}) (?:de |del )?([0-9]{{4}})"
 
 
 @query(rf"""
-    with f as (select doc_id, unnest(regexp_extract_all(raw_text, '\b([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})\b', 1)) as x, 'iso' as k from documents_x
-      union all select doc_id, unnest(regexp_extract_all(raw_text, '\b([0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}})\b', 1)), 'dmy' from documents_x
-      union all select doc_id, unnest(regexp_extract_all(raw_text, '\b([0-9]{{1,2}}-[0-9]{{1,2}}-[0-9]{{4}})\b', 1)), 'dmy' from documents_x
-      union all select doc_id, unnest(regexp_extract_all(raw_text, '(?i)\b([0-9]{{1,2}} de (?:{_M}) (?:de |del )?[0-9]{{4}})\b', 1)), 'text' from documents_x
-      union all select doc_id, unnest(regexp_extract_all(raw_text, '(?i)\b((?:{_M}) (?:de |del )?[0-9]{{4}})\b', 1)), 'month' from documents_x
-      union all select doc_id, unnest(regexp_extract_all(raw_text, '\b((?:19|20)[0-9]{{2}})\b', 1)), 'year' from documents_x),
+    with f as (select doc_id, unnest(regexp_extract_all(raw_text, '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})(?:[^0-9]|$)', 1)) as x, 'iso' as k from documents_x
+      union all select doc_id, unnest(regexp_extract_all(raw_text, '{T.DAY_SLASH}', 1)), 'dmy' from documents_x
+      union all select doc_id, unnest(regexp_extract_all(raw_text, '{T.DAY_DASH}', 1)), 'dmy' from documents_x
+      union all select doc_id, unnest(regexp_extract_all(raw_text, '{T.DAY_TEXT}', 1)), 'text' from documents_x
+      union all select doc_id, unnest(regexp_extract_all(raw_text, '{T.MONTH_TEXT}', 1)), 'month' from documents_x
+      union all select doc_id, unnest(regexp_extract_all(raw_text, '{T.YEAR}', 1)), 'year' from documents_x),
     v as (select distinct doc_id, case k
-      when 'dmy' then regexp_extract(x, '([0-9]{{4}})$', 1) || '-' || lpad(regexp_extract(x, '^[0-9]+[/-]([0-9]+)', 1), 2, '0') || '-' || lpad(regexp_extract(x, '^([0-9]+)', 1), 2, '0')
-      when 'text' then regexp_extract(x, '([0-9]{{4}})$', 1) || '-' || {_MAP}[lower(regexp_extract(x, '(?i){_DAY}', 2))] || '-' || lpad(regexp_extract(x, '^([0-9]+)', 1), 2, '0')
-      when 'month' then right(x, 4) || '-' || {_MAP}[lower(split_part(x, ' ', 1))] else x end as v from f)
+      when 'dmy' then right(x, 4) || '-' || lpad(regexp_extract(x, '^[0-9]+[/-]([0-9]+)', 1), 2, '0') || '-' || lpad(regexp_extract(x, '^([0-9]+)', 1), 2, '0')
+      when 'text' then right(x, 4) || '-' || {_MAP}[lower(list_filter(regexp_extract_all(x, '[A-Za-z]+'), lambda w: lower(w) <> 'de')[1])] || '-' || lpad(regexp_extract(x, '^([0-9]+)', 1), 2, '0')
+      when 'month' then right(x, 4) || '-' || {_MAP}[lower(regexp_extract(x, '^([A-Za-z]+)', 1))] else x end as v from f)
     select d.doc_id, coalesce(string_agg(v, ' ' order by v), '') as dates from documents_x d left join v using (doc_id) group by d.doc_id""")
 def extract_dates(spark: SparkSession, d: str) -> DataFrame:
     return spread(_x(spark, d, "raw_text")).select("doc_id", F.array_join(T.dates(F.col("raw_text")), " ").alias("dates"))
@@ -110,16 +107,30 @@ def regex_entity_rows(spark: SparkSession, d: str) -> DataFrame:
     return of("person", T.people(F.col("raw_text"))).unionByName(of("organization", T.organizations(F.col("raw_text"))))
 
 
-@query(f"""select doc_id, case {' '.join(f"when regexp_matches({sql_fold('filename')}, '{p}') then '{k}'" for k, p in T.NAME_RULES)}
-       {' '.join(f"when regexp_matches(raw_text, '{p}') then '{k}'" for k, p in T.TEXT_RULES)} else 'documento' end as doc_class from documents_x""")
+def _name_rule(words: tuple[str, ...]) -> str:
+    return " and ".join(f"contains(lower(filename), '{w}')" for w in words)
+
+
+@query(f"""select doc_id, case {' '.join(f"when {_name_rule(w)} then '{k}'" for k, w in T.NAME_RULES)}
+       {' '.join(f"when regexp_matches(lower(raw_text), '{p.replace('(?md)', '(?m)')}') then '{k}'" for k, p in T.TEXT_RULES)} else 'documento' end as doc_class from documents_x""")
 def classify_documents(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents_x").select("doc_id", T.doc_class(F.col("filename"), F.col("raw_text")).alias("doc_class"))
 
 
-@query("""with l as (select doc_id, list_filter(list_transform(string_split(raw_text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))),
-            lambda x: len(x) > 3 and not regexp_matches(x, '(?i)^(?:[-_=*]{3,}|-* ?p[aá]gina [0-9].*|page [0-9].*|[0-9 ]+)$'))[1] as f,
-          trim(regexp_replace(regexp_replace(filename, '\\.[^.]+$', ''), '[_-]+', ' ', 'g')) as s from documents_x)
-       select doc_id, case when len(f) < 120 then f else array_to_string(list_transform(string_split(lower(s), ' '), lambda w: upper(w[1]) || w[2:]), ' ') end as title from l""")
+@query("""select file_name, case when list_contains(c, 'id_ticket') then 'tickets' when list_contains(c, 'id_equipo') then 'inventario' when list_contains(c, 'vendedor') or list_contains(c, 'precio_unitario') then 'ventas' else 'tabla' end as table_class
+       from (select file_name, list_transform(string_split_regex(min(raw_record), '[,;]'), lambda x: trim(lower(x), ' ' || chr(9) || chr(13) || '"' || chr(65279))) as c from raw_records where line_no = 1 group by file_name)""")
+def delivery_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Class of each delivery by its header."""
+    head = read(spark, d, "raw_records").filter("line_no = 1").groupBy("file_name").agg(F.min("raw_record").alias("h"))
+    return head.select("file_name", T.table_class(F.split("h", "[,;]")).alias("table_class"))
+
+
+_NO_TITLE = T.NO_TITLE.replace("'", "''")
+
+
+@query(f"""with l as (select doc_id, list_filter(list_transform(string_split(raw_text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))),
+            lambda x: len(x) > 3 and not regexp_full_match(x, '[0-9]+') and not regexp_matches(x, '{_NO_TITLE}'))[1] as f, translate(regexp_replace(filename, '\\.[^.]*$', ''), '_-', '  ') as s from documents_x)
+       select doc_id, case when len(f) < 120 then trim(regexp_replace(f, '^#+', '')) else array_to_string(list_transform(regexp_extract_all(lower(s), '\\p{{L}}+|[^\\p{{L}}]+'), lambda w: upper(w[1]) || w[2:]), '') end as title from l""")
 def extract_title(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents_x").select("doc_id", T.title(F.col("raw_text"), F.col("filename")).alias("title"))
 
@@ -196,10 +207,54 @@ def file_names(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents_x").select("doc_id", T.table_name(F.col("filename")).alias("table_name"), T.file_id(F.col("filename")).alias("file_id"))
 
 
-@query("""with w as (select doc_id, raw_text, instr(lower(raw_text), 'contrato') as pos from documents_x), s as (select *, greatest(1, case when pos > 0 then pos - 100 else 1 end) as st from w)
-       select doc_id, case when st > 1 then '...' else '' end || regexp_replace(substring(raw_text, st, 300), '(?i)(contrato)', '**\\1**', 'g') || case when st + 300 <= len(raw_text) then '...' else '' end as snippet from s""")
+_GRAMS = ["larevisiontecnica"[i : i + 3] for i in range(15)]
+
+
+@query(f"""with w as (select doc_id, raw_text as t, lower(raw_text) as low, strip_accents(lower(raw_text)) as f from documents_x where coalesce(raw_text, '') <> ''),
+       p as (select *, coalesce(list_min(list_filter([instr(low, 'revisión'), instr(low, 'técnica')], lambda x: x > 0)), list_min(list_filter([instr(f, 'revision'), instr(f, 'tecnica')], lambda x: x > 0)),
+           list_filter([{', '.join(f"instr(f, '{g}')" for g in _GRAMS)}], lambda x: x > 0)[1], 1) as pos from w),
+       c as (select doc_id, t, greatest(1, pos - 100) as st, least(len(t), pos + 199) as en from p)
+       select doc_id, regexp_replace(regexp_replace(case when st > 1 then '...' else '' end || substring(t, st, en - st + 1) || case when en < len(t) then '...' else '' end, '(?i)(revisión)', '**\\1**', 'g'), '(?i)(técnica)', '**\\1**', 'g') as snippet from c
+       union all select doc_id, '' from documents_x where coalesce(raw_text, '') = ''""")
 def highlight_term(spark: SparkSession, d: str) -> DataFrame:
-    return _x(spark, d, T.highlight(F.col("raw_text"), F.lit("contrato")).alias("snippet"))
+    """Snippets for a query of two accented words and a stop word, folded and 3-gram places included."""
+    return spread(_x(spark, d, "raw_text")).select("doc_id", T.highlight(F.col("raw_text"), F.lit("la Revisión técnica")).alias("snippet"))
+
+
+@query("""select distinct v as raw, case when regexp_full_match(v, '[0-9]{4}(-[0-9]{2}){0,2}') then v when regexp_full_match(v, '[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}') or regexp_full_match(v, '[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}')
+         then right(v, 4) || '-' || lpad(regexp_extract(v, '^[0-9]+[/-]([0-9]+)', 1), 2, '0') || '-' || lpad(regexp_extract(v, '^([0-9]+)', 1), 2, '0') end as iso
+       from (select trim(unnest(dates)) as v from documents_x union all select trim(unnest(regexp_extract_all(raw_text, '[0-9]+[-/][0-9]+[-/][0-9]+'))) from documents_x)""")
+def stored_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Stored dates and everything in the texts that looks like one, as ISO where they are one of the five forms."""
+    x = read(spark, d, "documents_x")
+    raw = x.select(F.explode("dates").alias("v")).unionByName(x.select(F.explode(F.regexp_extract_all("raw_text", F.lit("([0-9]+[-/][0-9]+[-/][0-9]+)"), F.lit(1))).alias("v")))
+    return raw.select(F.trim("v").alias("raw")).distinct().select("raw", T.iso_date(F.col("raw")).alias("iso"))
+
+
+@query("""select doc_id, array_to_string(list_filter(list_transform(string_split(array_to_string(keywords, ' , '), ','), lambda x: trim(x)), lambda x: x <> ''), '|') as parts from documents_x""")
+def split_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Keywords written as one text and split again."""
+    return _x(spark, d, F.array_join(T.split_list(F.array_join("keywords", " , ")), "|").alias("parts"))
+
+
+_QSTOP = "[" + ", ".join(f"'{w}'" for w in T.QUERY_STOP_WORDS) + "]"
+
+
+@query(f"""select doc_id, array_to_string(list_filter(string_split_regex(trim(title), '\\s+'), lambda w: w <> '' and not list_contains({_QSTOP}, {sql_fold('w')})), ' ') as asked,
+         coalesce(len(string_split_regex(trim(title), '\\s+')) between 2 and 4 and len(list_filter(string_split_regex(trim(title), '\\s+'), lambda w: w = '' or upper(w[1]) <> w[1] or lower(w[1]) = w[1] or upper(w) = w or list_contains([{', '.join(f"'{w}'" for w in T.QUESTION_WORDS)}], lower(w)))) = 0, false) as is_name
+       from (select doc_id, title from documents_x where title is not null union all select doc_id, unnest(persons) from documents_x)""")
+def query_tests(spark: SparkSession, d: str) -> DataFrame:
+    """Titles and names taken as queries: without stop words, and whether they look like a name."""
+    x = read(spark, d, "documents_x")
+    q = x.filter("title is not null").select("doc_id", "title").unionByName(x.select("doc_id", F.explode("persons").alias("title")))
+    return q.select("doc_id", F.array_join(T.query_words(F.col("title")), " ").alias("asked"), T.looks_like_name(F.col("title")).alias("is_name"))
+
+
+@query("select coalesce(nullif(trim(category), ''), 'Sin categoría') as category, count(*) as n from documents_x group by 1")
+def category_distribution(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by stored category, those without one counted apart."""
+    name = F.coalesce(F.nullif(F.trim("category"), F.lit("")), F.lit("Sin categoría"))
+    return read(spark, d, "documents_x").groupBy(name.alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- chunkers: a type's chunker runs over all documents of that type
@@ -245,7 +300,12 @@ def chunk_articles_whole(spark: SparkSession, d: str) -> DataFrame:
     return C.by_articles(_of(spark, d, "contrato")).select("doc_id", "chunk_index", "text")
 
 
-@query()
+_HEAD = "regexp_replace({}, '\\n([A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ ]{{5,}}\\n)', chr(1) || '\\1', 'g')"
+
+
+@query(f"""with m as (select doc_id, trim(raw_text) as whole, len(string_split_regex(trim(raw_text), '\\s+')) as n, string_split({_HEAD.format(_HEAD.format('raw_text'))}, chr(1)) as p from documents_x where doc_type = 'memo'),
+       k as (select doc_id, case when n < 512 then [whole] else list_filter(list_transform(p, lambda x: trim(x)), lambda x: len(x) >= 20) end as k from m)
+       select doc_id, unnest(range(len(k)))::int as chunk_index, unnest(k) as text, 'meso' as level from k""")
 def chunk_memos(spark: SparkSession, d: str) -> DataFrame:
     return C.by_headings(_of(spark, d, "memo"))
 
