@@ -6,12 +6,18 @@ Null in gives null out unless stated otherwise.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once a row, however often f uses it (inside a lambda function Spark would compute it anew for each element)."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 @lru_cache(maxsize=1)
 def fold_table() -> tuple[str, str]:
     """Letters and signs up to U+04FF, U+1Exx and U+20xx to U+23xx whose compatibility form without marks is one other character."""
@@ -69,10 +75,13 @@ def number_value(tok: Column) -> Column:
 
 def char_ngrams(folded: Column, n: int = 3) -> Column:
     """Character n-grams of the letters and digits of folded text; a shorter text is its own only one, an empty one has none."""
-    s = F.regexp_replace(folded, "[^a-z0-9]", "")
-    size = F.char_length(s)
-    grams = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substring(s, i, F.lit(n)))
-    return F.when(s == "", F.array().cast("array<string>")).when(size < n, F.array(s)).otherwise(grams)
+
+    def of(s: Column) -> Column:
+        size = F.char_length(s)
+        grams = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substring(s, i, F.lit(n)))
+        return F.when(s == "", F.array().cast("array<string>")).when(size < n, F.array(s)).otherwise(grams)
+
+    return bind(F.regexp_replace(folded, "[^a-z0-9]", ""), of)
 
 
 #: Long dashes, fixed values.
@@ -288,19 +297,20 @@ def highlight(text: Column, query: Column, context: int = 200) -> Column:
     Where no word stands as it is typed, its folded form is looked for in the folded text, then the query's
     3-grams in their order; where nothing is found, or no word is left, it is the head of the text. Null and empty texts give an empty one.
     """
-    words = F.transform(F.filter(query_words(query), lambda w: F.char_length(w) > 2), F.lower)
-    folded, low = fold_letters(text), F.lower(text)
+    words = F.transform(F.filter(query_words(query), lambda w: F.char_length(w) > 2), lambda w: F.lower(w))
     place = lambda c, body: F.call_function("locate", c, body)
-    at = lambda hay, needles: F.array_min(F.filter(F.transform(needles, lambda w: place(w, hay)), lambda i: i > 0))
-    grams = F.filter(F.transform(char_ngrams(fold(query)), lambda g: place(g, folded)), lambda i: i > 0)
-    first = F.coalesce(at(low, words), at(folded, F.transform(words, fold)), F.get(grams, F.lit(0)), F.lit(1))
-    start = F.greatest(F.lit(1), first - context // 2)
-    end = F.least(F.char_length(text), first - 1 + context)
-    part = F.substring(text, start, end - start + 1)
-    cut = F.concat(F.when(start > 1, "...").otherwise(""), part, F.when(end < F.char_length(text), "...").otherwise(""))
-    marked = F.aggregate(words, cut, lambda s, w: F.regexp_replace(s, F.concat(F.lit(r"(?iu)\Q"), F.replace(w, F.lit(r"\E"), F.lit("")), F.lit(r"\E")), F.lit("**$0**")))
+    places = lambda body, needles: F.filter(F.transform(needles, lambda w: place(w, body)), lambda i: i > 0)
+    typed = bind(F.lower(text), lambda body: F.array_min(places(body, words)))
+    folded = bind(fold_letters(text), lambda body: F.coalesce(F.array_min(places(body, F.transform(words, fold))), F.get(places(body, char_ngrams(fold(query))), F.lit(0))))
+
+    def around(first: Column) -> Column:
+        start = F.greatest(F.lit(1), first - context // 2)
+        end = F.least(F.char_length(text), first - 1 + context)
+        cut = F.concat(F.when(start > 1, "...").otherwise(""), F.substring(text, start, end - start + 1), F.when(end < F.char_length(text), "...").otherwise(""))
+        return F.aggregate(words, cut, lambda s, w: F.regexp_replace(s, F.concat(F.lit(r"(?iu)\Q"), F.replace(w, F.lit(r"\E"), F.lit("")), F.lit(r"\E")), F.lit("**$0**")))
+
     head = F.concat(F.substring(text, 1, context), F.when(F.char_length(text) > context, "...").otherwise(""))
-    return F.when(F.coalesce(F.char_length(text), F.lit(0)) == 0, "").when(F.size(words) == 0, head).otherwise(marked)
+    return F.when(F.coalesce(F.char_length(text), F.lit(0)) == 0, "").when(F.size(words) == 0, head).otherwise(bind(F.coalesce(typed, folded, F.lit(1)), around))
 
 
 def split_list(c: Column) -> Column:

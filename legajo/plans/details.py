@@ -71,11 +71,11 @@ _CANON = """case when regexp_full_match(tok, '[0-9]{1,3}(?:[.,][0-9]{3})+') then
     then cast(cast(round(cast(replace(regexp_replace(tok, '[kmb]$', ''), ',', '.') as double) * case right(tok, 1) when 'k' then 1000 when 'm' then 1000000 else 1000000000 end) as bigint) as varchar) else tok end"""
 
 
-def _number_sql(source: str, idc: str, textc: str) -> str:
-    """A row for each token that is left, with its place: words joined to tens are gone."""
-    return f"""t as (select {idc} as id, regexp_extract_all({sql_fold(textc)}, '([a-z]+|[0-9]+(?:[.,][0-9]+)*[kmb]?)', 1) as t from {source} where {textc} is not null), x as (select id, t, i, t[i] as tok from t, unnest(range(1, len(t) + 1)) as r(i)),
-        j as (select *, {_T}[tok] is not null and coalesce(t[i + 1] in ('y', 'i'), false) and {_U}[coalesce(t[i + 2], '')] is not null as joins from x),
-        n as (select id, i, tok, case when joins then {_V}[tok] + {_U}[t[i + 2]] else {_V}[tok] end as v from j a where not exists (select 1 from j b where b.id = a.id and b.joins and b.i in (a.i - 1, a.i - 2)))"""
+def _number_sql(source: str, idc: str, textc: str, pre: str = "") -> str:
+    """A row for each token that is left, with its place: words joined to tens are gone. pre goes before the names of the common tables."""
+    return f"""{pre}t as (select {idc} as id, regexp_extract_all({sql_fold(textc)}, '([a-z]+|[0-9]+(?:[.,][0-9]+)*[kmb]?)', 1) as t from {source} where {textc} is not null), {pre}x as (select id, t, i, t[i] as tok from {pre}t, unnest(range(1, len(t) + 1)) as r(i)),
+        {pre}j as (select *, {_T}[tok] is not null and coalesce(t[i + 1] in ('y', 'i'), false) and {_U}[coalesce(t[i + 2], '')] is not null as joins from {pre}x),
+        {pre}n as (select id, i, tok, case when joins then {_V}[tok] + {_U}[t[i + 2]] else {_V}[tok] end as v from {pre}j a where not exists (select 1 from {pre}j b where b.id = a.id and b.joins and b.i in (a.i - 1, a.i - 2)))"""
 
 
 @query(f"with {_number_sql('documents', 'doc_id', 'text')} select id as doc_id, string_agg(v::varchar, ' ' order by i) as numbers from n where v is not null group by id")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from legajo.plans import details, graphs, more, search, sqlsurface, texts  # noqa: F401 - they register their queries
+from legajo.plans import chain, details, graphs, more, search, sqlsurface, texts  # noqa: F401 - they register their queries
 from legajo.plans.registry import QUERIES, SQL
 from legajo.session import read
 from legajo.sources import deliveries
