@@ -169,8 +169,15 @@ def bad_tokens(tokens: DataFrame) -> DataFrame:
     table = garbled_table(vocab.repartition(vocab.sparkSession.sparkContext.defaultParallelism, "token"))
     best = Window.partitionBy("garbled").orderBy(F.desc("n"), "word")
     table = table.withColumn("k", F.row_number().over(best)).filter("k = 1").drop("k")
-    clean = F.udf(_could_be_clean, "boolean")
-    sequences = F.udf(restore_by_sequences, "string")
+
+    @F.pandas_udf("boolean")
+    def clean(words: pd.Series) -> pd.Series:
+        return words.map(_could_be_clean)
+
+    @F.pandas_udf("string")
+    def sequences(words: pd.Series) -> pd.Series:
+        return words.map(restore_by_sequences)
+
     v = vocab.select("token", F.col("n").alias("own"), clean("token").alias("looks_clean"))
     hit = v.join(table.hint("merge"), v.token == table.garbled, "left")
     proven = F.col("word").isNotNull() & (~F.col("looks_clean") | (F.col("n") >= RATIO * F.col("own")))

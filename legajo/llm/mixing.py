@@ -49,9 +49,10 @@ def draw_mix(
         "budget_tokens", F.when(F.col("w") > 0, F.least(F.round(total * F.col("w")), F.col("max_repeats") * F.col("available_tokens"))).otherwise(0).cast("long"))
     plan = plan.withColumn("full_rounds", F.when(F.col("available_tokens") > 0, F.floor(F.col("budget_tokens") / F.col("available_tokens"))).otherwise(0).cast("int"))
     plan = plan.withColumn("rest", F.col("budget_tokens") - F.col("full_rounds") * F.col("available_tokens")).drop("w", "reach")
+    plan = materialize(plan, "plan")  # a row for each target; read by every later step
 
-    buckets = 1
-    while buckets * ROWS_PER_BUCKET < (sized.count() or 1):
+    rows_in, buckets = sized.count(), 1
+    while buckets * ROWS_PER_BUCKET < rows_in:
         buckets *= 2
     key = F.xxhash64("doc_id", F.lit(seed))
     rows = sized.withColumn("key", key).withColumn("bucket", F.pmod(F.shiftrightunsigned("key", 20), F.lit(buckets)))
@@ -60,25 +61,27 @@ def draw_mix(
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     run = rows.withColumn("upto", F.sum("n_tokens").over(inside)).join(before, ["source", "bucket"])
     upto = F.col("before") + F.col("upto")
-    run = materialize(run.select("doc_id", "source", "n_tokens", upto.alias("upto")), "order").join(plan.select("source", "full_rounds", "rest", "max_repeats"), "source")
+    run = materialize(run.select("doc_id", "source", "n_tokens", upto.alias("upto")), "order")
+    # What is joined from here on has a row for each target source: broadcast, so that no source's rows are gathered.
+    run = run.join(F.broadcast(plan.select("source", "full_rounds", "rest", "max_repeats")), "source")
     # One text of a source may lie across its cut. Either it is in or out, by where its larger part lies, or it is passed
     # over and the order goes on without it, so that one huge text does not spoil a share: whichever comes nearer.
     across = (F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("n_tokens") < F.col("rest"))
     held = run.filter(across).groupBy("source").agg(F.max("upto").alias("held_upto"), F.max("n_tokens").alias("held"))  # a row per source
-    run = run.join(held, "source", "left").na.fill(0, ["held"])
+    run = run.join(F.broadcast(held), "source", "left").na.fill(0, ["held"])
     whole = F.col("upto") <= F.col("rest")
     beyond = F.coalesce(F.col("upto") > F.col("held_upto"), F.lit(False)) & (F.col("upto") - F.col("held") - F.col("n_tokens") / 2 < F.col("rest"))
     start = F.col("held_upto") - F.col("held")
     missed = F.abs(F.first("rest") - F.sum(F.when(whole | beyond, F.col("n_tokens")).otherwise(0)))
     kept = F.least(F.first("held_upto") - F.first("rest"), F.first("rest") - F.first(start))
     better = run.groupBy("source").agg(F.coalesce(missed <= kept, F.lit(False)).alias("pass_over"))  # a row per source
-    run = run.join(better, "source")
+    run = run.join(F.broadcast(better), "source")
     is_held = F.coalesce(F.col("upto") == F.col("held_upto"), F.lit(False))
     extra = F.when(whole, 1).when(F.col("pass_over"), beyond.cast("int")).otherwise((is_held & (F.col("rest") - start > F.col("held") / 2)).cast("int"))
     drawn = run.withColumn(
         "times", F.least(F.col("full_rounds") + extra, "max_repeats").cast("int")).filter("times > 0").select("doc_id", "source", "n_tokens", "times")
     got = drawn.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("times")).alias("drawn_tokens"))
-    shares = plan.drop("rows", "rest").join(got, "source", "left").withColumn("drawn_tokens", F.coalesce("drawn_tokens", F.lit(0)))
+    shares = plan.drop("rows", "rest").join(F.broadcast(got), "source", "left").withColumn("drawn_tokens", F.coalesce("drawn_tokens", F.lit(0)))
     sum_all = shares.agg(F.sum("drawn_tokens").alias("all_tokens"))
     shares = shares.crossJoin(F.broadcast(sum_all)).select(
         "source", "target_weight", "max_repeats", "available_tokens", "budget_tokens", "drawn_tokens",
