@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from legajo.functions.text import fold
+from legajo.functions.text import bind, fold
 from legajo.session import materialize, ship
 
 #: Edges of the largest graph that is sent to every task (8 bytes each).
@@ -44,11 +44,14 @@ def edges(m: DataFrame) -> DataFrame:
 def merge_targets(n: DataFrame) -> DataFrame:
     """(key, target): each key's longest key of the same type that holds all its words as a run (then the smallest), itself where there is none.
 
-    Candidates come from an equi-join on the key's first word and on the words of the longer key, not from comparing all pairs.
+    The runs of words of each key (a name has few) are equi-joined with the keys, so that a frequent given name is no hot key.
     """
-    longer = n.select(F.col("key").alias("target"), "entity_type", F.explode(F.array_distinct(F.split("key", " "))).alias("w"))
-    short = n.select("key", "entity_type", F.split("key", " ")[0].alias("w"))
-    pair = short.join(longer, ["entity_type", "w"]).filter((F.col("key") != F.col("target")) & F.contains(F.concat(F.lit(" "), F.col("target"), F.lit(" ")), F.concat(F.lit(" "), F.col("key"), F.lit(" "))))
+
+    def runs(ws: Column) -> Column:
+        return F.flatten(F.transform(ws, lambda _, i: F.transform(F.sequence(F.lit(1), F.size(ws) - i), lambda k: F.array_join(F.slice(ws, i + 1, k), " "))))
+
+    longer = n.select(F.col("key").alias("target"), "entity_type", F.explode(F.array_distinct(bind(F.split("key", " "), runs))).alias("key"))
+    pair = longer.join(n.select("key", "entity_type"), ["key", "entity_type"]).filter("key != target")
     best = pair.groupBy("key").agg(F.min(F.struct((-F.char_length("target")).alias("l"), "target")).alias("b")).select("key", "b.target")
     return n.select("key").join(best, "key", "left").withColumn("target", F.coalesce("target", "key"))
 

@@ -134,7 +134,7 @@ def shared_documents(spark: SparkSession, d: str) -> DataFrame:
     return pairs.join(few, ["src", "dst"]).groupBy("src", "dst").agg(F.array_join(F.array_sort(F.collect_list("doc_id")), " ").alias("docs"))
 
 
-@query()
+@query(f"with {_MENTIONS}, dk as (select distinct doc_id, key from m) select a.key as src, b.key as dst, a.doc_id from dk a join dk b on a.doc_id = b.doc_id and a.key < b.key")
 def shared_document_rows(spark: SparkSession, d: str) -> DataFrame:
     """(src, dst, doc_id): every document of every pair of entities that share one, a row each."""
     k = G.mentions(read(spark, d, "documents_x")).select("doc_id", "key").distinct()
@@ -150,11 +150,14 @@ def graph_added(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""select facet, string_agg(value, '; ' order by value) as shown from (select distinct 'doc_type' as facet, doc_type as value from documents_x union select 'language', language from documents_x union select 'category', category from documents_x)
-       where value is not null group by facet""")
+       where value is not null group by facet union all select 'dates', string_agg(v, '; ' order by v desc) from (select distinct substring(unnest(dates), 1, 7) as v from documents_x)""")
 def facet_values(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct values of each facet in order; months the newest first."""
     docs = read(spark, d, "documents_x")
-    long = docs.select(F.explode(F.array(*(F.struct(F.lit(c).alias("facet"), F.col(c).alias("value")) for c in ("doc_type", "language", "category")))).alias("x")).select("x.*").filter("value is not null").distinct()
-    return long.groupBy("facet").agg(F.array_join(F.array_sort(F.collect_list("value")), "; ").alias("shown"))  # a facet's few values
+    long = docs.select(F.explode(F.array(*(F.struct(F.lit(c).alias("facet"), F.col(c).alias("value")) for c in ("doc_type", "language", "category")))).alias("x")).select("x.*")
+    months = docs.select(F.lit("dates").alias("facet"), F.explode("dates").alias("value")).withColumn("value", F.substring("value", 1, 7))
+    lists = long.unionByName(months).filter("value is not null").distinct().groupBy("facet").agg(F.array_sort(F.collect_list("value")).alias("l"))  # a facet's few values
+    return lists.select("facet", F.array_join(F.when(F.col("facet") == "dates", F.reverse("l")).otherwise(F.col("l")), "; ").alias("shown"))
 
 
 @query("""with c as (select doc_type as value, count(*) as n from documents_x where language = 'en' group by 1), a as (select * from c where value is not null union all select 'nomina', 0 where not exists (select 1 from c where value = 'nomina'))
@@ -198,6 +201,17 @@ def json_nodes(spark: SparkSession, d: str) -> DataFrame:
     return n.select(F.from_json("j", "key string, mentions long, type string").alias("x")).select("x.key", "x.mentions", F.col("x.type").alias("entity_type"))
 
 
+@query(f"""with {_MENTIONS}, {_NODES}, {_EDGES}, j as (select json_object('src', src, 'dst', dst, 'weight', weight) as j from e), b as (select j->>'$.src' as src, j->>'$.dst' as dst, cast(j->>'$.weight' as bigint) as weight from j),
+       g as (select key, count(*) as degree, sum(weight)::bigint as strength from (select src as key, weight from b union all select dst, weight from b) group by key)
+       select n.key, n.mentions, coalesce(degree, 0) as degree, coalesce(strength, 0) as strength from n left join g using (key)""")
+def json_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The graph written as JSON and read back: nodes and edges, degree and strength filled in from the edges."""
+    m = G.mentions(read(spark, d, "documents_x"))
+    e = G.edges(m).select(F.to_json(F.struct("src", "dst", "weight")).alias("j")).select(F.from_json("j", "src string, dst string, weight long").alias("x")).select("x.*")
+    n = G.nodes(m).select(F.to_json(F.struct("key", "mentions")).alias("j")).select(F.from_json("j", "key string, mentions long").alias("x")).select("x.*")
+    return n.join(G.degrees(e), "key", "left").na.fill(0, ["degree", "strength"])
+
+
 _TABLES = ("documents_x", "chunks", TICKETS, "inventario_equipos_it", "documents", "orders")
 
 
@@ -208,6 +222,13 @@ def table_sizes(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+@query("select table_name, string_agg(column_name, ', ' order by column_name) as columns, count(*) as n_columns from information_schema.columns where table_name in (" + ", ".join(f"'{t}'" for t in _TABLES) + ") group by table_name")
+def table_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The columns of each table, from the tables' schemas."""
+    parts = (read(spark, d, t).limit(0).agg(F.count(F.lit(1))).select(F.lit(t).alias("table_name"), F.lit(", ".join(sorted(read(spark, d, t).columns))).alias("columns"), F.lit(len(read(spark, d, t).columns)).cast("long").alias("n_columns")) for t in _TABLES)
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("""with x as (select unnest(dates) as v from chunks), m as (select substring(v, 1, 7) as ym from x where len(v) >= 7)
        select ym, count(*) as n, ['enero', 'febrero', 'marzo', 'abril', 'mayo', 'junio', 'julio', 'agosto', 'septiembre', 'octubre', 'noviembre', 'diciembre'][substring(ym, 6, 2)::int] || ' ' || substring(ym, 1, 4) as shown from m
        where regexp_full_match(ym, '[0-9]{4}-(0[1-9]|1[0-2])') group by ym""")

@@ -98,6 +98,22 @@ def chunks_per_document(spark: SparkSession, d: str) -> DataFrame:
     return fusion.per_document(chunk_hits(spark, d).filter("rank <= 50"), "doc_id", 3).select("query", "chunk_id", "doc_id", "matched", "in_title", "rank")
 
 
+_SINGLE, _MANY, _DATED = {"doc_type": 20, "language": 10}, {"persons": 20, "organizations": 20, "keywords": 15}, {"dates": 20}
+_ISO = "case when regexp_full_match(trim(v), '[0-9]{4}(-[0-9]{2}){0,2}') then trim(v) when regexp_full_match(trim(v), '[0-9]{1,2}(/|-)[0-9]{1,2}(/|-)[0-9]{4}') then right(trim(v), 4) || '-' || lpad(regexp_extract(trim(v), '^[0-9]+[/-]([0-9]+)', 1), 2, '0') || '-' || lpad(regexp_extract(trim(v), '^([0-9]+)', 1), 2, '0') end"
+
+
+@query(f"""with {_CHUNK_HITS}, pool as (select cr.query, cr.rank, c.* from cr join chunks c using (chunk_id) where rank <= 200),
+       l as ({' union all '.join([f"select query, '{c}' as facet, v from (select query, doc_id, arg_min_null({c}, rank) as v from pool group by query, doc_id)" for c in _SINGLE]
+         + [f"select query, '{c}', unnest({c}) from pool" for c in _MANY] + [f"select query, 'dates', {_ISO} from (select query, unnest(dates) as v from pool)"])}),
+       n as (select query, facet, v as value, count(*) as n from l where v is not null and v <> '' group by query, facet, v),
+       r as (select *, row_number() over (partition by query, facet order by case when facet = 'dates' then value end desc nulls last, n desc, value) as rk from n)
+       select query, facet, value, n, rk from r where rk <= case facet when 'keywords' then 15 when 'language' then 10 else 20 end""")
+def facets(spark: SparkSession, d: str) -> DataFrame:
+    """Facets of the 200 best chunks of each query: type and language once a document, names and keywords by count, dates the newest first."""
+    pool = chunk_hits(spark, d).filter("rank <= 200").select("query", "chunk_id", "rank").join(read(spark, d, "chunks"), "chunk_id")
+    return fusion.pool_facets(pool, _SINGLE, _MANY, _DATED)
+
+
 @query(f"""with {_CHUNK_HITS} select query, doc_id, count(*) as n_chunks, max(matched) as best, min(rank) as first_rank, string_agg(chunk_id, ' ' order by rank) as chunk_ids from cr where rank <= 50 group by query, doc_id""")
 def grouped_results(spark: SparkSession, d: str) -> DataFrame:
     """The best 50 chunks of each query, by document."""

@@ -125,6 +125,16 @@ def mean_pool(spark: SparkSession, d: str) -> DataFrame:
     return vectors.mean_pool(read(spark, d, "embeddings"), "label", "embedding").select("label", F.transform("mean", lambda x: F.round(x, 6)).alias("mean"))
 
 
+@query("""with s as (select a.vec_id as a, b.vec_id as b, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as c from embeddings a join embeddings b on a.vec_id < b.vec_id)
+       select a, b, round(c, 6) as similarity, row_number() over (order by round(c, 9) desc, a, b) as rank from s where c >= 0.4 order by rank limit 500""")
+def duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The 500 most similar pairs of vectors at a cosine of 0.4 or more, the report's own limit."""
+    pairs = vectors.close_pairs(read(spark, d, "embeddings"), "vec_id", "embedding", 0.4).filter("score >= 0.4")
+    top = pairs.orderBy(F.desc(F.round("score", 9)), "a", "b").limit(500)
+    rank = F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "a", "b"))  # 500 rows
+    return top.select("a", "b", F.round("score", 6).alias("similarity"), rank.cast("long").alias("rank"))
+
+
 @query()
 def near_duplicate_vectors(spark: SparkSession, d: str) -> DataFrame:
     """One row per vector with the number of vectors at a cosine of 0.85 or more and the smallest id it is linked to."""
@@ -133,10 +143,10 @@ def near_duplicate_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 _SEM = f"""sem as (select a.vec_id as query, b.vec_id as id, {_COS} as score from embeddings a join embeddings b on a.vec_id % 50 = 0),
     sr as (select *, row_number() over (partition by query order by round(score, 9) desc, id) as rank from sem),
-    semt as (select query, id, score, rank from sr where rank <= 20 and score >= 0.1)"""
+    semt as (select query, id, score, rank from sr where rank <= 20 and score >= 0.36)"""
 
 
-def semantic_hits(spark: SparkSession, d: str, k: int = 20, floor: float = 0.1) -> DataFrame:
+def semantic_hits(spark: SparkSession, d: str, k: int = 20, floor: float = 0.36) -> DataFrame:
     """Vector hits of the documents' vectors (vec_id is taken for doc_id), the query itself included, from the floor up."""
     e = read(spark, d, "embeddings")
     return vectors.block_search(e, "vec_id", "embedding", e.filter("vec_id % 50 = 0"), k, include_self=True).filter(F.col("score") >= floor)
@@ -169,30 +179,27 @@ def weighted_fusion(spark: SparkSession, d: str) -> DataFrame:
     return r.select("query", "id", *(F.round(c, 6).alias(c) for c in ("lex_norm", "sem_norm", "score")), "source", "rank")
 
 
-@query(f"""with {_WEIGHTED}, b as (select f.*, doc_type, f.score * (1 + least(0.15 * n, 0.3)) as boosted from f join documents d on d.doc_id = f.id
-         join (select doc_id, (coalesce(cliente, '') <> '')::int + (coalesce(lang, '') <> '')::int as n from documents) c on c.doc_id = f.id),
+@query(f"""with {_WEIGHTED}, ent as (select distinct {sql_fold('cliente')} as key, doc_id as id from documents where trim(coalesce(cliente, '')) <> ''),
+       qt as (select query, ' ' || string_agg(term, ' ') || ' ' || coalesce({sql_fold('any_value(cliente)')}, '') || ' ' as text from q join documents on doc_id = query group by query),
+       named as (select query, key from qt join (select distinct key from ent) k on contains(text, ' ' || key || ' ')),
+       n as (select query, id, count(*) as n from f join ent using (id) join named using (query, key) group by query, id),
+       b as (select f.*, doc_type, f.score * (1 + least(0.15 * coalesce(n.n, 0), 0.3)) as boosted, coalesce(n.n, 0) as named from f join documents d on d.doc_id = f.id left join n using (query, id)),
        r as (select *, row_number() over (partition by query order by round(boosted, 9) desc, id) as rank from b)
-       select query, id, doc_type, source, round(boosted, 6) as score, rank from r where rank <= {K}""")
+       select query, id, doc_type, source, named::bigint as named, round(boosted, 6) as score, rank from r where rank <= {K}""")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """Lexical and vector hits, weighted fusion, boost by the number of known attributes (0.15 each, 0.3 at most), top 10 of each query."""
-    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "doc_type", (
-        (F.coalesce("cliente", F.lit("")) != "").cast("int") + (F.coalesce("lang", F.lit("")) != "").cast("int")).alias("n"))
-    boosted = fused(spark, d).join(docs, "id").withColumn("score", F.col("score") * (1 + F.least(0.15 * F.col("n"), F.lit(0.3))))
-    return lexical.top_k(boosted, K).select("query", "id", "doc_type", "source", F.round("score", 6).alias("score"), "rank")
-
-
-_FACETS = {"type": ("doc_type", False, 20), "language": ("language", False, 10), "person": ("persons", True, 20), "organization": ("organizations", True, 20), "keyword": ("keywords", True, 15), "date": ("dates", True, 20)}
-
+    """Lexical and vector hits, weighted fusion, boost of the documents of an entity that the query names (0.15 for each, 0.3 at most), top 10 of each query.
 
-def _facet_sql() -> str:
-    parts = [f"select '{n}' as facet, {f'unnest({c})' if many else c} as value, {k} as k from chunks" for n, (c, many, k) in _FACETS.items()]
-    return f"""with l as ({' union all '.join(parts)}), c as (select facet, value, count(*) as n, any_value(k) as k from l where value is not null and value <> '' group by facet, value),
-        r as (select *, row_number() over (partition by facet order by n desc, value) as rk from c) select facet, value, n, rk from r where rk <= k"""
-
-
-@query(_facet_sql())
-def facets(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.facet_counts(read(spark, d, "chunks"), _FACETS)
+    A query document asks with its three most telling terms and its client's name; a document's entity is its client.
+    """
+    post = document_postings(spark, d)
+    terms = lexical.query_terms(post)
+    docs = read(spark, d, "documents")
+    entities = docs.filter("trim(coalesce(cliente, '')) != ''").select(T.fold(F.col("cliente")).alias("key"), F.col("doc_id").alias("id"))
+    texts = terms.groupBy("query").agg(F.array_join(F.collect_list("term"), " ").alias("t")).join(  # three terms
+        docs.select(F.col("doc_id").alias("query"), "cliente"), "query").select("query", F.concat_ws(" ", "t", "cliente").alias("text"))
+    hits = fusion.weighted(lexical.top_k(lexical.bm25(post, terms), 20), semantic_hits(spark, d))
+    boosted = fusion.graph_boost(hits, texts, entities).join(docs.select(F.col("doc_id").alias("id"), "doc_type"), "id")
+    return lexical.top_k(boosted, K).select("query", "id", "doc_type", "source", "named", F.round("score", 6).alias("score"), "rank")
 
 
 _ACTIVE = {"doc_type": "informe", "language": "es", "category": "Informes"}
@@ -212,12 +219,16 @@ def person_date_filter(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "chunks").filter(named & dated).select("chunk_id")
 
 
-@query("""with e as (select doc_id, unnest(coalesce(persons, [])) as p from chunks), s as (select doc_id, string_agg(distinct p, '; ' order by p) as persons from e group by doc_id)
-       select c.doc_id, count(*) as n_chunks, sum(len(text))::bigint as chars, any_value(coalesce(s.persons, '')) as persons from chunks c left join s on s.doc_id = c.doc_id group by c.doc_id""")
+_LISTS = ("persons", "organizations", "keywords", "dates", "emails")
+
+
+@query(f"""with e as ({' union all '.join(f"select doc_id, '{c}' as c, unnest(coalesce({c}, [])) as v from chunks" for c in _LISTS)}), s as (select doc_id, c, string_agg(distinct v, '; ' order by v) as l from e group by doc_id, c),
+       n as (select doc_id, count(*) as n_chunks, sum(len(text))::bigint as chars from chunks group by doc_id)
+       select doc_id, n_chunks, chars, {', '.join(f"coalesce((select l from s where s.doc_id = n.doc_id and c = '{c}'), '') as {c}" for c in _LISTS)} from n""")
 def document_detail(spark: SparkSession, d: str) -> DataFrame:
-    c = read(spark, d, "chunks")
-    names = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("persons", F.array().cast("array<string>")))))), "; ")  # the chunks of one document
-    return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.char_length("text")).alias("chars"), names.alias("persons"))
+    """A document from its chunks: their number, the characters, and the union of each of their lists."""
+    union = lambda c: F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>")))))), "; ").alias(c)  # noqa: E731 - the chunks of one document
+    return read(spark, d, "chunks").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.char_length("text")).alias("chars"), *map(union, _LISTS))
 
 
 @query("select doc_id, md5(string_agg(text, chr(10) || chr(10) order by chunk_index, chunk_id)) as text_md5 from chunks group by doc_id")
