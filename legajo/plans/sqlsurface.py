@@ -25,13 +25,20 @@ def register_views(spark: SparkSession, d: str, only_in: str | None = None) -> l
     return names
 
 
+_LITERAL = re.compile(r"('(?:[^']|'')*')")
+
+
 def translate(sql: str) -> str:
-    """Common DuckDB spellings in Spark's: date_diff with a quoted unit, strftime, double-quoted names, list functions."""
-    sql = re.sub(r"date_diff\(\s*'(\w+)'\s*,", lambda m: f"date_diff({m.group(1).upper()},", sql, flags=re.I)
-    sql = re.sub(r'"([A-Za-z_][\w ]*)"', r"`\1`", sql)
-    for a, b in (("string_split", "split"), ("list_contains", "array_contains"), ("len", "char_length"), ("unnest", "explode"), ("string_agg", "listagg")):
-        sql = re.sub(rf"\b{a}\(", f"{b}(", sql, flags=re.I)
-    return re.sub(r"::(\w+)", r"::\1", sql)
+    """Common DuckDB spellings in Spark's: date_diff with a quoted unit, double-quoted names, list and string functions. Text inside string literals stays as it is."""
+    parts = _LITERAL.split(sql)  # code and literals by turns
+    for i in range(0, len(parts), 2):
+        code = re.sub(r'"([A-Za-z_][\w ]*)"', r"`\1`", parts[i])
+        for a, b in (("string_split", "split"), ("list_contains", "array_contains"), ("len", "char_length"), ("unnest", "explode"), ("string_agg", "listagg")):
+            code = re.sub(rf"\b{a}\(", f"{b}(", code, flags=re.I)
+        if re.search(r"(?i)\bdate_diff\(\s*$", code) and i + 1 < len(parts):
+            parts[i + 1] = parts[i + 1].strip("'").upper()
+        parts[i] = code
+    return "".join(parts)
 
 
 def run_sql(spark: SparkSession, sql: str, most: int | None = MAX_ROWS) -> tuple[DataFrame, bool]:
@@ -47,7 +54,7 @@ def run_sql(spark: SparkSession, sql: str, most: int | None = MAX_ROWS) -> tuple
 
 def ask_count(sql: str, question: str) -> str:
     """Add COUNT(*) AS total to a grouped query whose question asks how many and that does not count yet."""
-    wants = re.search(r"(?i)\bcu[aá]nt[oa]s?\b|\bn[uú]mero\b|\bhow many\b|\bcount\b", question)
+    wants = re.search(r"(?i)\bcu[aá]nt[oa]s?\b|\bn[uú]mero\b|\btotal de\b|\bconteo\b|\bhow many\b|\bcount\b", question)
     if wants and re.search(r"(?i)\bgroup\s+by\b", sql) and not re.search(r"(?i)\bcount\s*\(", sql):
         return re.sub(r"(?i)^(\s*select\s+)", r"\1COUNT(*) AS total, ", sql, count=1)
     return sql
@@ -94,6 +101,12 @@ def sql_setops(): ...
 def sql_star_join(): ...
 
 
+@_same("""select 'left' as kind, n_name, cast(count(s_suppkey) as bigint) as n from nation left join supplier on s_nationkey = n_nationkey and s_acctbal > 5000 group by n_name
+       union all select 'full', coalesce(n_name, 'none'), count(*) from (select n_nationkey, n_name from nation where n_regionkey < 3) n full join (select s_nationkey from supplier where s_acctbal < 0) s on s_nationkey = n_nationkey group by coalesce(n_name, 'none')
+       union all select 'cross', r_name, count(*) from region cross join (select distinct o_orderstatus from orders) o group by r_name""")
+def sql_outer_joins(): ...
+
+
 @_same("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 400000)")
 def sql_anti_join(): ...
 
@@ -112,12 +125,12 @@ def sql_recursion(): ...
 
 
 @query(f"""with a as (select row_id, tecnico_asignado, ingested_at from {TICKETS} where tecnico_asignado is not null)
-       select x.row_id, (select max(y.ingested_at) from a y where y.tecnico_asignado = x.tecnico_asignado and y.ingested_at < x.ingested_at)::varchar is not null as has_before from a x""")
+       select x.row_id, (select epoch_us(max(y.ingested_at)) from a y where y.tecnico_asignado = x.tecnico_asignado and y.ingested_at < x.ingested_at) as before_us from a x""")
 def sql_asof(spark: SparkSession, d: str) -> DataFrame:
-    """As-of join: whether a ticket's technician had an earlier delivery, by a range window over the key instead of a range join."""
+    """As-of join: when the technician of a ticket had the delivery before it, in microseconds, by a range window over the key instead of a range join."""
     a = read(spark, d, TICKETS).filter("tecnico_asignado is not null")
     w = Window.partitionBy("tecnico_asignado").orderBy(F.unix_micros("ingested_at")).rangeBetween(Window.unboundedPreceding, -1)
-    return a.select("row_id", F.max("ingested_at").over(w).isNotNull().alias("has_before"))
+    return a.select("row_id", F.unix_micros(F.max("ingested_at").over(w)).alias("before_us"))
 
 
 @query(f"""select prioridad, count(*) filter (where estado = 'resuelto') as resuelto, count(*) filter (where estado = 'pendiente') as pendiente, count(*) filter (where estado = 'escalado') as escalado from {TICKETS} group by prioridad""")

@@ -124,6 +124,8 @@ def test_sql_surface(spark):
         sqlsurface.run_sql(spark, "drop table x")
     assert sqlsurface.ask_count("SELECT a FROM t GROUP BY a", "¿Cuántos hay?") == "SELECT COUNT(*) AS total, a FROM t GROUP BY a"
     assert sqlsurface.ask_count("SELECT a FROM t", "¿Cuántos hay?") == "SELECT a FROM t"
+    assert sqlsurface.ask_count("SELECT a FROM t GROUP BY a", "total de filas").startswith("SELECT COUNT(*) AS total")
+    assert sqlsurface.translate("""select 'call len(x) and "q"', len(a), "b c", date_diff('day', x, y)""") == """select 'call len(x) and "q"', char_length(a), `b c`, date_diff(DAY, x, y)"""
 
 
 def test_files_and_streams(spark, tmp_path):

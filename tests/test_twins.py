@@ -8,6 +8,8 @@ import pytest
 from legajo import queries as core
 
 QUERIES, SQL = core.queries(), core.oracle_sql()
+#: No words with neighbours enough, and no numbers of enough mistyped queries, in the smallest tables.
+MAY_BE_EMPTY = {"corpus_synonyms"}
 
 
 def norm(value):
@@ -48,8 +50,11 @@ def test_twin(spark, sf, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, sf, name):
+    """What they hold is compared with brute force in test_operators, test_whole and test_chain; here each gives rows, without a null in its first column, under names that differ."""
     df = QUERIES[name](spark, sf)
-    assert len(df.columns) and df.count() >= 0
+    rows = df.collect()
+    assert rows or name in MAY_BE_EMPTY
+    assert len(set(df.columns)) == len(df.columns) and all(r[0] is not None for r in rows)
 
 
 def test_entry(spark):
