@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from legajo.session import discard, materialize, text_batches
+from legajo.session import discard, materialize, spread, text_batches
 
 SHINGLE = 3
 SIMILARITY = 0.5
@@ -151,7 +151,7 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                     rows.append((d, c, len(s), roots, path))
             yield pd.DataFrame(rows, columns=["doc_id", "cls", "size", "roots", "path"])
 
-    return docs.filter("text is not null").mapInPandas(run, "doc_id string, cls long, size int, roots array<long>, path array<long>")
+    return spread(docs.filter("text is not null")).mapInPandas(run, "doc_id string, cls long, size int, roots array<long>, path array<long>")
 
 
 _HEAD = ("c0", "c1", "c2")

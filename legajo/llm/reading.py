@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from legajo.llm.runs import runs
-from legajo.session import text_batches
+from legajo.session import spread, text_batches
 
 #: Labelled rows that are learnt from at most (the lowest hashes of the id), and words kept in the models.
 MAX_LABELLED = 200_000
@@ -114,7 +114,7 @@ def reading_levels(docs: DataFrame, model: LevelModel, keep: list[str] | None =
             out["n_words"] = [len(runs(t)) for t in p["__text"]]
             yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text").alias("__text")).mapInPandas(score, schema)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text").alias("__text"))).mapInPandas(score, schema)
 
 
 def level_profile(levels: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from legajo.llm.runs import runs
-from legajo.session import discard, materialize, text_batches
+from legajo.session import discard, materialize, spread, text_batches
 
 #: Page numbers on a line of their own, digits masked as \d; fixed values.
 PAGE = (
@@ -222,7 +222,7 @@ def read_scans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             rows += [(k, w, n, None, 0, None, False, None, False) for (k, w), n in out.items() if n]
             yield pd.DataFrame(rows, columns=columns)
 
-    both = docs.filter("text is not null").select("doc_id", "text").mapInPandas(
+    both = spread(docs.filter("text is not null").select("doc_id", "text")).mapInPandas(
         run, "kind string, word string, n long, doc_id string, line_no int, line string, own boolean, mask string, sure boolean")
     both = materialize(both, "scans")
     vocab = materialize(both.filter("kind is not null").groupBy("kind", "word").agg(F.sum("n").alias("n")), "vocabulary")

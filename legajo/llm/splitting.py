@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from legajo.session import text_batches
+from legajo.session import spread, text_batches
 
 MAX_WORDS = 512
 MAX_CHARS = 4096
@@ -167,7 +167,7 @@ def split_items(
                     rows.append((i, sec, k, t[a:b], n, b - a, a, b))
             yield pd.DataFrame(rows, columns=["item_id", "section", "piece_index", "text", "n_words", "n_chars", "char_start", "char_end"])
 
-    pieces = items.filter(big).mapInPandas(cut, f"item_id string, section string, {_OUT}")
+    pieces = spread(items.filter(big)).mapInPandas(cut, f"item_id string, section string, {_OUT}")
     if only_oversized:
         return pieces
     whole = items.filter(F.col("text").isNotNull() & ~big).select(

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from legajo.session import text_batches
+from legajo.session import spread, text_batches
 
 TOKENIZER = os.environ.get("LEGAJO_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: The tokenizer's own pre-splitting pattern, a fixed value that belongs to the vocabulary file.
@@ -43,4 +43,4 @@ def token_sizes(df: DataFrame, text_col: str, keep: list[str], tokenizer: str =
             out["n_tokens"] = [len(encode(t)) if t else 0 for t in p["__text"]]
             yield out
 
-    return df.select(*keep, F.col(text_col).alias("__text")).mapInPandas(count, schema)
+    return spread(df.select(*keep, F.col(text_col).alias("__text"))).mapInPandas(count, schema)
