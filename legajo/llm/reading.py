@@ -15,12 +15,9 @@ from pyspark.sql import types as T
 from legajo.llm.runs import runs
 from legajo.session import spread, text_batches
 
-#: Labelled rows that are learnt from at most (the lowest hashes of the id), and words kept in the models.
+#: Labelled rows that are learnt from at most (the lowest hashes of the id).
 MAX_LABELLED = 200_000
-MAX_VOCAB = 50_000
 SMOOTHING = 0.5
-#: Weight of a word's count from one document, so that no long document rules a model.
-MAX_PER_DOC = 20
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE_END = re.compile(r"[.!?]\s+|\n\s*\n|\n- ")
@@ -38,8 +35,8 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, words, counts = [], [], []
         for i, t in zip(p["doc_id"], p["text"]):
             for w, n in Counter(symbols(t)).items():
-                ids.append(i), words.append(w), counts.append(min(n, MAX_PER_DOC))
-        yield pd.DataFrame({"doc_id": ids, "word": words, "n": counts})
+                ids.append(i), words.append(w), counts.append(n)
+        yield pd.DataFrame({"doc_id": ids, "word": words, "n": np.array(counts, dtype=np.int64)})
 
 
 def formula_level(text_col: str = "text"):
@@ -50,7 +47,7 @@ def formula_level(text_col: str = "text"):
 
 
 class LevelModel:
-    """log p(word | level) of a bounded vocabulary and log p(level); plain numbers, shipped to the workers."""
+    """log p(word | level) of every word of the labelled sample and log p(level); plain numbers, shipped to the workers."""
 
     def __init__(self, levels: list[int], prior: np.ndarray, words: dict[str, int], logp: np.ndarray):
         self.levels, self.prior, self.words, self.logp = levels, prior, words, logp
@@ -66,12 +63,13 @@ class LevelModel:
         return self.levels[k], float(1 / np.exp(np.minimum(s - s[k], 0)).sum()), len(found)
 
 
-def train_levels(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_vocab: int = MAX_VOCAB) -> LevelModel:
+def train_levels(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> LevelModel:
     """Fit on the labelled documents (a bounded sample: the max_labelled lowest hashes of the id).
 
     A text with two annotators counts half for each of their levels. Labels outside 1-5, null labels and
     labels without a document are left out. Without any usable label, formula_level seeds the training.
-    The counting is done by Spark; the max_vocab most frequent words of the sample come back.
+    The counting is done by Spark; a row of counts for each word of the sample comes back, so what is
+    collected is bounded by max_labelled, not by the corpus.
     """
     text_batches(docs.sparkSession)
     marks = labels.filter("doc_id is not null and nivel between 1 and 5").groupBy("doc_id").agg(F.collect_set("nivel").alias("levels"), F.count(F.lit(1)).alias("k"))
@@ -81,15 +79,14 @@ def train_levels(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LAB
     if not sample.limit(1).count():
         sample = docs.orderBy(F.xxhash64("doc_id")).limit(max_labelled).select("doc_id", "text", formula_level("text").alias("level"), F.lit(1.0).alias("weight"))
     prior = {r["level"]: r["w"] for r in sample.groupBy("level").agg(F.sum("weight").alias("w")).collect()}
-    counts = sample.select("doc_id", "text").dropDuplicates(["doc_id"]).mapInPandas(_words, "doc_id long, word string, n int")
+    counts = sample.select("doc_id", "text").dropDuplicates(["doc_id"]).mapInPandas(_words, "doc_id long, word string, n long")
     by = counts.join(sample.drop("text"), "doc_id").groupBy("word").pivot("level", [1, 2, 3, 4, 5]).agg(F.sum(F.col("n") * F.col("weight")))
-    by = by.na.fill(0.0).withColumn("all", sum(F.col(str(k)) for k in range(1, 6))).orderBy(F.desc("all"), "word").limit(max_vocab)
-    rows = by.collect()
+    found = by.na.fill(0.0).toPandas().sort_values("word")
     levels = sorted(prior) or [3]
-    c = np.array([[r[str(k)] for k in levels] for r in rows], dtype=float).reshape(len(rows), len(levels))
-    logp = np.log((c + SMOOTHING) / (c.sum(axis=0) + SMOOTHING * (len(rows) + 1)))
+    c = found[[str(k) for k in levels]].to_numpy(dtype=float)
+    logp = np.log((c + SMOOTHING) / (c.sum(axis=0) + SMOOTHING * (len(c) + 1)))
     w = np.array([prior.get(k, 1.0) for k in levels])
-    return LevelModel(levels, np.log(w / w.sum()), {r["word"]: i for i, r in enumerate(rows)}, logp)
+    return LevelModel(levels, np.log(w / w.sum()), {w: i for i, w in enumerate(found["word"])}, logp)
 
 
 def reading_levels(docs: DataFrame, model: LevelModel, keep: list[str] | None = None) -> DataFrame:
@@ -102,7 +99,7 @@ def reading_levels(docs: DataFrame, model: LevelModel, keep: list[str] | None =
     text_batches(spark)
     keep = [c for c in keep or [] if c != "doc_id"]
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *(docs.schema[c] for c in keep), T.StructField("level", T.IntegerType()), T.StructField("posterior", T.DoubleType()), T.StructField("n_words", T.IntegerType())])
-    shipped = spark.sparkContext.broadcast(model)  # at most MAX_VOCAB words
+    shipped = spark.sparkContext.broadcast(model)  # the words of at most MAX_LABELLED texts
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shipped.value

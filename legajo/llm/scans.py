@@ -30,7 +30,6 @@ CONFUSED = (
     ("a", "@"), ("á", "@"), ("á", "ä"), ("à", "ä"), ("t", "f"), ("f", "t"), ("í", "f"), ("e", "c"), ("c", "e"), ("u", "n"), ("n", "u"), ("u", "ii"), ("ú", "ii"), ("n", "ii"), ("m", "rn"), ("rn", "m"), ("in", "m"), ("ni", "m"),
     ("cl", "d"), ("d", "cl"), ("li", "h"), ("h", "li"), ("ñ", "fi"), ("vv", "w"), ("w", "vv"),
 )
-MAX_CHANGES = 3
 #: How much more frequent a form must be than what it was misread as, and how much more often, for each word of text, scans must show a word
 #: that clean texts hold too for it to be suspected.
 FREQUENT = 4
@@ -70,33 +69,34 @@ def sql_skeleton(c: Column) -> Column:
     return c
 
 
+_BY_FIRST = {c: tuple(p for p in CONFUSED if p[0][0] == c) for c in {p[0][0] for p in CONFUSED}}
+
+
 @lru_cache(maxsize=100_000)
 def changes(printed: str, read: str) -> tuple[int, ...] | None:
-    """Places in `read` that differ when `printed` was misread as it, by at most MAX_CHANGES confusions; None where it can't be."""
-    best: list[tuple[int, ...] | None] = [None]
-
-    def go(i: int, j: int, at: tuple[int, ...]) -> None:
-        while i < len(printed) and j < len(read) and printed[i] == read[j]:
-            # A confusion may also start where the letters agree ("in" read as "m" does not, "u" as "ii" might).
-            for a, b in _TWO:
-                if printed.startswith(a, i) and read.startswith(b, j) and len(at) < MAX_CHANGES:
-                    go(i + len(a), j + len(b), (*at, j))
-            i, j = i + 1, j + 1
-        if i == len(printed) and j == len(read):
-            if best[0] is None or len(at) < len(best[0]):
-                best[0] = at
-            return
-        if len(at) == MAX_CHANGES or best[0] is not None and len(at) + 1 >= len(best[0]):
-            return
-        for a, b in CONFUSED:
-            if printed.startswith(a, i) and read.startswith(b, j):
-                go(i + len(a), j + len(b), (*at, j))
-
-    go(0, 0, ())
-    return best[0] or None
-
-
-_TWO = tuple((a, b) for a, b in CONFUSED if a[0] == b[0])
+    """Places in `read` that differ when `printed` was misread as it, by the fewest confusions; None where it can't be, () is no misreading and None too.
+
+    Breadth first over (letters printed, letters read): equal letters cost nothing, each confusion one step, also
+    where the letters agree ("in" read as "m" does not, "u" as "ii" might).
+    """
+    step: dict[tuple[int, int], tuple[int, ...]] = {(0, 0): ()}
+    seen: set[tuple[int, int]] = set()
+    while step:
+        reach: dict[tuple[int, int], tuple[int, ...]] = {}
+        for (i, j), at in step.items():
+            while (i, j) not in seen and (i, j) not in reach:
+                reach[i, j] = at
+                if i < len(printed) and j < len(read) and printed[i] == read[j]:
+                    i, j = i + 1, j + 1
+        if (len(printed), len(read)) in reach:
+            return reach[len(printed), len(read)] or None
+        seen.update(reach)
+        step = {}
+        for (i, j), at in reach.items():
+            for a, b in _BY_FIRST.get(printed[i : i + 1], ()):
+                if printed.startswith(a, i) and read.startswith(b, j):
+                    step.setdefault((i + len(a), j + len(b)), (*at, j))
+    return None
 
 
 _PAGE = regex.compile(PAGE)

@@ -24,7 +24,7 @@ BALANCE = 4.0
 
 _WORD = re.compile(r"[^ \t\r\n]+")
 _HEADING = re.compile(r"(?:[A-ZÁÉÍÓÚÑÜÀÈÒÏÇ0-9 .,\-—:/()·]{4,80}|#{1,6} .*|\d+(?:\.\d+)*\.? [^\n]{1,78}|(?:CLÁUSULA|ARTÍCULO|CAPÍTULO|Art\.).{0,74})(?=\n|$)")
-_OUT = "piece_index int, text string, n_words int, n_chars int, char_start int, char_end int"
+_OUT = "piece_index int, text string, n_words int, n_chars int, char_start int, char_end int, n_shared int"
 
 
 def word_count(c: Column) -> Column:
@@ -73,13 +73,14 @@ def _price(text: str, end: int, start: int, continued: bool) -> float:
     return PENALTY["line"] if len(gap) > 64 else PENALTY["word"]
 
 
-def split_text(text: str, max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS, overlap: int = OVERLAP_WORDS) -> list[tuple[int, int, int]]:
+def split_text(text: str, max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS, overlap: int = OVERLAP_WORDS, overlap_chars: int = OVERLAP_CHARS_PER_WORD) -> list[tuple[int, int, int]]:
     """(start, end, words) of the pieces of a text, the cheapest by dynamic programming.
 
     A boundary is the gap before a unit. The natural ones always count; in a stretch without any that
     would not fit into a piece, each gap between words, and at last each cut inside a word, counts too.
     cost[b] = min over a of cost[a] + price of the cut at b + size imbalance of the piece from a to b,
-    where the piece reaches back before a by the shared words.
+    where the piece reaches back before a by the shared words, by as many as leave room for the stretch
+    up to the next boundary (a wide gap between two words may take that room). So there is always a way.
     """
     cap = max(1, min(max_chars // 8, max_chars))
     starts, ends, inside = _units(text, cap)
@@ -88,7 +89,7 @@ def split_text(text: str, max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS
         return [(0, 0, 0)]
     overlap = max(0, min(overlap, max_words - 1))
     s, e = np.array(starts), np.array(ends)
-    share_chars = min(overlap * OVERLAP_CHARS_PER_WORD, max_chars // 2)
+    share_chars = min(overlap * overlap_chars, max_chars // 2)
 
     def back(b: int) -> int:
         """First unit of the part that the piece starting at boundary b shares with the one before."""
@@ -107,8 +108,10 @@ def split_text(text: str, max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS
             bounds.extend(range(a + 1, b))
     bounds.append(n)
     m = len(bounds)
-    first = np.array([back(b) for b in bounds])
     at = np.array(bounds)
+    room = np.searchsorted(s, e[at[1:] - 1] - max_chars)
+    first = np.array([back(b) for b in bounds])
+    first[:-1] = np.minimum(np.maximum(first[:-1], np.maximum(room, at[1:] - max_words)), at[:-1])
     total_words = n + overlap * max(0, n // max(1, room_words))
     shared = min(share_chars, overlap * (ends[-1] - starts[0]) / n)
     parts = max(1, -(-total_words // max_words), int(-(-(ends[-1] - starts[0] - shared) // (max_chars - shared))))
@@ -129,8 +132,8 @@ def split_text(text: str, max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS
         k = int(np.argmin(c))
         if np.isfinite(c[k]):
             cost[j], prev[j] = c[k] + price[b], low + k
-    if not np.isfinite(cost[-1]):  # an overlap that leaves no way through: cut without one
-        return split_text(text, max_words, max_chars, 0) if overlap else [(starts[0], ends[-1], n)]
+    if not np.isfinite(cost[-1]):
+        raise ValueError("no way to cut the text")  # each stretch between boundaries fits, so this cannot be
     cuts = [m - 1]
     while cuts[-1] > 0:
         cuts.append(int(prev[cuts[-1]]))
@@ -144,13 +147,14 @@ def split_text(text: str, max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS
 
 def split_items(
     df: DataFrame, id_col: str, text_col: str, section_col: str | None = None,
-    max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS, overlap: int = OVERLAP_WORDS, only_oversized: bool = False,
+    max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS, overlap: int = OVERLAP_WORDS, only_oversized: bool = False, overlap_chars: int = OVERLAP_CHARS_PER_WORD,
 ) -> DataFrame:
-    """Pieces of the items of df: (item_id, section, piece_index, text, n_words, n_chars, char_start, char_end).
+    """Pieces of the items of df: (item_id, section, piece_index, text, n_words, n_chars, char_start, char_end, n_shared).
 
     Every piece has at most max_words words and max_chars characters. Consecutive pieces share `overlap`
-    words (fewer where the shared words would pass 20 characters a word on average, as in blocks without
-    breaks). An item within the limits is its own single piece, unless only_oversized. Null text or null
+    words (fewer where the shared words would pass overlap_chars characters a word on average, as in
+    blocks without breaks). n_shared is how many words, cut ones included, a piece has in common with
+    the one before it; a joint that fell short has an n_shared below `overlap`. An item within the limits is its own single piece, unless only_oversized. Null text or null
     id: no piece / the id stays null. An oversized text without a word gives one empty piece. Rows that
     repeat an id are cut separately. Other columns of df are dropped, so their names cannot clash.
     """
@@ -163,14 +167,16 @@ def split_items(
         for p in batches:
             rows = []
             for i, sec, t in zip(p["item_id"], p["section"], p["text"]):
-                for k, (a, b, n) in enumerate(split_text(t, max_words, max_chars, overlap)):
-                    rows.append((i, sec, k, t[a:b], n, b - a, a, b))
-            yield pd.DataFrame(rows, columns=["item_id", "section", "piece_index", "text", "n_words", "n_chars", "char_start", "char_end"])
+                last = 0
+                for k, (a, b, n) in enumerate(split_text(t, max_words, max_chars, overlap, overlap_chars)):
+                    rows.append((i, sec, k, t[a:b], n, b - a, a, b, len(_WORD.findall(t, a, last)) if a < last else 0))
+                    last = b
+            yield pd.DataFrame(rows, columns=["item_id", "section", "piece_index", "text", "n_words", "n_chars", "char_start", "char_end", "n_shared"])
 
     pieces = spread(items.filter(big)).mapInPandas(cut, f"item_id string, section string, {_OUT}")
     if only_oversized:
         return pieces
     whole = items.filter(F.col("text").isNotNull() & ~big).select(
         "item_id", "section", F.lit(0).alias("piece_index"), "text", word_count(F.col("text")).cast("int").alias("n_words"),
-        F.char_length("text").alias("n_chars"), F.lit(0).alias("char_start"), F.char_length("text").alias("char_end"))
+        F.char_length("text").alias("n_chars"), F.lit(0).alias("char_start"), F.char_length("text").alias("char_end"), F.lit(0).alias("n_shared"))
     return whole.unionByName(pieces)

@@ -91,3 +91,11 @@ def test_changes():
     assert S.changes("casa", "casa") is None and S.changes("casa", "cosa") is None
     for a, b in S.CONFUSED:
         assert S.skeleton(a) == S.skeleton(b) or b in "zq", (a, b)
+
+
+def test_any_number_of_confusions():
+    from legajo.llm.scans import changes
+
+    assert changes("mínimamente", "mínimamente") is None
+    assert len(changes("mammamia", "rnarnrnarnia")) == 4
+    assert changes("casa", "mesa") is None

@@ -50,3 +50,16 @@ def test_frame(spark):
     assert len(by["d"]) == 1 and by["d"][0]["n_words"] == 0
     assert {r["item_id"] for r in S.split_items(df, "id", "text", only_oversized=True).collect()} == {"a", "d", None}
     assert S.split_items(df.limit(0), "id", "text").count() == 0
+
+
+def test_wide_gaps_and_shared_words(spark):
+    wide = ("palabra " * 300 + "\n" + " " * 3900 + "\n" + "otra " * 300).strip()
+    cut = S.split_text(wide)
+    assert all(b - a <= S.MAX_CHARS and n <= S.MAX_WORDS for a, b, n in cut)
+    assert cut[0][0] == 0 and cut[-1][1] == len(wide)
+    df = spark.createDataFrame([("a", "palabra " * 2000), ("b", ("x" * 100 + " ") * 200)], "id string, text string")
+    rows = S.split_items(df, "id", "text").collect()
+    assert {r["n_shared"] for r in rows if r["item_id"] == "a" and r["piece_index"]} == {S.OVERLAP_WORDS}
+    assert all(r["n_shared"] < S.OVERLAP_WORDS for r in rows if r["item_id"] == "b")
+    more = S.split_items(df, "id", "text", overlap=10, overlap_chars=101).collect()
+    assert {r["n_shared"] for r in more if r["item_id"] == "b" and r["piece_index"]} == {10}
