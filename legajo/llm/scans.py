@@ -118,7 +118,7 @@ _NUMBER = re.compile(r"(?<![^\W\d_])\d+(?![^\W\d_])")
 
 def mask(line: str) -> str:
     """The form of a line: file codes and numbers masked, letters as glyph skeleton, so that a running line keeps it from page to page, file to file and reading to reading."""
-    return skeleton(_NUMBER.sub("#", _FILE_CODE.sub("code", line)).lower())
+    return skeleton((_NUMBER.sub("#", _FILE_CODE.sub("code", line)) if _DIGITS.search(line) else line).lower())
 
 
 def mark(text: str, forms: Counter | None = None) -> tuple[list[str], list[bool], list[str | None], bool] | None:
@@ -131,7 +131,8 @@ def mark(text: str, forms: Counter | None = None) -> tuple[list[str], list[bool]
     """
     lines = text.split("\n")
     ts = [x.strip(" \t\r") for x in lines]
-    page = [len(t) < 70 and any(c.isdigit() for c in t) and _PAGE.fullmatch(t) is not None for t in ts]
+    keys = [x.strip(" \t\r") for x in _DIGITS.sub("#", text).split("\n")]
+    page = [len(t) < 70 and t != key and _PAGE.fullmatch(t) is not None for t, key in zip(ts, keys)]
     if not any(page):
         bare = [(i, int(t)) for i, t in enumerate(ts) if len(t) < 5 and t.isascii() and t.isdigit() and not (i and ts[i - 1].endswith(":"))]
         for (i, v), (j, w) in zip(bare, bare[1:]):
@@ -141,7 +142,7 @@ def mark(text: str, forms: Counter | None = None) -> tuple[list[str], list[bool]
     places: dict[str, list[int]] = {}
     for k, i in enumerate(full):
         if len(ts[i]) < SHORT:
-            places.setdefault(_DIGITS.sub("#", ts[i]), []).append(k)
+            places.setdefault(keys[i], []).append(k)
     own, hint = page, False
     for key, at in places.items():
         if len(at) < 2 or not any(c.isalpha() for c in key):
@@ -319,8 +320,12 @@ def misread_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
     total = vocab.filter("kind in ('w', 's')").agg(size("w"), size("s"))  # one row
     shape = lambda w: sql_skeleton(F.col(w))
     # A word's own weight is the number of different lines that hold it, so that copies of a scan don't make its errors frequent.
-    own = words.select("word", "ctx").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("own"))
-    suspects = own.join(clean, "word", "left").crossJoin(F.broadcast(total)).filter(F.col("held").isNull() | (F.col("own") * F.col("w") >= SCAN_TYPICAL * F.col("held") * F.col("s"))).withColumn("bones", shape("word"))
+    # No word has more of them than places, so its places tell first which words are worth counting lines for.
+    typical = lambda times: F.col("held").isNull() | (F.col(times) * F.col("w") >= SCAN_TYPICAL * F.col("held") * F.col("s"))
+    places = words.groupBy("word").agg(F.count(F.lit(1)).alias("places"))
+    maybe = materialize(places.join(clean, "word", "left").crossJoin(F.broadcast(total)).filter(typical("places")), "suspects")
+    own = words.join(maybe.select("word"), "word", "left_semi").select("word", "ctx").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("own"))
+    suspects = own.join(maybe, "word").filter(typical("own")).withColumn("bones", shape("word"))
     both = vocab.filter("kind in ('w', 's') and char_length(word) > 1 and word rlike '(?U)^\\\\p{Ll}+$'").groupBy("word").agg(F.sum("n").alias("n"))
     forms = both.filter("n > 1").select(F.col("word").alias("printed"), "n", shape("word").alias("bones"))
 
