@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from legajo.functions.text import bind, fold
 from legajo.session import materialize, ship
@@ -65,6 +67,24 @@ def both_ways(e: DataFrame) -> DataFrame:
     return e.select("src", "dst", "weight").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
+def alike_names(n: DataFrame, name: str, over: float = 0.6) -> DataFrame:
+    """Nodes with score: 1 and a hundredth of the mentions where the key holds the folded name, else the Ratcliff-Obershelp ratio of the two where it is above `over`.
+
+    The ratio is at most twice the shorter length by both lengths, so keys of other lengths never reach Python.
+    """
+    ship(n.sparkSession)
+
+    def compare(name: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, q, k).ratio() for q, k in zip(name, key)], dtype=float)
+
+    ratio = F.pandas_udf(compare, DoubleType())
+    q = n.withColumn("asked", fold(F.trim(F.lit(name))))
+    held = F.contains("key", F.col("asked"))
+    a, b = F.char_length("asked"), F.char_length("key")
+    near = q.filter(~held & (2 * F.least(a, b) > over * (a + b))).withColumn("score", ratio("asked", "key")).filter(F.col("score") > over)
+    return q.filter(held).withColumn("score", 1 + 0.01 * F.col("mentions")).unionByName(near).drop("asked")
+
+
 def degrees(e: DataFrame) -> DataFrame:
     return both_ways(e).groupBy("src").agg(F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("strength")).withColumnRenamed("src", "key")
 

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from legajo.session import materialize, ship
 
-#: Query vectors that one block holds; more are searched in several blocks.
-BLOCK = 4096
+#: Query vectors that one block holds (one scan of the rows each), and that are multiplied at a time.
+BLOCK = 32_768
+AT_ONCE = 4096
 #: Vectors that are sent to every task at a time when all pairs are compared.
 SENT = 32_768
 #: Hyperplanes, tables and the Hamming radius of the search index.
@@ -51,11 +52,12 @@ def block_search(df: DataFrame, id_col: str, vec_col: str, queries: DataFrame, k
             ids, q = shipped.value
             best: list[pd.DataFrame] = []
             for p in batches:
-                s = q @ _unit(np.vstack(p["v"].to_numpy()).astype(np.float64)).T
-                own = p["id"].to_numpy()
-                order = np.lexsort((np.broadcast_to(own, s.shape), -np.round(s, 9)), axis=1)[:, : k + 1]
-                best.append(pd.DataFrame({"query": np.repeat(ids, order.shape[1]), "id": own[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()}))
-                if len(best) > 8:
+                u, own = _unit(np.vstack(p["v"].to_numpy()).astype(np.float64)), p["id"].to_numpy()
+                for x in range(0, len(ids), AT_ONCE):
+                    s = q[x : x + AT_ONCE] @ u.T
+                    order = np.lexsort((np.broadcast_to(own, s.shape), -np.round(s, 9)), axis=1)[:, : k + 1]
+                    best.append(pd.DataFrame({"query": np.repeat(ids[x : x + AT_ONCE], order.shape[1]), "id": own[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()}))
+                if len(best) > 8 * -(-len(ids) // AT_ONCE):
                     best = [_keep(pd.concat(best), k + 1)]
             if best:
                 yield _keep(pd.concat(best), k + 1)

@@ -124,14 +124,13 @@ def entity_profiles(spark: SparkSession, d: str) -> DataFrame:
     return n.join(top, n.key == top.src, "left").select("key", "mentions", "n_docs", F.coalesce(F.array_join("r.t", "; "), F.lit("")).alias("related"))
 
 
-@query(f"""with {_MENTIONS}, {_EDGES}, s as (select a.key as src, b.key as dst, string_agg(a.doc_id, ' ' order by a.doc_id) as docs from dk a join dk b on a.doc_id = b.doc_id and a.key < b.key group by 1, 2)
-       select s.src, s.dst, docs from s join e using (src, dst) where weight between 2 and 50""")
+@query(f"""with {_MENTIONS}, {_EDGES}, s as (select a.key as src, b.key as dst, a.doc_id from dk a join dk b on a.doc_id = b.doc_id and a.key < b.key)
+       select src, dst, doc_id, weight from s join e using (src, dst)""")
 def shared_documents(spark: SparkSession, d: str) -> DataFrame:
-    """The documents that two entities share, for pairs with two to fifty of them."""
+    """The documents that two entities share, a row each, with the number of them; every pair, however many."""
     k = G.mentions(read(spark, d, "documents_x")).select("doc_id", "key").distinct()
     pairs = k.select("doc_id", F.col("key").alias("src")).join(k.select("doc_id", F.col("key").alias("dst")), "doc_id").filter("src < dst")
-    few = pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).filter("n between 2 and 50").select("src", "dst")
-    return pairs.join(few, ["src", "dst"]).groupBy("src", "dst").agg(F.array_join(F.array_sort(F.collect_list("doc_id")), " ").alias("docs"))
+    return pairs.join(pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight")), ["src", "dst"])
 
 
 @query(f"with {_MENTIONS}, dk as (select distinct doc_id, key from m) select a.key as src, b.key as dst, a.doc_id from dk a join dk b on a.doc_id = b.doc_id and a.key < b.key")

@@ -96,11 +96,8 @@ class Engine:
         return graph.nodes(self._mentions()).orderBy(F.desc("mentions"), "key").limit(top_k)
 
     def find_entity(self, name: str, top_k: int = 10) -> DataFrame:
-        """Entities whose key holds the folded name, the most mentioned first; else those within a third of its letters by edit distance."""
-        key = T.fold(F.lit(name))
-        n = graph.nodes(self._mentions())
-        score = F.when(F.contains("key", key), 1 + 0.01 * F.col("mentions")).otherwise(1 - F.levenshtein("key", key) / F.greatest(F.char_length("key"), F.char_length(key)))
-        return n.withColumn("score", score).filter("score > 0.6").orderBy(F.desc("score"), "key").limit(top_k)
+        """Entities whose key holds the folded name, the most mentioned first; then those alike, see alike_names()."""
+        return graph.alike_names(graph.nodes(self._mentions()), name).orderBy(F.desc("score"), "key").limit(top_k)
 
     def entity(self, name: str) -> DataFrame:
         """One entity with its eight strongest neighbours."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from legajo.operators import graph as G
@@ -71,9 +71,28 @@ def graph_distances(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def graph_communities(spark: SparkSession, d: str) -> DataFrame:
-    """(community, members, strength): communities by label propagation over the whole graph."""
-    e = _edges(spark, d)
-    return G.label_communities(e).join(G.degrees(e), "key").groupBy("community").agg(F.count(F.lit(1)).alias("members"), F.sum("strength").alias("strength"))
+    """(community, label, members, strength): communities by label propagation over the whole graph, each named after its most mentioned member."""
+    m = materialize(_mentions(spark, d), "mentions")
+    e = materialize(G.edges(m), "edges")
+    by = G.label_communities(e).join(G.degrees(e), "key").join(G.nodes(m), "key").groupBy("community")
+    return by.agg(F.min_by("name", F.struct((-F.col("mentions")).alias("m"), "key")).alias("label"), F.count(F.lit(1)).alias("members"), F.sum("strength").alias("strength"))
+
+
+@query()
+def community_members(spark: SparkSession, d: str) -> DataFrame:
+    """(community, key, mentions, place): the members of each community, a row each, the most mentioned first."""
+    m = materialize(_mentions(spark, d), "mentions")
+    place = F.row_number().over(Window.partitionBy("community").orderBy(F.desc("mentions"), "key"))
+    return G.label_communities(G.edges(m)).join(G.nodes(m), "key").select("community", "key", "mentions", place.cast("long").alias("place"))
+
+
+@query()
+def top_brokers(spark: SparkSession, d: str) -> DataFrame:
+    """(key, name, betweenness, mentions, n_docs, rank): the twenty entities that join most others, those alone that join any."""
+    m = materialize(_mentions(spark, d), "mentions")
+    best = G.all_betweenness(G.edges(m)).orderBy(F.desc(F.round("betweenness", 9)), "key").limit(20).filter("betweenness > 0")
+    rank = F.row_number().over(Window.orderBy(F.desc(F.round("betweenness", 9)), "key"))  # twenty rows
+    return best.join(G.nodes(m), "key").select("key", "name", "betweenness", "mentions", "n_docs", rank.cast("long").alias("rank"))
 
 
 @query()

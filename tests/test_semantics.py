@@ -77,3 +77,29 @@ def test_queries_and_lists(spark):
     assert one(spark, T.query_words, "el Informe de la Planta según") == ["Informe", "Planta"] and one(spark, T.query_words, "de la") == []
     assert [one(spark, T.looks_like_name, q) for q in ("Ana López", "ANA LÓPEZ", "Aurora", "Qué Informe", "Ana López Ruiz Gil Mas", "ana López")] == [True, False, False, False, False, False]
     assert one(spark, T.split_list, " a, b ,,c ") == ["a", "b", "c"] and one(spark, T.split_list, None) == []
+
+
+def test_alike_names(spark):
+    from difflib import SequenceMatcher
+
+    from legajo.operators.graph import alike_names
+
+    keys = ["marta soler", "marta solé", "marina soler vidal", "soler", "m. soler", "pere puig", "x" * 200, "grupo marta soler sl"]
+    n = spark.createDataFrame([(k, 3) for k in keys], "key string, mentions int")
+    got = {r["key"]: round(r["score"], 9) for r in alike_names(n, " Marta SOLER ").collect()}
+    ratio = lambda k: SequenceMatcher(None, "marta soler", k).ratio()
+    assert got == {k: 1.03 if "marta soler" in k else round(ratio(k), 9) for k in keys if "marta soler" in k or ratio(k) > 0.6}
+    assert alike_names(n.limit(0), "x").count() == 0
+
+
+def test_search_in_parts(spark, monkeypatch):
+    import numpy as np
+
+    from legajo.operators import vectors
+
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(3).standard_normal((300, 8)))]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    whole = sorted(map(tuple, vectors.block_search(df, "id", "v", df.filter("id % 5 = 0"), 4).select("query", "id", "rank").collect()))
+    monkeypatch.setattr(vectors, "AT_ONCE", 7)
+    parts = sorted(map(tuple, vectors.block_search(df, "id", "v", df.filter("id % 5 = 0"), 4, block=23).select("query", "id", "rank").collect()))
+    assert whole == parts and len(whole) == 240
