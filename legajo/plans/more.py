@@ -142,6 +142,28 @@ def cluster_keywords(spark: SparkSession, d: str) -> DataFrame:
     return clusters.cluster_words(read(spark, d, "documents_x"), "doc_type", "title", "keywords")
 
 
+_NICE = "array_to_string(list_transform(string_split(replace(v, '_', ' '), ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ')"
+
+
+@query(f"""with g as (select unnest(['type ' || doc_type, 'category ' || category, 'language ' || language, 'letter ' || doc_id[1]]) as grp, coalesce(doc_type, 'documento') as t, category as c, title, keywords from documents_x),
+       d as (select * from g where grp is not null), s as (select grp, count(*) as docs from d group by grp),
+       cs as (select grp, c as v, count(*) as n from d where c not in ('', 'General') group by all), ts as (select grp, t as v, count(*) as n from d where t <> 'documento' group by all),
+       wd as (select grp, v, count(*) as n from (select grp, unnest(list_distinct(regexp_extract_all(lower(title), '[a-zà-ÿ]{{3,}}'))) as v from d) group by all),
+       ws as (select wd.grp, v, n from wd join s using (grp) where n >= greatest(2, 0.4 * docs) and v not in {clusters.LABEL_STOP}),
+       ks as (select grp, v, count(*) as n from (select grp, trim(lower(k)) as v from (select grp, unnest(keywords) as k from d)) where v <> '' group by all),
+       c as (select grp, count(*) as k, arg_min(v, (-n, v)) as v, (list(v order by v))[:2] as names from cs group by grp),
+       t as (select grp, count(*) as k, (list({_NICE} order by n desc, v))[:2] as vs from ts group by grp),
+       w as (select grp, (list({_NICE} order by n desc, v))[:3] as vs from ws group by grp), kw as (select grp, (list({_NICE} order by n desc, v))[:2] as vs from ks group by grp)
+       select s.grp, docs, case when c.k = 1 then c.v || case when t.k = 1 then ' — ' || t.vs[1] else '' end when t.k > 0 then coalesce(c.v || ' — ', '') || array_to_string(t.vs, ' y ')
+           when len(w.vs) > 0 then array_to_string(w.vs, ' · ') when c.k > 0 then array_to_string(c.names, ' / ') when len(kw.vs) > 0 then array_to_string(kw.vs, ' · ') else 'Documentos varios' end as label
+       from s left join c using (grp) left join t using (grp) left join w using (grp) left join kw using (grp)""")
+def cluster_labels(spark: SparkSession, d: str) -> DataFrame:
+    """A name for each type, category, language and first letter of the identifier."""
+    name = lambda kind, c: F.concat(F.lit(f"{kind} "), c)
+    groups = F.array(name("type", F.col("doc_type")), name("category", F.col("category")), name("language", F.col("language")), name("letter", F.substring("doc_id", 1, 1)))
+    return clusters.group_labels(read(spark, d, "documents_x").withColumn("grp", F.explode(groups)), "grp")
+
+
 @query()
 def vector_clusters(spark: SparkSession, d: str) -> DataFrame:
     c = clusters.two_levels(read(spark, d, "embeddings"), "vec_id", "embedding")

@@ -103,3 +103,18 @@ def test_search_in_parts(spark, monkeypatch):
     monkeypatch.setattr(vectors, "AT_ONCE", 7)
     parts = sorted(map(tuple, vectors.block_search(df, "id", "v", df.filter("id % 5 = 0"), 4, block=23).select("query", "id", "rank").collect()))
     assert whole == parts and len(whole) == 240
+
+
+def test_group_labels(spark):
+    from legajo.operators.clusters import group_labels
+
+    rows = [
+        ("a", None, "General", "Plan de obra norte", ["x"]), ("a", "documento", "", "Obra del plan", []), ("a", "documento", None, "otra cosa", None),
+        ("b", "documento", "Ventas", "uno", []), ("b", "documento", "Compras", "dos", []),
+        ("c", "documento", None, None, ["riesgo", " Riesgo ", "acero"]), ("d", None, None, None, None),
+        ("e", "acta_reunion", "Obras", "t", []), ("e", "documento", "Obras", "t", []), ("f", "acta_reunion", None, "t", []), (None, "email", "Obras", "t", []),
+    ]
+    df = spark.createDataFrame(rows, "g string, doc_type string, category string, title string, keywords array<string>")
+    got = {r["grp"]: r["label"] for r in group_labels(df, "g").collect()}
+    assert got == {"a": "Obra · Plan", "b": "Compras / Ventas", "c": "Riesgo · Acero", "d": "Documentos varios", "e": "Obras — Acta Reunion", "f": "Acta Reunion"}
+    assert group_labels(df.limit(0), "g").count() == 0
