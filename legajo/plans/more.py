@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from legajo.functions import text as T
-from legajo.operators import clusters, fusion, lexical, passes, vectors
+from legajo.operators import blocks, clusters, fusion, lexical, passes, vectors
 from legajo.plans import search as S
 from legajo.plans.registry import query
 from legajo.plans.texts import sql_fold
@@ -92,6 +92,19 @@ def chunk_hits(spark: SparkSession, d: str) -> DataFrame:
     return hits.withColumn("rank", rank.cast("long"))
 
 
+def chunk_best(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """(query, chunk_id, doc_id, matched, in_title, rank): the first k of chunk_hits for each query, found without a row for every hit."""
+    _, q, _, _ = S.asking_documents(spark, d)
+    terms = F.array_distinct(F.regexp_extract_all(T.fold(F.col("text")), F.lit(r"(\w+(?:\.?\w+)*)"), F.lit(1)))
+    table = read(spark, d, "chunks")
+    c = table.select(F.col("chunk_id").alias("id"), "doc_id", F.explode(F.array(F.struct(terms.alias("terms"), T.fold(F.coalesce("title", F.lit(""))).alias("title")))).alias("x")).filter("x.terms is not null")
+    c = c.select("id", "doc_id", "x.terms", F.filter("x.terms", lambda t: F.contains("x.title", t)).alias("named"))
+    level = F.col("key").cast("long")
+    c = blocks.merged(c, table.select("chunk_id"))
+    return blocks.best(c, q, blocks.by_levels, k, ("doc_id",)).select(
+        "query", F.col("id").alias("chunk_id"), "doc_id", F.shiftright(level, 1).alias("matched"), (level % 2 == 1).alias("in_title"), "rank")
+
+
 @query(f"with {_CHUNK_HITS}, d as (select *, row_number() over (partition by query, doc_id order by rank) as rn from cr) select query, chunk_id, doc_id, matched, in_title, rank from d where rn <= 3 and rank <= 50")
 def chunks_per_document(spark: SparkSession, d: str) -> DataFrame:
     """The best 50 chunks of each query, at most three of a document."""
@@ -117,7 +130,7 @@ def facets(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {_CHUNK_HITS} select query, doc_id, count(*) as n_chunks, max(matched) as best, min(rank) as first_rank, string_agg(chunk_id, ' ' order by rank) as chunk_ids from cr where rank <= 50 group by query, doc_id""")
 def grouped_results(spark: SparkSession, d: str) -> DataFrame:
     """The best 50 chunks of each query, by document."""
-    top = chunk_hits(spark, d).filter("rank <= 50")
+    top = chunk_best(spark, d, 50)
     ids = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]), " ")  # 50 at most
     return top.groupBy("query", "doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.max("matched").alias("best"), F.min("rank").alias("first_rank"), ids.alias("chunk_ids"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from legajo.functions import text as T
-from legajo.operators import fusion, lexical, passes, vectors
+from legajo.operators import blocks, fusion, lexical, passes, vectors
 from legajo.plans.registry import query
 from legajo.plans.texts import sql_fold
 from legajo.session import materialize, read, spread
@@ -31,6 +31,24 @@ def document_postings(spark: SparkSession, d: str) -> DataFrame:
     return materialize(lexical.postings(docs, "doc_id", T.analyzed(F.col("f"))), "postings")
 
 
+def asking_documents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int, float]:
+    """(documents (id, terms), queries (query, term, df), number of documents, mean length), for rankings that need no postings of all documents.
+
+    Terms are counted as they are read; only the asking documents have postings.
+    """
+    table = read(spark, d, "documents")
+    docs = spread(table.select("doc_id", "text")).select(F.col("doc_id").alias("id"), F.explode(F.array(T.analyzed(T.fold(F.col("text"))))).alias("terms")).filter("size(terms) > 0")
+    docs = blocks.merged(docs, table.select("doc_id"))
+    once = docs.select("id", F.size("terms").alias("len"), F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit("")))).alias("term"))  # the empty term counts documents
+    counts = materialize(once.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("len").alias("len")), "terms")
+    every = counts.filter("term = ''").first()
+    if every is None:
+        return docs, spark.createDataFrame([], "query long, term string, df long"), 0, 0.0
+    df = counts.select("term", "df").filter("term != ''")
+    q = lexical.query_terms(lexical.postings(docs.filter("id % 50 = 0"), "id", F.col("terms")), df=df, total=counts.filter("term = ''").select(F.col("df").alias("n")))
+    return docs, materialize(q.join(df, "term").select("query", "term", "df"), "asking"), every["df"], every["len"] / every["df"]
+
+
 def lexical_hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(scored hits, queries): every document whose id is divisible by 50 asks with its three most telling terms, against all documents."""
     post = document_postings(spark, d)
