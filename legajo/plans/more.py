@@ -108,7 +108,7 @@ def chunk_best(spark: SparkSession, d: str, k: int) -> DataFrame:
 @query(f"with {_CHUNK_HITS}, d as (select *, row_number() over (partition by query, doc_id order by rank) as rn from cr) select query, chunk_id, doc_id, matched, in_title, rank from d where rn <= 3 and rank <= 50")
 def chunks_per_document(spark: SparkSession, d: str) -> DataFrame:
     """The best 50 chunks of each query, at most three of a document."""
-    return fusion.per_document(chunk_hits(spark, d).filter("rank <= 50"), "doc_id", 3).select("query", "chunk_id", "doc_id", "matched", "in_title", "rank")
+    return fusion.per_document(chunk_best(spark, d, 50), "doc_id", 3).select("query", "chunk_id", "doc_id", "matched", "in_title", "rank")
 
 
 _SINGLE, _MANY, _DATED = {"doc_type": 20, "language": 10}, {"persons": 20, "organizations": 20, "keywords": 15}, {"dates": 20}

@@ -50,5 +50,9 @@ def same_as_sql(spark, d, name):
     assert moved < 25_000, moved
 
 
+def test_chunks_per_document(spark, tables):
+    same_as_sql(spark, tables, "chunks_per_document")
+
+
 def test_grouped_results(spark, tables):
     same_as_sql(spark, tables, "grouped_results")
