@@ -66,12 +66,9 @@ def numeric_pass(spark: SparkSession, d: str) -> DataFrame:
        r as (select *, row_number() over (partition by query order by pass_no, neg, id) as rank from u) select query, id, pass_no::bigint as pass_no, rank from r where rank <= 20""")
 def lexical_passes(spark: SparkSession, d: str) -> DataFrame:
     """Rows with all terms first, then rows with some of them, 20 a query."""
-    post = S.document_postings(spark, d)
-    q = lexical.query_terms(post)
-    some = materialize(lexical.bm25(post, q), "some")
-    size = q.groupBy("query").agg(F.count(F.lit(1)).alias("size"))
-    every = some.join(size, "query").filter("matched = size")
-    return passes.in_order([every, some], 20)
+    docs, q, n_docs, mean_len = S.asking_documents(spark, d)
+    hits = blocks.best(docs, q, blocks.by_bm25(n_docs, mean_len), 20)
+    return hits.select("query", "id", F.when(F.col("key") >= blocks.EVERY, 0).otherwise(1).cast("long").alias("pass_no"), "rank")
 
 
 _CHUNK_HITS = f"""{S._POST}, {S._QUERIES},

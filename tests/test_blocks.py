@@ -54,5 +54,9 @@ def test_chunks_per_document(spark, tables):
     same_as_sql(spark, tables, "chunks_per_document")
 
 
+def test_lexical_passes(spark, tables):
+    same_as_sql(spark, tables, "lexical_passes")
+
+
 def test_grouped_results(spark, tables):
     same_as_sql(spark, tables, "grouped_results")
