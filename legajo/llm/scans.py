@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,6 +42,13 @@ FORM_TEXTS = 3
 CUTS = 0.05
 RUNS_ON = 0.75
 
+#: Words are counted over the texts of a task up to so many different ones or characters of text, then handed on.
+HELD_WORDS = 200_000
+HELD_CHARS = 64 << 20
+#: Forms of words kept by a Python worker, and the longest of these words.
+KEPT = 1 << 17
+KEPT_CHARS = 40
+
 _EDGE = ".,;:()[]{}\"'!?¿¡«»“”<>|*=_…"
 _CODE = re.compile(r"^\S+@\S+\.\S+$|^\W*\d[\d.,/:\-%€]*\W*$|^https?:|^www\.")
 _PART = re.compile(r"[^\-‐¬\xad/'’·&+()\[\]<>«».,;:\"!?¿¡]+")
@@ -55,6 +63,24 @@ def skeleton(word: str) -> str:
     return word.translate(_SKELETON)
 
 
+class _Kept(dict):
+    """What a function gives for a word, made once for words that come again."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, word: str):
+        found = self.make(word)
+        if len(word) <= KEPT_CHARS:
+            if len(self) >= KEPT:
+                self.clear()
+            self[word] = found
+        return found
+
+
+_bones = _Kept(skeleton).__getitem__
+
+
 def sql_skeleton(c: Column) -> Column:
     """skeleton() inside the JVM."""
     one = {k: v for k, v in ((chr(k), v) for k, v in _SKELETON.items()) if len(v) == 1}
@@ -100,6 +126,7 @@ def changes(printed: str, read: str) -> tuple[int, ...] | None:
 
 
 _PAGE = regex.compile(PAGE)
+_PAGE_FIRST = "P-–—[·HF"  # what PAGE begins with, but for digits and lines with a bar
 _HEADER = regex.compile(HEADER)
 _DIGITS = re.compile(r"\d+")
 _FILE_CODE = re.compile(r"\b[A-Z]{2,4}-\d{2,4}-\d{2,6}\b")
@@ -116,9 +143,21 @@ def _core(token: str) -> str:
 _NUMBER = re.compile(r"(?<![^\W\d_])\d+(?![^\W\d_])")
 
 
+def _masked(text: str) -> str:
+    return (_NUMBER.sub("#", _FILE_CODE.sub("code", text)) if _DIGITS.search(text) else text).lower()
+
+
 def mask(line: str) -> str:
     """The form of a line: file codes and numbers masked, letters as glyph skeleton, so that a running line keeps it from page to page, file to file and reading to reading."""
-    return skeleton((_NUMBER.sub("#", _FILE_CODE.sub("code", line)) if _DIGITS.search(line) else line).lower())
+    return " ".join(map(_bones, _masked(line).split(" ")))
+
+
+def _stripped(text: str) -> list[str]:
+    """The lines of a text without spaces, tabs and CR at their ends."""
+    lines = text.split("\n")
+    if "\t" in text or "\r" in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
+        return [x.strip(" \t\r") for x in lines]
+    return lines
 
 
 def mark(text: str, forms: Counter | None = None) -> tuple[list[str], list[bool], list[str | None], bool] | None:
@@ -129,24 +168,32 @@ def mark(text: str, forms: Counter | None = None) -> tuple[list[str], list[bool]
     forms counts the repeated forms: ('mt', form) texts, 'mo' places, 'mc' places inside a sentence, 'mn' places
     continued in small letters, 'mh' texts where it has a header's shape.
     """
-    lines = text.split("\n")
-    ts = [x.strip(" \t\r") for x in lines]
-    keys = [x.strip(" \t\r") for x in _DIGITS.sub("#", text).split("\n")]
-    page = [len(t) < 70 and t != key and _PAGE.fullmatch(t) is not None for t, key in zip(ts, keys)]
-    if not any(page):
-        bare = [(i, int(t)) for i, t in enumerate(ts) if len(t) < 5 and t.isascii() and t.isdigit() and not (i and ts[i - 1].endswith(":"))]
-        for (i, v), (j, w) in zip(bare, bare[1:]):
-            if w == v + 1:
-                page[i] = page[j] = True
+    ts = _stripped(text)
     full = [i for i, t in enumerate(ts) if t]
+    # Only short lines can be furniture, so digits are masked in these alone.
+    short = [i for i in full if len(ts[i]) < SHORT]
+    line = "\n".join([ts[i] for i in short])
+    masked = _DIGITS.sub("#", line)
+    keys = dict(zip(short, masked.split("\n")))
+    page = [False] * len(ts)
+    if masked != line:
+        for i, key in keys.items():
+            t = ts[i]
+            if len(t) < 70 and t != key and (t[0] in _PAGE_FIRST or t[0].isdecimal() or "|" in t) and _PAGE.fullmatch(t):
+                page[i] = True
+        if True not in page:
+            bare = [(i, int(ts[i])) for i in short if len(ts[i]) < 5 and ts[i].isascii() and ts[i].isdigit() and not (i and ts[i - 1].endswith(":"))]
+            for (i, v), (j, w) in zip(bare, bare[1:]):
+                if w == v + 1:
+                    page[i] = page[j] = True
     places: dict[str, list[int]] = {}
-    for k, i in enumerate(full):
-        if len(ts[i]) < SHORT:
-            places.setdefault(keys[i], []).append(k)
+    if len(set(keys.values())) < len(keys):
+        places = {key: [] for key, n in Counter(keys.values()).items() if n > 1 and any(map(str.isalpha, key))}
+        for k, i in enumerate(full):
+            if i in keys and keys[i] in places:
+                places[keys[i]].append(k)
     own, hint = page, False
-    for key, at in places.items():
-        if len(at) < 2 or not any(c.isalpha() for c in key):
-            continue
+    for at in places.values():
         header = is_header(ts[full[at[0]]])
         same = Counter(ts[full[k]] for k in at)
         if header:
@@ -169,23 +216,32 @@ def mark(text: str, forms: Counter | None = None) -> tuple[list[str], list[bool]
     sure = any(own)
     if not sure and not hint:
         return None
-    return lines, own, [mask(t) if t and len(t) < SHORT and any(map(str.isalpha, t)) else None for t in ts], sure
+    masks: list[str | None] = [None] * len(ts)
+    for i, x in zip(short, _masked(line).split("\n")):
+        if any(map(str.isalpha, ts[i])):
+            masks[i] = " ".join(map(_bones, x.split(" ")))
+    return text.split("\n"), own, masks, sure
 
 
-def _count_words(texts: list[str], scan: bool, out: Counter) -> None:
-    raw: Counter = Counter()
-    for t in texts:
-        raw.update(runs(t))
+def _count_words(raw: Counter, scan: bool, out: Counter) -> None:
+    """Into out: the words of runs of characters and their counts."""
+    small = "s" if scan else "w"
     for token, n in raw.items():
+        w = _core(token)
+        if w.isalpha() and not token.startswith(("http", "www")):  # no code, number or sign inside, as most are
+            if w[0].islower():
+                out[small, w] += n
+            elif w[0].isupper():
+                out["c", w.lower()] += n
+            continue
         if _CODE.match(token):
             continue
-        w = _core(token)
         if "-" in w[1:-1]:
             out["t", w.lower()] += n
         for x in _PART.findall(w):
             if x[0].islower():
-                out["s" if scan else "w", x] += n
-            elif x[0].isupper() and not any(c.isdigit() for c in x):
+                out[small, x] += n
+            elif x[0].isupper() and not any(map(str.isdigit, x)):
                 out["c", x.lower()] += n
 
 
@@ -208,26 +264,48 @@ def read_scans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     corpus knows as furniture, see known_forms().
     """
     text_batches(docs.sparkSession)
-    columns = ["kind", "word", "n", "doc_id", "line_no", "line", "own", "mask", "sure"]
+    schema = pa.schema([("kind", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("doc_id", pa.string()), ("line_no", pa.int32()), ("line", pa.string()), ("own", pa.bool_()), ("mask", pa.string()), ("sure", pa.bool_())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batch(size: int, **columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[c.name], c.type) if c.name in columns else pa.nulls(size, c.type) for c in schema], schema=schema)
+
+    def counted(clean: Counter, scanned: Counter, out: Counter) -> pa.RecordBatch:
+        _count_words(clean, False, out)
+        _count_words(scanned, True, out)
+        found = [(k, w, n) for (k, w), n in out.items() if n]
+        for c in (clean, scanned, out):
+            c.clear()
+        return batch(len(found), **dict(zip(("kind", "word", "n"), map(list, zip(*found))))) if found else batch(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clean, scanned, out, seen = Counter(), Counter(), Counter(), 0
         for p in batches:
-            clean, scanned, rows, out = [], [], [], Counter()
-            for d, t in zip(p["doc_id"], p["text"]):
+            ids, numbers, lines, own, masks, sure = [], [], [], [], [], []
+            for d, t in zip(p["doc_id"].to_pylist(), p["text"].to_pylist()):
                 m = mark(t, out)
-                (scanned if m and m[3] else clean).append(t)
+                (scanned if m and m[3] else clean).update(runs(t))
+                seen += len(t)
                 if m:
-                    rows += [(None, None, 0, d, i + 1, x, f, k, m[3]) for i, (x, f, k) in enumerate(zip(*m[:3]))]
-            _count_words(clean, False, out)
-            _count_words(scanned, True, out)
-            rows += [(k, w, n, None, 0, None, False, None, False) for (k, w), n in out.items() if n]
-            yield pd.DataFrame(rows, columns=columns)
-
-    both = spread(docs.filter("text is not null").select("doc_id", "text")).mapInPandas(
+                    n = len(m[0])
+                    ids += [d] * n
+                    numbers += range(1, n + 1)
+                    lines += m[0]
+                    own += m[1]
+                    masks += m[2]
+                    sure += [m[3]] * n
+            if ids:
+                yield batch(len(ids), doc_id=ids, line_no=numbers, line=lines, own=own, mask=masks, sure=sure)
+            if seen > HELD_CHARS or len(clean) + len(scanned) + len(out) > HELD_WORDS:
+                yield counted(clean, scanned, out)
+                seen = 0
+        yield counted(clean, scanned, out)
+
+    both = spread(docs.filter("text is not null").select("doc_id", "text")).mapInArrow(
         run, "kind string, word string, n long, doc_id string, line_no int, line string, own boolean, mask string, sure boolean")
     both = materialize(both, "scans")
     vocab = materialize(both.filter("kind is not null").groupBy("kind", "word").agg(F.sum("n").alias("n")), "vocabulary")
-    lines = both.filter("kind is null").join(known_forms(vocab).withColumn("known", F.lit(True)), "mask", "left")
+    known = materialize(known_forms(vocab).withColumn("known", F.lit(True)), "forms")  # its size is known then, and most often small enough for every task
+    lines = both.filter("kind is null").join(known, "mask", "left")
     lines = materialize(lines.select("doc_id", "line_no", "line", "sure", (F.col("own") | F.coalesce("known", F.lit(False))).alias("furniture")), "marked")
     discard(both)
     # A text with a hint alone is a scan where the hint is a known form.
@@ -236,21 +314,20 @@ def read_scans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def cut_words(lines: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Lines (doc_id, line_no, line, furniture) with hyphen, glued, next_no and next_word: whether the line ends inside a word, or at a mark at all.
+    """Lines (doc_id, line_no, line, furniture) that are neither furniture nor blank with hyphen, glued, follows, next_no and next_word: whether the line ends inside a word, or at a mark at all, or goes on with a word cut on the line before; the next two where the line ends inside a word.
 
     A mark other than the plain hyphen always cuts. A plain one does, unless it belongs to a code, a
     number or a compound: the corpus decides between the joined and the hyphenated form.
     """
     full = lines.filter("not furniture and trim(line) != ''")
     row = Window.partitionBy("doc_id").orderBy("line_no")
-    first = F.regexp_extract("line", r"^[ \t]*([^ \t\r]+)", 1)
-    full = full.withColumn("next_no", F.lead("line_no").over(row)).withColumn("next_word", F.lead(first).over(row))
-    end = F.regexp_extract("line", rf"([^ \t]*[^ \t{_MARKS}])([{_MARKS}])[ \t\r]*$", 1)
-    mark = F.regexp_extract("line", rf"([^ \t]*[^ \t{_MARKS}])([{_MARKS}])[ \t\r]*$", 2)
-    full = full.withColumn("head", F.regexp_replace(end, r"^[.,;:()\[\]{}\"'!?¿¡«»“”<>|*=_…]+", "")).withColumn("mark", mark)
-    tail = F.regexp_replace("next_word", r"[.,;:()\[\]{}\"'!?¿¡«»“”<>|*=_…]+$", "")
-    full = full.withColumn("tail", tail)
-    cand = full.filter("mark != '' and head != '' and next_word is not null and tail != ''").select("doc_id", "line_no", "head", "tail", "mark")
+    # Only what is looked for of a line goes through the window.
+    marked = F.col("line").rlike(rf"[{_MARKS}][ \t\r]*$")
+    of_end = lambda k: F.when(marked, F.regexp_extract("line", rf"([^ \t]*[^ \t{_MARKS}])([{_MARKS}])[ \t\r]*$", k)).otherwise(F.lit(""))
+    ends = full.select("doc_id", "line_no", of_end(1).alias("end"), of_end(2).alias("mark"), F.regexp_extract("line", r"^[ \t]*([^ \t\r]+)", 1).alias("first"))
+    ends = ends.withColumn("next_no", F.lead("line_no").over(row)).withColumn("next_word", F.lead("first").over(row)).filter("mark != '' and next_word is not null")
+    ends = ends.withColumn("head", F.regexp_replace("end", r"^[.,;:()\[\]{}\"'!?¿¡«»“”<>|*=_…]+", "")).withColumn("tail", F.regexp_replace("next_word", r"[.,;:()\[\]{}\"'!?¿¡«»“”<>|*=_…]+$", ""))
+    cand = ends.filter("head != '' and tail != ''").select("doc_id", "line_no", "head", "tail", "mark", "next_no", "next_word")
     cand = cand.withColumn("joined", F.lower(F.concat("head", "tail"))).withColumn("compound", F.lower(F.concat_ws("-", "head", "tail")))
     plain = vocab.filter("kind in ('w', 'c')").groupBy("word").agg(F.sum("n").alias("nj")).withColumnRenamed("word", "joined")
     whole = vocab.filter("kind = 't'").select(F.col("word").alias("compound"), F.col("n").alias("nc"))
@@ -264,68 +341,108 @@ def cut_words(lines: DataFrame, vocab: DataFrame) -> DataFrame:
         .when(F.col("nj").isNotNull() & (F.col("nj") >= F.coalesce("nc", F.lit(0))), True)
         .when(F.col("nc").isNotNull(), False).when(F.col("compounds").isNotNull() & (F.char_length("left") > 3), False)
         .otherwise(F.col("tail").rlike(r"(?U)^[\p{Ll}\d@]")))
-    return full.drop("head", "mark", "tail").join(cand.select("doc_id", "line_no", of_word.alias("hyphen")), ["doc_id", "line_no"], "left").withColumn(
-        "glued", F.col("hyphen").isNotNull()).withColumn("hyphen", F.coalesce("hyphen", F.lit(False)))
+    # What is found of a line goes to it and to the next one, so that no line needs a second window.
+    told = cand.select("doc_id", "line_no", "next_no", "next_word", of_word.alias("hyphen"))
+    of_line = F.struct("line_no", "hyphen", F.lit(True).alias("glued"), F.lit(False).alias("follows"), F.when(F.col("hyphen"), F.col("next_no")).alias("next_no"), F.when(F.col("hyphen"), F.col("next_word")).alias("next_word"))
+    of_next = F.struct(F.col("next_no").alias("line_no"), F.lit(False).alias("hyphen"), F.lit(False).alias("glued"), F.lit(True).alias("follows"), F.lit(None).cast("int").alias("next_no"), F.lit(None).cast("string").alias("next_word"))
+    told = told.select("doc_id", F.explode(F.when(F.col("hyphen"), F.array(of_line, of_next)).otherwise(F.array(of_line))).alias("x")).select("doc_id", "x.*")
+    told = told.groupBy("doc_id", "line_no").agg(*(F.max(c).alias(c) for c in ("hyphen", "glued", "follows", "next_no", "next_word")))
+    found = full.join(told, ["doc_id", "line_no"], "left")
+    return found.select(*full.columns, "next_no", "next_word", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("hyphen", "glued", "follows")))
+
+
+def _words_of(token: str) -> tuple[str, tuple[str, ...]]:
+    """(core, words in small letters) of a run of characters."""
+    core = _core(token)
+    if token[0].isupper() and not (token[0] == "I" and token[1:2].islower()) or _CODE.match(token):
+        return core, ()
+    return core, tuple(x for x in _PART.findall(core) if len(x) > 1 and not x[1:].isupper() and any(map(str.isalpha, x)))
+
+
+_words = _Kept(_words_of).__getitem__
 
 
 def line_words(cut: DataFrame) -> DataFrame:
     """(doc_id, line_no, next_no, word, left, ctx, before, after) of words in small letters; ctx is a hash of the line, before and after are the neighbours on it, left is the length of the part on the line where the word goes on in the next one, else null."""
-    follows = F.coalesce(F.lag("hyphen").over(Window.partitionBy("doc_id").orderBy("line_no")), F.lit(False))
     text_batches(cut.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in batches:
-            rows = []
-            for d, i, line, hyphen, nxt, word, skip, ctx in zip(p["doc_id"], p["line_no"], p["line"], p["hyphen"], p["next_no"], p["next_word"], p["follows"], p["ctx"]):
-                tokens = runs(line)[1 if skip else 0:]
-                cores = [_core(t) for t in tokens]
-                if hyphen and tokens:
-                    last = tokens.pop()
-                    head = last.rstrip(MARKS).lstrip(_EDGE)
+            at, next_no, words, left, before, after = [], [], [], [], [], []
+            for i, (line, hyphen, nxt, word, skip) in enumerate(zip(*(p[c].to_pylist() for c in ("line", "hyphen", "next_no", "next_word", "follows")))):
+                tokens = runs(line)
+                found = [_words(t) for t in (tokens[1:] if skip else tokens)]
+                cores = [None, *[core for core, _ in found], None]
+                if hyphen and found:
+                    found.pop()
+                    head = tokens[-1].rstrip(MARKS).lstrip(_EDGE)
                     x = head + word.rstrip(_EDGE)
                     if x and not x[0].isupper() and not _CODE.match(x) and not any(c in x for c in MARKS):
-                        rows.append((d, i, int(nxt), x, len(head), ctx, cores[-2] if tokens else None, None))
-                for k, t in enumerate(tokens):
-                    if t[0].isupper() and not (t[0] == "I" and t[1:2].islower()) or _CODE.match(t):
-                        continue
-                    for x in _PART.findall(cores[k]):
-                        if len(x) > 1 and not x[1:].isupper() and any(c.isalpha() for c in x):
-                            rows.append((d, i, None, x, None, ctx, cores[k - 1] if k else None, cores[k + 1] if k + 1 < len(cores) else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "line_no", "next_no", "word", "left", "ctx", "before", "after"]).astype({"next_no": "Int32", "left": "Int32"})
-
-    return cut.withColumn("follows", follows).select("doc_id", "line_no", "line", "hyphen", "next_no", "next_word", "follows", F.xxhash64("line").alias("ctx")).mapInPandas(
+                        at.append(i)
+                        next_no.append(nxt)
+                        words.append(x)
+                        left.append(len(head))
+                        before.append(cores[-3])
+                        after.append(None)
+                for k, (_, parts) in enumerate(found):
+                    for x in parts:
+                        at.append(i)
+                        next_no.append(None)
+                        words.append(x)
+                        left.append(None)
+                        before.append(cores[k])
+                        after.append(cores[k + 2])
+            of = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [p["doc_id"].take(of), p["line_no"].take(of), pa.array(next_no, pa.int32()), pa.array(words, pa.string()), pa.array(left, pa.int32()), p["ctx"].take(of), pa.array(before, pa.string()), pa.array(after, pa.string())],
+                names=["doc_id", "line_no", "next_no", "word", "left", "ctx", "before", "after"])
+
+    return cut.select("doc_id", "line_no", "line", "hyphen", "next_no", "next_word", "follows", F.xxhash64("line").alias("ctx")).mapInArrow(
         run, "doc_id string, line_no int, next_no int, word string, left int, ctx long, before string, after string")
 
 
-def _support(words: DataFrame, cases: DataFrame) -> DataFrame:
-    """(word, printed, support): how often the neighbours of each word stand beside the printed form where that is read rightly. cases: (word, printed)."""
-    beside = lambda df, key: df.select(key, F.lit("b").alias("side"), F.col("before").alias("near"), "ctx").unionByName(df.select(key, F.lit("a").alias("side"), F.col("after").alias("near"), "ctx")).filter("near is not null").distinct()
+def _support(words: DataFrame, cases: DataFrame, suspects: DataFrame | None = None) -> DataFrame:
+    """(word, printed, support): how often the neighbours of each word stand beside the printed form where that is read rightly. cases: (word, printed); suspects: the rows of words that hold the cases' words, if they are known."""
+    side = lambda k, c: F.struct(F.lit(k).alias("side"), F.col(c).alias("near"))
+    beside = lambda df: df.select("word", "ctx", F.explode(F.array(side("b", "before"), side("a", "after"))).alias("x")).select("word", "ctx", "x.side", "x.near").filter("near is not null").distinct()
     forms = cases.select(F.col("printed").alias("word")).distinct()
-    pairs = beside(words.join(forms, "word", "left_semi"), "word").groupBy(F.col("word").alias("printed"), "side", "near").agg(F.count(F.lit(1)).alias("seen"))
-    around = beside(words.join(cases.select("word").distinct(), "word", "left_semi"), "word").groupBy("word", "side", "near").agg(F.count(F.lit(1)).alias("times"))
+    pairs = beside(words.join(forms, "word", "left_semi")).groupBy(F.col("word").alias("printed"), "side", "near").agg(F.count(F.lit(1)).alias("seen"))
+    around = beside((words if suspects is None else suspects).join(cases.select("word").distinct(), "word", "left_semi")).groupBy("word", "side", "near").agg(F.count(F.lit(1)).alias("times"))
     met = around.join(cases.select("word", "printed"), "word").join(pairs, ["printed", "side", "near"])
     return met.groupBy("word", "printed").agg(F.sum(F.col("times") * F.log1p("seen")).alias("support"))
 
 
-def misread_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(word, printed, at): distinct words with the frequent form of the same skeleton that a scanner may have misread; at: the places.
+def _typical(times: str) -> Column:
+    """Whether no clean text holds a word, or scans show it often enough to suspect it."""
+    return F.col("held").isNull() | (F.col(times) * F.col("w") >= SCAN_TYPICAL * F.col("held") * F.col("s"))
+
+
+def suspect_rows(words: DataFrame, vocab: DataFrame) -> DataFrame:
+    """The rows of words whose word can be a suspect by its places, with held, w and s: how often clean texts hold it, and the words of clean texts and of scans.
+
+    No word has more different lines than places, so all suspects are among them; the frequent words of clean texts are not.
+    """
+    clean = vocab.filter("kind = 'w'").select("word", F.col("n").alias("held"))
+    size = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n"))).alias(k)
+    total = vocab.filter("kind in ('w', 's')").agg(size("w"), size("s"))  # one row
+    places = words.groupBy("word").agg(F.count(F.lit(1)).alias("places"))
+    maybe = materialize(places.join(clean, "word", "left").crossJoin(F.broadcast(total)).filter(_typical("places")).drop("places"), "suspects")
+    return materialize(words.join(maybe, "word"), "suspect_rows")
+
+
+def misread_words(words: DataFrame, vocab: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """(word, printed, at): distinct words with the frequent form of the same skeleton that a scanner may have misread; at: the places. rows: suspect_rows(words, vocab), if they are made.
 
     Suspects are the words that no clean text holds, and those that scans show SCAN_TYPICAL times as often as
     clean texts do, for each word of text. Of several forms with the fewest confusions, the one that the
     suspect's neighbours stand beside most often is chosen, then the most frequent; a suspect that clean
     texts hold needs such neighbours.
     """
-    clean = vocab.filter("kind = 'w'").select("word", F.col("n").alias("held"))
-    size = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n"))).alias(k)
-    total = vocab.filter("kind in ('w', 's')").agg(size("w"), size("s"))  # one row
+    rows = suspect_rows(words, vocab) if rows is None else rows
     shape = lambda w: sql_skeleton(F.col(w))
     # A word's own weight is the number of different lines that hold it, so that copies of a scan don't make its errors frequent.
-    # No word has more of them than places, so its places tell first which words are worth counting lines for.
-    typical = lambda times: F.col("held").isNull() | (F.col(times) * F.col("w") >= SCAN_TYPICAL * F.col("held") * F.col("s"))
-    places = words.groupBy("word").agg(F.count(F.lit(1)).alias("places"))
-    maybe = materialize(places.join(clean, "word", "left").crossJoin(F.broadcast(total)).filter(typical("places")), "suspects")
-    own = words.join(maybe.select("word"), "word", "left_semi").select("word", "ctx").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("own"))
-    suspects = own.join(maybe, "word").filter(typical("own")).withColumn("bones", shape("word"))
+    own = rows.groupBy("word", "held", "w", "s", "ctx").agg(F.lit(1).alias("line")).groupBy("word", "held", "w", "s").agg(F.count(F.lit(1)).alias("own"))
+    suspects = own.filter(_typical("own")).withColumn("bones", shape("word"))
     both = vocab.filter("kind in ('w', 's') and char_length(word) > 1 and word rlike '(?U)^\\\\p{Ll}+$'").groupBy("word").agg(F.sum("n").alias("n"))
     forms = both.filter("n > 1").select(F.col("word").alias("printed"), "n", shape("word").alias("bones"))
 
@@ -345,7 +462,7 @@ def misread_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
     sure = made.filter("k = 1 and not known")
     cases = made.filter("k > 1 or known")
     best = one.orderBy(F.desc("support"), F.desc("n"), "printed")
-    told = cases.join(_support(words, cases), ["word", "printed"], "left").withColumn("support", F.coalesce("support", F.lit(0.0))).filter("support > 0 or not known")
+    told = cases.join(_support(words, cases, rows), ["word", "printed"], "left").withColumn("support", F.coalesce("support", F.lit(0.0))).filter("support > 0 or not known")
     told = told.withColumn("rank", F.row_number().over(best)).filter("rank = 1")
     return sure.select("word", "printed", "at").unionByName(told.select("word", "printed", "at"))
 
@@ -361,8 +478,9 @@ def noise_lines(docs: DataFrame) -> DataFrame:
     vocab, lines = read_scans(docs)
     cut = materialize(cut_words(lines, vocab), "cut")
     words = materialize(line_words(cut), "words")
-    bad = misread_words(words, vocab)
-    hit = words.join(bad, "word").select(
+    rows = suspect_rows(words, vocab)
+    bad = misread_words(words, vocab, rows)
+    hit = rows.join(bad, "word").select(
         "doc_id", F.explode(F.transform("at", lambda i: F.when(F.col("left").isNotNull() & (i >= F.col("left")), F.col("next_no")).otherwise(F.col("line_no")))).alias("line_no"))
     return lines.filter("furniture").select("doc_id", "line_no", F.lit("furniture").alias("noise")).unionByName(
         cut.filter("hyphen").select("doc_id", "line_no", F.lit("hyphen").alias("noise"))).unionByName(

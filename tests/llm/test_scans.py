@@ -99,3 +99,36 @@ def test_any_number_of_confusions():
     assert changes("mínimamente", "mínimamente") is None
     assert len(changes("mammamia", "rnarnrnarnia")) == 4
     assert changes("casa", "mesa") is None
+
+
+def test_frequent_words_go_no_further(spark):
+    """p7_found's CPU seconds: rows of words that can't be suspects are left behind at once, and words are read off the lines without a second window."""
+    from legajo.session import materialize
+
+    clean = [(f"c{i}", "el coste de la planta sube hoy.") for i in range(60)]
+    scans = [(f"s{i}", f"Página 1 de 2\nel c0ste de la planta {i} sube en la fac-\ntoría") for i in range(12)]
+    vocab, lines = S.read_scans(spark.createDataFrame(clean + scans, "doc_id string, text string"))
+    cut = materialize(S.cut_words(lines, vocab), "cut")
+    words = S.line_words(cut)
+    plan = words._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+    words = materialize(words, "words")
+    rows = S.suspect_rows(words, vocab)
+    assert {r["word"] for r in rows.collect()} == {"c0ste", "en", "factoría"} and rows.count() == 36 and words.count() == 108
+    assert {(r["word"], r["printed"]) for r in S.misread_words(words, vocab, rows).collect()} == {("c0ste", "coste")}
+
+
+def test_kept_forms():
+    """Lines masked together, words looked up and lines without blanks at their ends come out as each by itself."""
+    text = "Acta / Núm 12\n-- Page 3 --\nlos ΣΑΣ 4: AB-20-301 cortan\nla l1nea\nActa / Núm 13\ny siguen\nActa / Núm 13"
+    lines, own, masks, sure = S.mark(text)
+    assert sure and own == [False, True, False, False, True, False, True] and masks == [S.mask(x) for x in lines]
+    padded = S.mark("\n".join(f" \t{x} \r" for x in text.split("\n")))
+    assert padded[1:] == (own, masks, sure)
+    assert masks[0] == masks[4] == S.skeleton("acta / núm #") and masks[2] == S.skeleton("los σας #: code cortan")
+    from collections import Counter
+
+    raw = ["casa,", "casa", "Casa.", "http:", "www", "www.a.es", "12,5", "a@b.es", "plan-marco", "(x1y)", "A1", "5egún"]
+    out = Counter()
+    S._count_words(Counter(raw), False, out)
+    assert out == {("w", "casa"): 2, ("c", "casa"): 1, ("w", "www"): 1, ("t", "plan-marco"): 1, ("w", "plan"): 1, ("w", "marco"): 1, ("w", "x1y"): 1}
