@@ -83,3 +83,29 @@ def test_chain_with_synonyms(spark):
     moved = shuffled(spark) - before
     assert got == [(i, f"c{j:04d}", 1, j + 1) for i in range(120) for j in range(20)] + [(200, f"c{j:04d}", 0, j // 10 + 1) for j in range(0, 200, 10)]
     assert moved < 100_000, moved  # 120 queries times 1,500 rows and two words are 360,000
+
+
+def test_chain_passes_without_a_row_for_each_hit(spark):
+    from pyspark.sql import functions as F
+
+    from legajo.functions import text as T
+    from legajo.operators import chain
+    from legajo.plans.details import number_stream
+
+    chunks = [(f"c{i:04d}", None, f"caldera bomba u{'abcdefghij'[i % 10]}", None, None, None) for i in range(1500)]
+    chunks += [("z", None, "xilo", None, None, None), ("z", None, "yunque", None, None, None)]  # one identifier, two rows
+    chunks = spark.createDataFrame(chunks, "chunk_id string, title string, text string, keywords array<string>, persons array<string>, organizations array<string>")
+    asked = [(i, "caldera bomba ***") for i in range(120)] + [(200, "calderra bombas ***"), (201, "xilo yunque")]  # the signs make it look mistyped
+    asked = spark.createDataFrame(asked, "query long, text string")
+    synonyms = spark.createDataFrame([("caldera", "ua"), ("bomba", "nada")], "word string, synonym string")
+    n = lambda keep: number_stream(T.fold(F.col("text")), keep=keep)
+    before = shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted(tuple(r) for r in chain.search(chunks, asked, n(True), n(False), synonyms=synonyms).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = shuffled(spark) - before
+    every = [(i, f"c{10 * j:04d}", 0, j + 1) for i in range(120) for j in range(20)]  # rows with the synonym go first
+    assert got == [*every, *((200, f"c{j:04d}", 3, j + 1) for j in range(20)), (201, "z", 0, 1)]
+    assert moved < 60_000, moved  # 120 queries times 1,500 rows are 180,000 in each of three passes
